@@ -16,9 +16,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulcomp.functions.draw import SEED, rank_key
+from haulcomp.functions.draw import SEED, key_text, rank_key
 from haulcomp.functions.rules import KH, SEX_CODE, SEXES, explode_spread, explode_to
 from haulcomp.operators.cells import length_cells
+from haulcomp.session import stage
 
 EVERYTHING = 2**31 - 1
 # Fish x replicates of one haul that one task may rank; a haul with more is spread.
@@ -74,20 +75,18 @@ def _sexed_count() -> Column:
     return F.coalesce(F.col("males"), F.lit(0)) + F.coalesce(F.col("females"), F.lit(0))
 
 
-def _number_fish(cells: DataFrame) -> DataFrame:
-    """``_fish`` 1..males+females to sex and ordinal within haul, sex and length."""
-    males = F.coalesce(F.col("males"), F.lit(0))
-    is_male = F.col("_fish") <= males
-    return cells.withColumns(
-        {
-            "sex": F.when(is_male, SEX_CODE["males"]).otherwise(SEX_CODE["females"]),
-            "ordinal": F.when(is_male, F.col("_fish")).otherwise(F.col("_fish") - males),
-        }
-    ).drop("_fish")
+def _one_sex_each(cells: DataFrame) -> DataFrame:
+    """Cells once per sex they hold, with sex, the number ``_n`` of such fish, and their id up to the ordinal."""
+    sexed = [F.struct(F.lit(SEX_CODE[s]).alias("sex"), F.col(s).cast("bigint").alias("_n")) for s in SEXES[:2]]
+    rows = cells.select("*", F.inline(F.array(*sexed))).filter(F.col("_n") > 0)
+    return rows.withColumn("_id", key_text(*[F.col(c) for c in [*KH, "sex", "length"]]))
 
 
-def _keyed(fish: DataFrame, seed: int) -> DataFrame:
-    return fish.withColumn("_key", rank_key(seed, "fish", F.col("run"), F.col("ss"), F.col("sim"), fish_id()))
+def _keyed_fish(rows: DataFrame, ordinals: Column, seed: int) -> DataFrame:
+    """Rows x sims to fish with ordinal and rank key; all of the key but the ordinal is put together once per row."""
+    text = key_text(seed, "fish", F.col("run"), F.col("ss"), F.col("sim"), F.col("_id"))
+    fish = rows.withColumn("_text", text).withColumn("ordinal", F.explode(ordinals))
+    return fish.withColumn("_key", rank_key(F.col("_text"), F.col("ordinal"))).drop("_text")
 
 
 def random_part(cells: DataFrame, runs: Sequence[Run]) -> DataFrame:
@@ -101,29 +100,34 @@ def settled_part(cells: DataFrame, runs: Sequence[Run]) -> DataFrame:
 
 
 def rank_fish(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
-    """The fish of ``random_part`` per replicate with ``drawn``; ordinary and hot hauls as two frames.
+    """The fish of ``random_part`` per replicate with ``drawn``: ordinary hauls, then hot ones if there are any.
 
-    ``cells`` may carry further columns; ``pos`` (a repeated haul) is ranked by itself.
+    ``cells`` are staged, as they are read several times; they may carry further columns, and
+    ``pos`` (a repeated haul) is ranked by itself.
     """
     # The repeats one task would hold: bootstrap cells come one replicate at a time.
     repeats = 1 if "sim" in cells.columns else sum(r.iters for r in runs)
     cells = random_part(cells, runs)
-    hot = F.col("sexed") * repeats > hot_rows
+    hot = F.col("sexed") > hot_rows // repeats
     haul = ["hauljoin", "species_code", "sim", "ss", "run", "year", "stratum", *(["pos"] if "pos" in cells.columns else [])]
     order = ["_key", "sex", "length", "ordinal"]
 
-    ordinary = _keyed(_number_fish(explode_to(with_sims(cells.filter(~hot)), _sexed_count(), "_fish")), seed)
+    # A fixed number of partitions: what the rows grow to is not in the sizes AQE would merge them by.
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    together = with_sims(_one_sex_each(cells.filter(~hot).repartition(tasks, *KH)))
+    ordinary = _keyed_fish(together, F.expr("sequence(1L, _n)"), seed)
     rank = F.row_number().over(Window.partitionBy(*haul).orderBy(*order))
     ordinary = ordinary.withColumn("drawn", rank <= F.col("ss")).drop("_key")
 
+    if cells.filter(hot).isEmpty():
+        return [ordinary]
     chunk_no = F.explode(F.expr(f"sequence(0L, (_n - 1) div {CHUNK})"))
-    chunks = cells.filter(hot).withColumn("_n", _sexed_count()).withColumn("_part", chunk_no)
-    in_chunk = F.least(F.lit(CHUNK), F.col("_n") - F.col("_part") * CHUNK)
-    spread = with_sims(chunks.repartition(*KH, "length", "_part"))
-    fish = explode_to(spread, in_chunk, "_i", CHUNK).withColumn("_fish", F.col("_part") * CHUNK + F.col("_i"))
-    fish = _keyed(_number_fish(fish.drop("_i", "_n")), seed)
+    chunks = _one_sex_each(cells.filter(hot)).withColumn("_part", chunk_no)
+    spread = with_sims(chunks.repartition(tasks, *KH, "sex", "length", "_part"))
+    in_chunk = F.expr(f"sequence(_part * {CHUNK} + 1, least(_n, (_part + 1) * {CHUNK}))")
+    fish = _keyed_fish(spread, in_chunk, seed)
     low = fish.select(*haul, "_part", *order)
-    for keys in ([*haul, "length", "_part"], haul):
+    for keys in ([*haul, "sex", "length", "_part"], haul):
         lowest = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         low = low.withColumn("_rank", lowest).filter(F.col("_rank") <= F.col("ss")).drop("_rank")
     last = low.groupBy(*haul).agg(F.max(F.struct(*order)).alias("_last"))
@@ -161,6 +165,11 @@ def fish_count(lfreq: DataFrame) -> DataFrame:
     return kept.groupBy(*KH, "sex", "length").agg(F.sum("frequency").alias("frequency"))
 
 
+def sample_cells(lfreq: DataFrame) -> DataFrame:
+    """Staged length cells of the rows that hold fish."""
+    return stage(length_cells(lfreq.filter(F.col("frequency") > 0)), "cells")
+
+
 def split_sexed(lfreq: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sexed, unsexed) fish with ``id`` and ``n``, the haul's number of fish of that kind."""
 
@@ -175,11 +184,11 @@ def split_sexed(lfreq: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sexed_fish(lfreq: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int, settled: bool) -> DataFrame:
-    cells = length_cells(lfreq.filter(F.col("frequency") > 0))
+    cells = sample_cells(lfreq)
     parts = rank_fish(cells, runs, seed, hot_rows)
     if settled:
-        kept = with_sims(settled_part(cells, runs).filter(_sexed_count() > 0))
-        kept = _number_fish(explode_to(kept, _sexed_count(), "_fish")).withColumn("drawn", F.lit(True))
+        kept = with_sims(_one_sex_each(settled_part(cells, runs)))
+        kept = explode_to(kept, F.col("_n"), "ordinal").withColumn("drawn", F.lit(True))
         parts.append(kept.select(parts[0].columns))
     fish = parts[0]
     for p in parts[1:]:
@@ -210,7 +219,7 @@ def retabulate(lfreq: DataFrame, samples: int, seed: int = SEED, iters: int = 1,
     from haulcomp.operators.estimate import by_sex
 
     runs = [Run(samples, iters)]
-    cells = length_cells(lfreq.filter(F.col("frequency") > 0))
+    cells = sample_cells(lfreq)
     cols = ["sim", *KH, "length", *SEXES]
     wide = retabulate_cells(cells, runs, seed, hot_rows).select(*cols)
     wide = wide.unionByName(with_sims(settled_part(cells, runs)).select(*cols))

@@ -1,9 +1,10 @@
 """Population at length, for the full data or for many replicates in one job.
 
-Shape of the plan: length rows are counted per haul x length once and joined to the haul's
-abundance; only then, and only where the draw is random, are rows multiplied by the
-replicates, in the partition they are in. What leaves it are sums per replicate, stratum
-and length. Unmeasured hauls meet those sums at the end.
+Shape of the plan: catch rows shrink to one row per haul, length rows to one row per haul x
+length joined to the haul's abundance, and both are staged, since several branches read them
+and the raw tables should be read once. Only then, and only where the draw is random, are
+rows multiplied by the replicates, in the partition they are in. What leaves it are sums per
+replicate, stratum and length. Unmeasured hauls meet those sums at the end.
 """
 
 from __future__ import annotations
@@ -35,37 +36,42 @@ def _with_abundance(cells: DataFrame, hauls: DataFrame) -> DataFrame:
     return joined.fillna({"pos": 0, "copies": 1})
 
 
-def _numbers(sized: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per cell: numbers at length (sz_*), and shares of the haul (comp_*) on one of its ``pos`` rows."""
+def _numbers(sized: DataFrame, keys: Sequence[str], strict: bool) -> DataFrame:
+    """Per cell: numbers at length (sz_*), and shares of the haul (comp_*) on one of its ``pos`` rows.
+
+    ``strict`` keeps the fish counts too, to tell a missing share from an absent sex.
+    """
     cols: list[Column] = []
     for s in SEXES:
         comp = rdiv(F.col(s), F.col("tot"))
         cols.append((F.col("copies") * half_even(comp * F.col("abund"))).alias(f"sz_{s}"))
         cols.append(F.when(F.col("pos") == 0, comp).alias(f"comp_{s}"))
-        cols.append(F.when(F.col("pos") == 0, F.col(s)).alias(f"fish_{s}"))
+        if strict:
+            cols.append(F.when(F.col("pos") == 0, F.col(s)).alias(f"fish_{s}"))
     return sized.select(*keys, *K, "length", *cols)
 
 
 def _stratum_sums(numbers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Numbers and shares summed over hauls; a share is missing if that of any haul with such fish is."""
+    """Numbers and shares summed over hauls; with fish counts, a share is missing if that of any haul with such fish is."""
     aggs: list[Column] = []
     for s in SEXES:
         aggs.append(sum0(F.col(f"sz_{s}")).alias(f"sz_{s}"))
-        whole = F.count(f"fish_{s}") == F.count(f"comp_{s}")
-        aggs.append(F.when(whole, F.sum(f"comp_{s}")).alias(f"comp_{s}"))
-        aggs.append(F.sum(f"fish_{s}").alias(f"fish_{s}"))
+        share = F.sum(f"comp_{s}")
+        if f"fish_{s}" in numbers.columns:
+            share = F.when(F.count(f"fish_{s}") == F.count(f"comp_{s}"), share)
+        aggs.append(share.alias(f"comp_{s}"))
     return numbers.groupBy(*keys, *K, "length").agg(*aggs)
 
 
 def _with_unmeasured(
-    sums: DataFrame, reps: Sequence[str], cells: DataFrame, unmeasured: DataFrame, by: Sequence[str], out: Sequence[str]
+    sums: DataFrame, reps: Sequence[str], sized: DataFrame, unmeasured: DataFrame, by: Sequence[str], out: Sequence[str]
 ) -> DataFrame:
     """Add what the unmeasured hauls hold, at their stratum's mean composition, and sum by ``out``.
 
     A stratum's sums meet its unmeasured hauls on (stratum, slice), so that no task holds more
     than a slice of them; slice -1 stands for the measured part.
     """
-    hauls = cells.groupBy(*by, *K).agg(F.sum("first").alias("nhauls"))
+    hauls = sized.filter(F.col("pos") == 0).groupBy(*by, *K).agg(F.sum("first").alias("nhauls"))
     spread = unmeasured.groupBy(*by, *K).agg(F.max("slices").alias("_slices"))
     strata = hauls.join(spread, [*by, *K], "left").fillna({"_slices": 0})
     sliced = sums.join(strata, [*by, *K]).withColumn(
@@ -104,24 +110,21 @@ def estimate(
     """
     if runs is not None:
         lfreq = lfreq.filter(F.col("frequency") > 0)
-    cells = length_cells(lfreq, by)
-    hauls = haul_cells(cpue)
-    caught = hauls
-    if by:
-        caught = with_sims(with_runs(hauls, runs))
-    unmeasured = hauls_without_lengths(caught, measured_hauls(lfreq, by), by)
-    sized = _with_abundance(cells, hauls)
+    hauls = stage(haul_cells(cpue), "hauls")
+    sized = stage(_with_abundance(length_cells(lfreq, by), hauls), "cells")
+    caught = with_sims(with_runs(hauls, runs)) if by else hauls
+    unmeasured = hauls_without_lengths(caught, measured_hauls(sized, by), by)
 
     reps = [] if runs is None else REPS
     if runs is None:
-        sums = _stratum_sums(_numbers(sized, by), by)
+        sums = _stratum_sums(_numbers(sized, by, strict=True), by)
     else:
         settled_keys = [k for k in ["run", "ss", "_iters", "sim"] if k != ("_iters" if by else "sim")]
-        settled = _stratum_sums(_numbers(settled_part(sized, runs), settled_keys), settled_keys)
-        drawn = _numbers(retabulate_cells(sized, runs, seed, hot_rows), REPS)
+        settled = _stratum_sums(_numbers(settled_part(sized, runs), settled_keys, strict=False), settled_keys)
+        drawn = _numbers(retabulate_cells(sized, runs, seed, hot_rows), REPS, strict=False)
         sums = _stratum_sums(drawn.unionByName(with_sims(settled)), REPS)
     out = ["year", "species_code", *(["stratum"] if by_stratum else []), "length"]
-    numbers = _with_unmeasured(sums, reps, cells, unmeasured, by, out)
+    numbers = _with_unmeasured(sums, reps, sized, unmeasured, by, out)
     if runs is not None:
         grid = with_sims(with_runs(grid, runs)).select(*REPS, *grid.columns)
     return fill_grid(grid, numbers)
