@@ -23,7 +23,7 @@ from haulcomp.operators.cells import (
 )
 from haulcomp.operators.sampling import Run
 from haulcomp.plans import population, simulate
-from haulcomp.session import shared_dir, stage
+from haulcomp.session import shared_dir, stage, staged_once
 from haulcomp.sources import fixtures, results, schemas, tables
 
 # Settings the SQL repeats.
@@ -51,16 +51,26 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), places) for c in cols})
 
 
+def single(df: DataFrame, col: str) -> DataFrame:
+    """A float column to single precision, for values of any size whose last digits hang on summation order."""
+    return df.withColumn(col, F.col(col).cast("float").cast("double"))
+
+
+def survey_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A test table seen as a survey table, derived once per application."""
+    return staged_once(spark, f"{name} {sf}", lambda: getattr(fixtures, name)(spark, sf))
+
+
 def lfreq(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.lfreq(spark, sf).drop("survey")
+    return survey_table(spark, sf, "lfreq").drop("survey")
 
 
 def cpue(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.cpue(spark, sf).drop("survey")
+    return survey_table(spark, sf, "cpue").drop("survey")
 
 
 def specimen(spark: SparkSession, sf: str) -> DataFrame:
-    return fixtures.specimen(spark, sf).drop("region").filter(F.col("age").isNotNull())
+    return survey_table(spark, sf, "specimen").drop("region").filter(F.col("age").isNotNull())
 
 
 def recent(df: DataFrame) -> DataFrame:
@@ -71,14 +81,24 @@ def raw(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.upper() for c in df.columns])
 
 
-def base(spark: SparkSession, sf: str, by_stratum: bool = False) -> DataFrame:
+def estimated(spark: SparkSession, sf: str, by_stratum: bool = False) -> DataFrame:
     return population.pop_est(lfreq(spark, sf), cpue(spark, sf), None, YRS, by_stratum)[0]
 
 
-def sampled(spark: SparkSession, sf: str, by_stratum: bool = False) -> DataFrame:
+def simulated(spark: SparkSession, sf: str, by_stratum: bool = False) -> DataFrame:
     return simulate.simulate(lfreq(spark, sf), cpue(spark, sf), SIMS, SAMPLES, YRS, by_stratum, SEED)
 
 
+def base(spark: SparkSession, sf: str, by_stratum: bool = False) -> DataFrame:
+    """The base estimate as the evaluation finds it: written by an earlier step."""
+    return staged_once(spark, f"og {by_stratum} {sf}", lambda: estimated(spark, sf, by_stratum))
+
+
+def sampled(spark: SparkSession, sf: str, by_stratum: bool = False) -> DataFrame:
+    """The replicates as the evaluation finds them: written by an earlier step."""
+    return staged_once(spark, f"sims {by_stratum} {sf}", lambda: simulated(spark, sf, by_stratum))
+
+
 # ---- sources and sinks ---------------------------------------------------------------------
 
 
@@ -93,23 +113,23 @@ def s1_read_strata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s2_read_lfreq(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.lfreq_from(raw(fixtures.lfreq(spark, sf)), SURVEY, _strata(spark, sf))
+    return tables.lfreq_from(raw(survey_table(spark, sf, "lfreq")), SURVEY, _strata(spark, sf))
 
 
 @query
 def s3_read_cpue(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.cpue_from(raw(fixtures.cpue(spark, sf).drop("area")), SURVEY, _strata(spark, sf))
+    return tables.cpue_from(raw(survey_table(spark, sf, "cpue").drop("area")), SURVEY, _strata(spark, sf))
 
 
 @query
 def s4_read_sizepop(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = fixtures.lfreq(spark, sf).groupBy("survey", "year", "species_code", "length")
+    sizes = survey_table(spark, sf, "lfreq").groupBy("survey", "year", "species_code", "length")
     return tables.sizepop_from(raw(sizes.agg(F.sum("frequency").alias("population"))), SURVEY)
 
 
 @query
 def s5_read_specimen(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.specimen_from(raw(fixtures.specimen(spark, sf)), SURVEY, _strata(spark, sf))
+    return tables.specimen_from(raw(survey_table(spark, sf, "specimen")), SURVEY, _strata(spark, sf))
 
 
 @query
@@ -259,12 +279,12 @@ def p17_fill_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p18_pop_est(spark: SparkSession, sf: str) -> DataFrame:
-    return base(spark, sf)
+    return estimated(spark, sf)
 
 
 @query
 def p18_pop_est_strata(spark: SparkSession, sf: str) -> DataFrame:
-    return base(spark, sf, True)
+    return estimated(spark, sf, True)
 
 
 @query
@@ -282,12 +302,12 @@ def p18_pop_est_sampled_strata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c1_simulate(spark: SparkSession, sf: str) -> DataFrame:
-    return sampled(spark, sf)
+    return simulated(spark, sf)
 
 
 @query
 def c1_simulate_strata(spark: SparkSession, sf: str) -> DataFrame:
-    return sampled(spark, sf, True)
+    return simulated(spark, sf, True)
 
 
 @query
@@ -337,7 +357,7 @@ def _boot_ess(spark: SparkSession, sf: str, samples: int | None) -> DataFrame:
 
 @query
 def c9_sims_boot(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_boot_ess(spark, sf, SAMPLES), "value", places=3)
+    return single(_boot_ess(spark, sf, SAMPLES), "value")
 
 
 def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
@@ -347,7 +367,7 @@ def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c10_label_scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_scenarios(spark, sf), "value", places=3)
+    return single(_scenarios(spark, sf), "value")
 
 
 # ---- summaries -----------------------------------------------------------------------------
@@ -405,7 +425,7 @@ def d7_diff_density(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ess_frame(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(_scenarios(spark, sf), "scenarios")
+    return staged_once(spark, f"scenarios {sf}", lambda: _scenarios(spark, sf))
 
 
 @query
@@ -421,7 +441,7 @@ def d8_box_outliers(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def d9_violin_frame(spark: SparkSession, sf: str) -> DataFrame:
     df = summary.violin_frame(_ess_frame(spark, sf), points=POINTS)
-    return rounded(rounded(df, "x", "median"), "density", places=3)
+    return single(rounded(df, "x", "median"), "density")
 
 
 @query
@@ -445,12 +465,12 @@ def e1_proportions(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def e2_ess_size(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ess.ess_size(sampled(spark, sf), base(spark, sf)), "value", places=3)
+    return single(ess.ess_size(sampled(spark, sf), base(spark, sf)), "value")
 
 
 @query
 def e3_ess_size_strata(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ess.ess_size(sampled(spark, sf, True), base(spark, sf, True), True), "value", places=3)
+    return single(ess.ess_size(sampled(spark, sf, True), base(spark, sf, True), True), "value")
 
 
 def _ages(spark: SparkSession, sf: str, sim: bool) -> DataFrame:
@@ -460,7 +480,7 @@ def _ages(spark: SparkSession, sf: str, sim: bool) -> DataFrame:
 
 @query
 def e4_ess_age(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(ess.ess_age(_ages(spark, sf, True), _ages(spark, sf, False)), "value", places=3)
+    return single(ess.ess_age(_ages(spark, sf, True), _ages(spark, sf, False)), "value")
 
 
 @query

@@ -41,6 +41,10 @@ def r(x: str, places: int = 6, name: str | None = None) -> str:
     return f"round({x}, {places}) AS {name or x}"
 
 
+def single(x: str) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE) AS {x}"
+
+
 def statement(final: str) -> str:
     """``final`` with the steps it mentions, and those they mention, in front."""
     order: list[str] = []
@@ -421,7 +425,7 @@ _sum = "coalesce(CAST(abund AS DOUBLE), 0) AS abund"
 _stats = f"{r('mean', 4)}, {r('se', 4)}, {r('lci', 4)}, {r('uci', 4)}, id"
 _sides = f"{r('og', 4)}, {r('s20', 4)}, {r('diff', 4)}, {r('pd', 4)}"
 _range = f"{r('mean')}, {r('se')}, {r('lci')}, {r('uci')}"
-_ess = f"sim, year, species_code, ess, {r('value', 3)}, in_out"
+_ess = f"sim, year, species_code, ess, {single('value')}, in_out"
 _ageout = f"{r('unsexed', 4)}, {r('males', 4)}, {r('females', 4)}"
 
 FINAL: dict[str, str] = {
@@ -492,14 +496,14 @@ FINAL: dict[str, str] = {
         {r('max(lower)', name='lower')}, {r('max(middle)', name='middle')}, {r('max(upper)', name='upper')},
         {r('max(CASE WHEN inside THEN x END)', name='ymax')}, COUNT(*) FILTER (NOT inside) AS outliers FROM boxed GROUP BY {_box}""",
     "d8_box_outliers": f"SELECT sim, year, species_code, ess, in_out, type, ss, {r('x')} FROM boxed WHERE NOT inside",
-    "d9_violin_frame": f"""SELECT {_box}, point, {r('x')}, {r('density', 3)}, {r('middle', name='median')}
+    "d9_violin_frame": f"""SELECT {_box}, point, {r('x')}, {single('density')}, {r('middle', name='median')}
         FROM d9 JOIN boxes USING ({_box})""",
     "d10_point_range": f"SELECT species_code, ess, type, ss, {_range} FROM d10",
     "d11_point_range_by_year": f"SELECT year, species_code, ess, type, {_range} FROM d11",
     "e1_proportions": f"SELECT {K}, length, {r('og_m')}, {r('og_f')}, {r('og_t')} FROM e3_q",
     "e2_ess_size": f"SELECT {_ess} FROM e2",
-    "e3_ess_size_strata": f"SELECT sim, {K}, ess, {r('value', 3)}, in_out FROM e3",
-    "e4_ess_age": f"SELECT sim, year, species_code, ess, {r('value', 3)} FROM e4",
+    "e3_ess_size_strata": f"SELECT sim, {K}, ess, {single('value')}, in_out FROM e3",
+    "e4_ess_age": f"SELECT sim, year, species_code, ess, {single('value')} FROM e4",
     "e6_in_out": "SELECT sim, year, species_code, ess, in_out FROM e6",
     "e7_prop_fm": f"SELECT sim, year, species_code, {r('prop_fm')}, {r('prop_fm_og')} FROM e7",
     "e8_prop_fm_strata": f"""SELECT sim, {K}, round(CASE WHEN NOT isinf(prop_fm) THEN prop_fm END, 6) AS prop_fm,

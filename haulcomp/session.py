@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +49,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_staged: dict[tuple[str, str], DataFrame] = {}
+
+
+def staged_once(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``stage`` of a frame many callers start from: written once per application under its name."""
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _staged:
+        _staged[key] = stage(build(), re.sub(r"[^A-Za-z0-9.]+", "-", name).strip("-"))
+    return _staged[key]
