@@ -22,7 +22,11 @@ def rank_key(*parts: Column | str | int) -> Column:
     return F.md5(key_text(*parts))
 
 
-def index_draw(size: Column, *parts: Column | str | int) -> Column:
-    """Uniform draw from 1..size: the first 60 bits of the md5 modulo size."""
-    bits = F.conv(F.substring(F.md5(key_text(*parts)), 1, 15), 16, 10).cast("bigint")
-    return F.when(size > 0, F.try_mod(bits, size) + 1)
+def draw_bits(*parts: Column | str | int) -> Column:
+    """The first 60 bits of the md5 as a number."""
+    return F.conv(F.substring(F.md5(key_text(*parts)), 1, 15), 16, 10).cast("bigint")
+
+
+def index_of(bits: Column, size: Column) -> Column:
+    """Uniform number in 1..size from such bits."""
+    return F.try_mod(bits, size) + 1

@@ -12,9 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulcomp.functions.draw import SEED, index_draw, key_text
+from haulcomp.functions.draw import SEED, draw_bits, index_of, key_text
 from haulcomp.functions.rules import KH, REPLICATE, K, explode_spread
 from haulcomp.operators.sampling import Run, with_runs, with_sims
+from haulcomp.session import stage
 
 ROW = ["hauljoin", "sex", "length", "frequency"]
 # Hex digits of the hash that split a stratum's rows: 16 ** 3 = 4096 parts.
@@ -51,11 +52,14 @@ def numbered_rows(lfreq: DataFrame) -> DataFrame:
 
 
 def bootstrap_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> DataFrame:
-    """Per replicate, each length row gets the haul of a row of its stratum drawn with replacement."""
-    rows = numbered_rows(lfreq)
+    """Per replicate, each length row gets the haul of a row of its stratum drawn with replacement.
+
+    The numbered rows are both takers and donors, so they are staged.
+    """
+    rows = stage(numbered_rows(lfreq), "numbered-rows")
     takers = with_sims(with_runs(rows.drop("hauljoin"), runs))
     who = [F.col(c) for c in [*REPS, *K, "ordinal"]]
-    takers = takers.withColumn("_drawn", index_draw(F.col("n"), seed, "haul", *who)).drop("n")
+    takers = takers.withColumn("_drawn", index_of(draw_bits(seed, "haul", *who), F.col("n"))).drop("n")
     donors = rows.select(*K, F.col("ordinal").alias("_drawn"), "hauljoin")
     return takers.join(donors, [*K, "_drawn"]).select(*REPS, *KH, "ordinal", "sex", "length", "frequency")
 
@@ -63,23 +67,18 @@ def bootstrap_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) ->
 def bootstrap_lengths(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Each row gets the length of a row of its (new) haul drawn with replacement.
 
-    A haul's lengths travel as one sorted list of distinct lengths with running counts.
+    A haul's distinct lengths carry the ordinals they cover; a row matches the one its draw falls in.
     """
     haul = Window.partitionBy(*REPS, *KH)
     counts = rows.groupBy(*REPS, *KH, "length").agg(F.count(F.lit(1)).alias("_n"))
-    running = counts.select(
-        *REPS,
-        *KH,
-        F.struct(
-            F.sum("_n").over(haul.orderBy("length").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), "length"
-        ).alias("_step"),
-        F.sum("_n").over(haul).alias("_rows"),
-    )
-    lists = running.groupBy(*REPS, *KH).agg(
-        F.array_sort(F.collect_list("_step")).alias("_steps"), F.max("_rows").alias("_rows")
-    )
+    upto = F.sum("_n").over(haul.orderBy("length").rowsBetween(Window.unboundedPreceding, 0))
+    spans = counts.withColumns({"_upto": upto, "_rows": F.sum("_n").over(haul)})
+    spans = spans.withColumn("_from", F.col("_upto") - F.col("_n")).drop("_n")
     who = [F.col(c) for c in [*REPS, *K, "ordinal"]]
-    drawn = rows.drop("length").join(lists, [*REPS, *KH])
-    drawn = drawn.withColumn("_drawn", index_draw(F.col("_rows"), seed, "length", *who))
-    step = F.filter("_steps", lambda s: s["upto"] >= F.col("_drawn"))[0]
-    return drawn.select(*REPS, *KH, "ordinal", "sex", step["length"].alias("length"), "frequency")
+    # Hashed below the join, so that comparing with each length does not hash again.
+    hashed = rows.drop("length").withColumn("_bits", draw_bits(seed, "length", *who))
+    a, b = hashed.alias("a"), spans.alias("b")
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*REPS, *KH]]
+    drawn = index_of(F.col("_bits"), F.col("_rows"))
+    hit = a.join(b, [*same, drawn > F.col("_from"), drawn <= F.col("_upto")])
+    return hit.select(*[F.col(f"a.{c}") for c in [*REPS, *KH, "ordinal", "sex"]], "length", "frequency")
