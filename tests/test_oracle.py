@@ -12,9 +12,6 @@ def con():
     return compare.connect(SF)
 
 
-def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
-
 
 @pytest.mark.parametrize("name", list(contract.queries()))
 def test_query_matches_sql(spark, con, name):
