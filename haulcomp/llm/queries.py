@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from haulcomp.llm.decontaminate import op9_benchmark_decontamination
 from haulcomp.llm.quality import op8_quality_rules
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_benchmark_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
