@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from haulcomp.llm import mixing
 from haulcomp.llm.decontaminate import op9_benchmark_decontamination
+from haulcomp.llm.mixing import op3_mixing
 from haulcomp.llm.quality import op8_quality_rules
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules, op9_benchmark_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op3_mixing, op8_quality_rules, op9_benchmark_decontamination)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql()}
