@@ -185,3 +185,29 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     import uuid
 
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def packed_texts(docs: DataFrame, *keys) -> DataFrame:
+    """The key columns (columns of ``docs``, aliased) and ``z``, the compressed text, for a shuffle of whole texts."""
+    source = docs.select(docs["text"].alias("_text"), *keys)
+    schema = T.StructType([*source.schema.fields[1:], T.StructField("z", T.BinaryType())])
+
+    def run(it):
+        import zstandard
+
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for b in it:
+            for lo in range(0, b.num_rows, 1000):
+                few = b.slice(lo, 1000)
+                z = blobs([zip_.compress((t or "").encode()) for t in few.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*few.columns[1:], z], names=schema.names)
+
+    return map_arrow(source, run, schema)
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The texts of a slice of ``z``."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    return [unzip.decompress(z) for z in column.to_pylist()]

@@ -29,7 +29,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,28 +137,18 @@ def memberships(keys: DataFrame) -> DataFrame:
 def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(node, shingles): the set of each wanted node, from the first document that has it."""
     one = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def pack(it):
-        zip_ = zstandard.ZstdCompressor(level=3)
-        for b in it:
-            texts = [zip_.compress((t or "").encode()) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), C.blobs(texts)], names=["doc_id", "z"])
-
     def sets(it):
-        unzip = zstandard.ZstdDecompressor()
         for b in it:
             for lo in range(0, b.num_rows, 500):
                 few = b.slice(lo, 500)
-                texts = C.blobs([unzip.decompress(z) for z in few.column(0).to_pylist()])
+                texts = C.blobs(C.unpacked(few.column(0)))
                 for at, to, buf, off in C.text_slices(texts):
                     h, first = shingle_sets(buf, off, n)
                     node = set_hash(h, first)
                     parts = [h[first[i] : first[i + 1]].tobytes() for i in range(to - at)]
                     yield pa.RecordBatch.from_arrays([pa.array(node), few.column(1).slice(at, to - at), C.blobs(parts)], names=["node", "want", "shingles"])
 
-    packed = C.map_arrow(docs.select(docs["text"], docs["doc_id"]), pack, f"doc_id {kind}, z binary")
-    found = C.map_arrow(packed.join(one, "doc_id").select("z", "node"), sets, "node bigint, want bigint, shingles binary")
+    found = C.map_arrow(C.packed_texts(docs, docs["doc_id"]).join(one, "doc_id").select("z", "node"), sets, "node bigint, want bigint, shingles binary")
     # A repeated id may bring other texts than the wanted one.
     return found.filter("node = want").drop("want").dropDuplicates(["node"])
 

@@ -5,13 +5,18 @@ from __future__ import annotations
 import corpus_pipeline
 from haulcomp.llm import mixing
 from haulcomp.llm.binary import op2_token_ids
+from haulcomp.llm.chat import op5_chat_format
 from haulcomp.llm.decontaminate import op9_benchmark_decontamination
 from haulcomp.llm.jaccard import op7_jaccard_join
 from haulcomp.llm.mixing import op3_mixing
 from haulcomp.llm.quality import op8_quality_rules
+from haulcomp.llm.unigram import op1_token_counts
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_token_ids, op3_mixing, op7_jaccard_join, op8_quality_rules, op9_benchmark_decontamination)
-} | {"pipeline": corpus_pipeline.run}
+    for f in (
+        op1_token_counts, op2_token_ids, op3_mixing, op5_chat_format, op7_jaccard_join, op8_quality_rules,
+        op9_benchmark_decontamination,
+    )
+} | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql()}
