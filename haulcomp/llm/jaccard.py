@@ -6,12 +6,15 @@
    order of all shingles. The order is rare first: shingle counts over all documents are summed in a sketch
    of 2 ** SLOT_BITS slots (a fixed size), ties by hash. So passages that many documents share
    stand last and hardly ever bring documents together.
-3. A key (shingle of a prefix) that several nodes share has its least node as pivot. Nodes of the keys of one pivot
-   are a block; any linked pair shares a key, so it meets in a block. Blocks are cut into chunks of
-   at most CHUNK nodes, each with the pivot. In a chunk all nodes are tried against the pivot; those that link are
-   settled with respect to each other. The rest is joined with the whole chunk by dual traversal of two signature
-   trees: a tree's nodes hold the OR of their sets' bitmaps, the range of sizes and the most collisions, from which
-   the largest possible overlap follows. In a block of several chunks the rest then meets the other chunks.
+3. A key (shingle of a prefix) that several nodes of compatible sizes share has a pivot. Sizes are cut into classes a
+   factor t apart; a node shows up in its class and the next, so compatible sizes meet. Nodes of the keys of one
+   pivot and class are a block; any linked pair shares a key, so it meets in a block. Blocks are cut into chunks
+   of at most CHUNK nodes, each with the pivot.
+   a. Bitmaps alone (a 16th of a set or less): a node that can't overlap enough with any other node of its block leaves.
+   b. With the sets: all nodes are tried against the pivot; those that link are settled with respect to each
+      other. The rest is joined with the whole chunk, and in a block of several chunks with the other chunks too.
+   Both go by dual traversal of two signature trees: a tree's nodes hold the OR of their sets' bitmaps, the range of
+   sizes and the most collisions, from which the largest possible overlap follows.
 4. Verified links between nodes are joined to components by label propagation with pointer jumping.
 
 Every pair of a block that isn't already linked through its pivot is tried (or excluded by a bound), so components
@@ -39,7 +42,7 @@ WORDS, PERCENT = 5, 80
 SLOT_BITS = 18
 #: Nodes of a block that one task takes at once.
 CHUNK = 2000
-BITS, LEAF, FAN = 2048, 16, 8
+LEAF, FAN = 16, 8
 
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,15 +81,33 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> C.U(64 - SLOT_BITS)).astype(np.int64)
 
 
+def bitmap_bits(size: np.ndarray) -> np.ndarray:
+    """Length of the bitmap of a set: the power of two from twice its size up, 64 at least."""
+    return 1 << np.ceil(np.log2(np.maximum(2 * size, 64))).astype(np.int64)
+
+
+def bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """The bitmap of each set, by the low bits of its members."""
+    size = np.diff(first)
+    length = bitmap_bits(size)
+    start = np.concatenate([[0], np.cumsum(length)])
+    flags = np.zeros(int(start[-1]), bool)
+    doc = np.repeat(np.arange(len(size)), size)
+    flags[start[doc] + (h & (length[doc] - 1).astype(C.U)).astype(np.int64)] = True
+    packed = np.packbits(flags, bitorder="little")
+    return [packed[start[i] // 8 : start[i + 1] // 8].tobytes() for i in range(len(size))]
+
+
 def document_nodes(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles) of every row."""
+    """doc_id, n_shingles, node and bits (null without shingles) of every row."""
 
     def compute(buf, off):
         h, first = shingle_sets(buf, off, n)
         size = np.diff(first)
-        return {"n_shingles": size, "node": pa.array(set_hash(h, first), mask=size == 0)}
+        none = size == 0
+        return {"n_shingles": size, "node": pa.array(set_hash(h, first), mask=none), "bits": C.blobs([None if e else b for e, b in zip(none, bitmaps(h, first))])}
 
-    return C.with_text_columns(docs, [key], compute, "n_shingles bigint, node bigint")
+    return C.with_text_columns(docs, [key], compute, "n_shingles bigint, node bigint, bits binary")
 
 
 def slot_counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -127,11 +148,59 @@ def prefix_keys(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Da
     return C.map_arrow(docs.select("text"), run, "key bigint, node bigint")
 
 
-def memberships(keys: DataFrame) -> DataFrame:
-    """(block, node): every node of a key that several nodes share, under the key's least node, and the pivot itself."""
-    pivots = keys.groupBy("key").agg(F.min("node").alias("block"), F.max("node").alias("_most"))
-    pivots = pivots.filter(F.col("block") < F.col("_most")).drop("_most")
-    return keys.join(pivots, "key").select("block", "node").distinct()
+def memberships(keys: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(block, tag, chunks, chunk, node): the nodes of every shared key under its pivot, in chunks that all have the pivot.
+
+    A tag holds the sizes of its class and of the class below; its pivots are of its class.
+    """
+    shared = keys.groupBy("key").agg(F.min("node").alias("_least"), F.max("node").alias("_most"))
+    shared = shared.filter("_least < _most").select("key")
+    size_class = F.floor(F.log("n_shingles") / F.lit(float(np.log(100 / percent)))).cast("int")
+    rows = keys.join(shared, "key").join(sizes.select("node", size_class.alias("_class")), "node")
+    rows = rows.select("key", "node", "_class", F.explode(F.array(F.col("_class"), F.col("_class") + 1)).alias("tag"))
+    pivot = F.min(F.when(F.col("_class") == F.col("tag"), F.col("node"))).alias("block")
+    groups = rows.groupBy("key", "tag").agg(pivot, F.min("node").alias("_least"), F.max("node").alias("_most"))
+    groups = groups.filter("block IS NOT NULL AND _least < _most").select("key", "tag", "block")
+    members = C.stage(rows.join(groups, ["key", "tag"]).select("block", "tag", "node").distinct(), "memberships")
+    counts = members.groupBy("block", "tag").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
+    members = members.join(counts, ["block", "tag"])
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
+    chunk = F.explode(F.when(F.col("node") == F.col("block"), everywhere).otherwise(F.array(own)))
+    return members.select("block", "tag", "chunks", chunk.alias("chunk"), "node")
+
+
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    spread = rows.repartition(C.parts_of(rows.sparkSession), "block", "tag", "chunk")
+    return spread.sortWithinPartitions("block", "tag", "chunk")
+
+
+def possible_members(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Members whose bitmap leaves room for a link inside their chunk; those of cut blocks all stay."""
+    rows = _in_chunks(members.join(nodes, "node").select("block", "tag", "chunk", "chunks", "node", "n_shingles", "bits"))
+    schema = members.schema
+
+    def run(it):
+        for t in sorted_groups(it, 3):
+            stay = np.ones(t.num_rows, bool)
+            if t.column("chunks")[0].as_py() == 1:
+                sets = Sets(t.column("n_shingles").to_numpy(), t.column("bits").to_pylist())
+                pivot = int(np.flatnonzero(t.column("node").to_numpy() == t.column("block")[0].as_py())[0])
+                stay = sets.may_link(pivot, percent)
+                stay[pivot] = False
+                rest = np.flatnonzero(~stay)
+                near = stay.copy()
+                near[pivot] = stay.any()
+                if len(rest) > 1:
+                    for i, j in dual(Tree(sets, rest), Tree(sets, np.arange(len(stay))), percent):
+                        if i != j:
+                            near[i] = near[j] = True
+                stay = near
+            if stay.any():
+                kept = t.filter(pa.array(stay)).select(schema.names)
+                yield from kept.combine_chunks().to_batches()
+
+    return C.map_arrow(rows, run, schema)
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -154,17 +223,20 @@ def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> D
 
 
 class Sets:
-    """Shingle sets with their bitmaps."""
-
-    def __init__(self, parts: list[np.ndarray]):
-        self.parts = parts
-        self.size = np.array([len(p) for p in parts], np.int64)
-        self.bits = np.zeros((len(parts), BITS // 64), C.U)
-        for i, p in enumerate(parts):
-            bit = (p & C.U(BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(self.bits[i], bit >> 6, C.U(1) << (bit & 63).astype(C.U))
+    """Sizes and bitmaps of sets, the bitmaps folded to the shortest length among them, and the sets if at hand."""
+
+    def __init__(self, size: np.ndarray, bits: list[bytes], parts: list[np.ndarray] | None = None):
+        shortest = min(map(len, bits))
+        self.size, self.parts = size.astype(np.int64), parts
+        self.bits = np.stack([np.bitwise_or.reduce(np.frombuffer(b, C.U).reshape(-1, shortest // 8), 0) for b in bits])
         self.clash = self.size - np.bitwise_count(self.bits).sum(1).astype(np.int64)
 
+    def may_link(self, one: int, percent: int) -> np.ndarray:
+        """Which sets could reach the threshold with one of them, by size and bitmap."""
+        shared = np.bitwise_count(self.bits & self.bits[one]).sum(1).astype(np.int64)
+        most = np.minimum(np.minimum(self.size, self.size[one]), shared + np.minimum(self.clash, self.clash[one]))
+        return (100 + percent) * most >= percent * (self.size + self.size[one])
+
     def linked(self, a: int, other: "Sets", b: int, percent: int) -> bool:
         x, y = self.parts[a], other.parts[b]
         if len(x) > len(y):
@@ -244,58 +316,68 @@ def sorted_groups(it, width: int) -> Iterator[pa.Table]:
 
 
 def _sets_of(table: pa.Table) -> Sets:
-    return Sets([np.frombuffer(x, C.U) for x in table.column("shingles").to_pylist()])
+    parts = [np.frombuffer(x, C.U) for x in table.column("shingles").to_pylist()]
+    size = np.array([len(p) for p in parts])
+    return Sets(size, bitmaps(np.concatenate(parts), np.concatenate([[0], np.cumsum(size)])), parts)
 
 
-def block_links(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links, rest) of (block, node, shingles) rows: links inside chunks, and nodes of cut blocks that don't link to the pivot."""
-    sizes = members.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK)).cast("int").alias("chunks"))
-    rows = members.join(sizes, "block")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    everywhere = F.sequence(F.lit(0), F.col("chunks") - 1)
-    chunk = F.explode(F.when(F.col("node") == F.col("block"), everywhere).otherwise(F.array(own)))
-    rows = C.stage(rows.select("block", chunk.alias("chunk"), "node", "chunks", "shingles"), "blocks")
-    spread = rows.repartition(C.parts_of(rows.sparkSession), "block", "chunk").sortWithinPartitions("block", "chunk")
+def _pairs(block, a: list, b: list) -> pa.RecordBatch:
+    columns = [pa.array(x, pa.int64()) for x in (a, b)]
+    where = [pa.array([v] * len(a), t) for v, t in zip(block, (pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([*where, *columns], names=["block", "tag", "chunk", "a", "b"])
+
+
+def block_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(links inside chunks, links between chunks of cut blocks) as pairs a, b of nodes."""
 
     def chunks(it):
-        for t in sorted_groups(it, 2):
-            node, sets = t.column("node").to_numpy(), _sets_of(t)
-            pivot = int(np.flatnonzero(node == t.column("block")[0].as_py())[0])
-            hit = np.array([i == pivot or sets.linked(pivot, sets, i, percent) for i in range(len(node))])
-            pairs = [(pivot, i) for i in np.flatnonzero(hit) if i != pivot]
+        for t in sorted_groups(it, 3):
+            if t.num_rows < 2:
+                continue
+            node, own = t.column("node").to_numpy(), _sets_of(t)
+            pivots = np.flatnonzero(node == t.column("block")[0].as_py())
+            hit = np.zeros(len(node), bool)
+            pairs = []
+            if len(pivots):
+                pivot = int(pivots[0])
+                may = own.may_link(pivot, percent)
+                hit = np.array([i == pivot or bool(may[i]) and own.linked(pivot, own, i, percent) for i in range(len(node))])
+                pairs = [(pivot, i) for i in np.flatnonzero(hit) if i != pivot]
             rest = np.flatnonzero(~hit)
-            if len(rest) and len(node) > 2:
-                whole = Tree(sets, np.arange(len(node)))
-                tried = ((i, j) for i, j in dual(Tree(sets, rest), whole, percent) if i != j and not (not hit[j] and j < i))
-                pairs += [(i, j) for i, j in tried if sets.linked(i, sets, j, percent)]
+            if len(rest) and len(node) > 1 + len(pivots):
+                tried = dual(Tree(own, rest), Tree(own, np.arange(len(node))), percent)
+                pairs += [(i, j) for i, j in tried if (hit[j] or i < j) and own.linked(i, own, j, percent)]
             a, b = [node[i] for i, _ in pairs], [node[j] for _, j in pairs]
             if t.column("chunks")[0].as_py() > 1:
                 # A missing partner marks a node that the other chunks still have to see.
                 a, b = a + list(node[rest]), b + [None] * len(rest)
             if a:
-                block = [t.column("block")[0].as_py()] * len(a)
-                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["block", "a", "b"])
+                yield _pairs([t.column(c)[0].as_py() for c in ("block", "tag", "chunk")], a, b)
 
-    found = C.stage(C.map_arrow(spread, chunks, "block bigint, a bigint, b bigint"), "block-links")
+    with_sets = members.join(sets, "node").select("block", "tag", "chunk", "chunks", "node", "shingles")
+    found = C.stage(C.map_arrow(_in_chunks(with_sets), chunks, "block bigint, tag int, chunk int, a bigint, b bigint"), "block-links")
     links = found.filter("b IS NOT NULL").select("a", "b")
-    rest = found.filter("b IS NULL").select("block", F.col("a").alias("node"))
+    rest = found.filter("b IS NULL").select("block", "tag", "chunk", F.col("a").alias("node"))
     if rest.isEmpty():
         return links, None
-    # Second round, cut blocks only: chunks of what is left against all other chunks.
-    cut = rows.filter("chunks > 1 AND node <> block")
-    left = cut.join(rest, ["block", "node"], "left_semi")
-    others = left.groupBy("block").agg(F.collect_set("chunk").alias("_with"))
-    left = left.select("block", F.col("chunk").alias("cu"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cm"), F.lit(True).alias("rest"), "node", "shingles")
-    whole = cut.join(others, "block").select("block", F.explode("_with").alias("cu"), F.col("chunk").alias("cm"), F.lit(False).alias("rest"), "node", "shingles")
-    both = left.unionByName(whole).filter("cu <> cm")
-    spread = both.repartition(C.parts_of(rows.sparkSession), "block", "cu", "cm").sortWithinPartitions("block", "cu", "cm")
+    # Cut blocks only: chunks that have something left against all other chunks.
+    cut = members.filter("chunks > 1 AND node <> block")
+    left = cut.join(rest, ["block", "tag", "chunk", "node"], "left_semi")
+    cu, cm = F.col("chunk").alias("cu"), F.col("chunk").alias("cm")
+    others = left.select("block", "tag", cu).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("cm")
+    left = left.select("block", "tag", cu, every, F.lit(True).alias("rest"), "node")
+    whole = cut.select("block", "tag", cm, "node").join(others, ["block", "tag"])
+    both = left.unionByName(whole.select("block", "tag", "cu", "cm", F.lit(False).alias("rest"), "node")).filter("cu <> cm")
+    both = both.join(sets, "node").select("block", "tag", "cu", "cm", "rest", "node", "shingles")
+    spread = both.repartition(C.parts_of(members.sparkSession), "block", "tag", "cu", "cm").sortWithinPartitions("block", "tag", "cu", "cm")
 
     def across(it):
-        for t in sorted_groups(it, 3):
-            is_rest, node, sets = t.column("rest").to_numpy(), t.column("node").to_numpy(), _sets_of(t)
+        for t in sorted_groups(it, 4):
+            is_rest, node, own = t.column("rest").to_numpy(), t.column("node").to_numpy(), _sets_of(t)
             u, m = np.flatnonzero(is_rest), np.flatnonzero(~is_rest)
             if len(u) and len(m):
-                pairs = [(node[i], node[j]) for i, j in dual(Tree(sets, u), Tree(sets, m), percent) if sets.linked(i, sets, j, percent)]
+                pairs = [(node[i], node[j]) for i, j in dual(Tree(own, u), Tree(own, m), percent) if own.linked(i, own, j, percent)]
                 if pairs:
                     a, b = zip(*pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -324,12 +406,13 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     docs = docs.select("doc_id", "text")
     nodes = C.stage(document_nodes(docs, n), "nodes")
     keys = prefix_keys(docs, n, percent, slot_counts(docs, n))
-    blocks = C.stage(memberships(keys), "memberships")
-    sets = node_sets(docs, nodes, blocks.select("node").distinct(), n)
-    links, more = block_links(blocks.join(sets, "node"), percent)
+    one = nodes.filter("node IS NOT NULL").select("node", "n_shingles", "bits").dropDuplicates(["node"])
+    members = C.stage(possible_members(memberships(keys, one.select("node", "n_shingles"), percent), one, percent), "members")
+    sets = C.stage(node_sets(docs, nodes.drop("bits"), members.select("node").distinct(), n), "sets")
+    links, more = block_links(members, sets, percent)
     labels = components(links if more is None else links.unionByName(more))
     # Sets of one document's size stand for themselves; documents without shingles stay alone.
-    named = nodes.join(labels, "node", "left").withColumn("_c", F.coalesce("label", "node")).drop("label")
+    named = nodes.drop("bits").join(labels, "node", "left").withColumn("_c", F.coalesce("label", "node")).drop("label")
     least = named.filter("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "_c", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
