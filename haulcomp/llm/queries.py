@@ -8,6 +8,7 @@ from haulcomp.llm.binary import op2_token_ids
 from haulcomp.llm.chat import op5_chat_format
 from haulcomp.llm.decontaminate import op9_benchmark_decontamination
 from haulcomp.llm.jaccard import op7_jaccard_join
+from haulcomp.llm.lines import op10_line_dedup
 from haulcomp.llm.mixing import op3_mixing
 from haulcomp.llm.quality import op8_quality_rules
 from haulcomp.llm.unigram import op1_token_counts
@@ -16,7 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_token_ids, op3_mixing, op5_chat_format, op7_jaccard_join, op8_quality_rules,
-        op9_benchmark_decontamination,
+        op9_benchmark_decontamination, op10_line_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql()}
