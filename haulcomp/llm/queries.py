@@ -11,13 +11,14 @@ from haulcomp.llm.jaccard import op7_jaccard_join
 from haulcomp.llm.lines import op10_line_dedup
 from haulcomp.llm.mixing import op3_mixing
 from haulcomp.llm.quality import op8_quality_rules
+from haulcomp.llm.substrings import op6_substring_dedup
 from haulcomp.llm.unigram import op1_token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_token_ids, op3_mixing, op5_chat_format, op7_jaccard_join, op8_quality_rules,
-        op9_benchmark_decontamination, op10_line_dedup,
+        op1_token_counts, op2_token_ids, op3_mixing, op5_chat_format, op6_substring_dedup, op7_jaccard_join,
+        op8_quality_rules, op9_benchmark_decontamination, op10_line_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.sql()}
