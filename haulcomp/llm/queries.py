@@ -10,6 +10,7 @@ from haulcomp.llm.decontaminate import op9_benchmark_decontamination
 from haulcomp.llm.jaccard import op7_jaccard_join
 from haulcomp.llm.lines import op10_line_dedup
 from haulcomp.llm.mixing import op3_mixing
+from haulcomp.llm.ngrams import op4_lm_scoring
 from haulcomp.llm.quality import op8_quality_rules
 from haulcomp.llm.substrings import op6_substring_dedup
 from haulcomp.llm.unigram import op1_token_counts
@@ -17,7 +18,7 @@ from haulcomp.llm.unigram import op1_token_counts
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_token_ids, op3_mixing, op5_chat_format, op6_substring_dedup, op7_jaccard_join,
+        op1_token_counts, op2_token_ids, op3_mixing, op4_lm_scoring, op5_chat_format, op6_substring_dedup, op7_jaccard_join,
         op8_quality_rules, op9_benchmark_decontamination, op10_line_dedup,
     )
 } | {"pipeline": corpus_pipeline.run}
