@@ -36,6 +36,8 @@ ITERS = (2, 3)
 ITERS_SAMPLES = 40
 POINTS = 64
 SURVEY = "GOA"
+# The species the effective-sample-size charts show.
+CHART_SPECIES = (21921, 10110, 21720)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -342,7 +344,7 @@ def c7a_bootstrap_hauls(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c7b_bootstrap_lengths(spark: SparkSession, sf: str) -> DataFrame:
-    return bootstrap_lengths(stage(_boot_rows(spark, sf), "boot"), SEED).drop("run", "ss")
+    return bootstrap_lengths(_boot_rows(spark, sf), SEED).drop("run", "ss")
 
 
 @query
@@ -361,13 +363,16 @@ def c9_sims_boot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    runs = {"base": (0, None), **{f"s{n:03d}": (n, n) for n in SWEEP}}
-    return simulate.label_scenarios({k: (ss, _boot_ess(spark, sf, n)) for k, (ss, n) in runs.items()})
+    og = base(spark, sf)
+    return simulate.sweep_boot(lfreq(spark, sf), cpue(spark, sf), og, (None, *SWEEP), YRS, False, SIMS, SEED)
 
 
 @query
 def c10_label_scenarios(spark: SparkSession, sf: str) -> DataFrame:
-    return single(_scenarios(spark, sf), "value")
+    """The first scenario on its own under the others of one job: labels by hand or by the sweep are the same."""
+    rest = _scenarios(spark, sf).filter(F.col("type") != "base")
+    first = simulate.label_scenarios({"base": (0, _boot_ess(spark, sf, None))})
+    return single(rest.unionByName(first), "value")
 
 
 # ---- summaries -----------------------------------------------------------------------------
@@ -389,6 +394,23 @@ def d2_bin_summary_strata(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(df, "mean", "se", "lci", "uci", places=4)
 
 
+def _swept(spark: SparkSession, sf: str) -> DataFrame:
+    return staged_once(
+        spark, f"sweep {sf}", lambda: simulate.sweep(lfreq(spark, sf), cpue(spark, sf), SWEEP, SIMS, YRS, False, SEED)
+    )
+
+
+@query
+def d2_bin_summary_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(summary.bin_summary(_swept(spark, sf), "sweep"), "mean", "se", "lci", "uci", places=4)
+
+
+@query
+def d4_compare_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    df = summary.compare(base(spark, sf), _swept(spark, sf), False, "og", "s20")
+    return rounded(df, "og", "s20", "diff", "pd", places=4)
+
+
 @query
 def d3_only(spark: SparkSession, sf: str) -> DataFrame:
     return summary.only(base(spark, sf), ["10110", "10120"], [1998, 1999])
@@ -408,7 +430,7 @@ def d4_compare_strata(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def d5_ribbon_frame(spark: SparkSession, sf: str) -> DataFrame:
-    df = summary.ribbon_frame(base(spark, sf), sampled(spark, sf), "og", "s20", ["10110"])
+    df = summary.ribbon_frame(base(spark, sf), sampled(spark, sf), "og", "s20")
     return rounded(df, "mean", "se", "lci", "uci", places=4)
 
 
@@ -449,6 +471,12 @@ def d10_point_range(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(summary.point_range(_ess_frame(spark, sf)), "mean", "se", "lci", "uci")
 
 
+@query
+def d10_point_range_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """The species that the effective-sample-size charts show, given as an argument."""
+    return rounded(summary.point_range(_ess_frame(spark, sf), CHART_SPECIES), "mean", "se", "lci", "uci")
+
+
 @query
 def d11_point_range_by_year(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(summary.point_range_by_year(_ess_frame(spark, sf)), "mean", "se", "lci", "uci")

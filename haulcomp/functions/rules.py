@@ -51,8 +51,9 @@ def sum0(x: Column) -> Column:
 
 
 def half_even(x: Column) -> Column:
-    """Round half to even, after snapping to six places so that ties do not hang on summation order."""
-    return F.rint(F.rint(x * 1e6) / 1e6)
+    """Round half to even; what is within 1e-12 of its size from a half is a half, so ties do not hang on summation order."""
+    halves = F.rint(x * 2)
+    return F.when(F.abs(x * 2 - halves) <= F.abs(x) * 1e-12, F.rint(halves / 2)).otherwise(F.rint(x))
 
 
 def replicate_keys(df: DataFrame) -> list[str]:
@@ -91,4 +92,4 @@ def require_strata(by_stratum: bool, *frames: DataFrame) -> None:
     """Refuse stratified input unless the caller asked for strata, and the reverse."""
     for df in frames:
         if ("stratum" in df.columns) != by_stratum:
-            raise ValueError("check your strata: by_stratum must say whether the inputs have a stratum column")
+            raise ValueError("by_stratum must say whether the inputs have a stratum column")

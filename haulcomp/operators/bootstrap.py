@@ -21,6 +21,8 @@ ROW = ["hauljoin", "sex", "length", "frequency"]
 # Hex digits of the hash that split a stratum's rows: 16 ** 3 = 4096 parts.
 PREFIX = 3
 REPS = REPLICATE[1:]
+# Join keys a haul is spread over when its rows draw their lengths.
+SALTS = 16
 
 
 def row_blocks(lfreq: DataFrame) -> DataFrame:
@@ -67,18 +69,27 @@ def bootstrap_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) ->
 def bootstrap_lengths(rows: DataFrame, seed: int = SEED) -> DataFrame:
     """Each row gets the length of a row of its (new) haul drawn with replacement.
 
-    A haul's distinct lengths carry the ordinals they cover; a row matches the one its draw falls in.
+    A haul becomes one row: its lengths with running counts, as many as there are length bins. That row is repeated
+    for SALTS join keys, the haul's rows are dealt to them by ordinal, and each takes the first length whose running
+    count reaches its draw. As the salt is part of the key, what follows has a shuffle of its own, so
+    Spark may split a key that is still too large.
     """
-    haul = Window.partitionBy(*REPS, *KH)
     counts = rows.groupBy(*REPS, *KH, "length").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(haul.orderBy("length").rowsBetween(Window.unboundedPreceding, 0))
-    spans = counts.withColumns({"_upto": upto, "_rows": F.sum("_n").over(haul)})
-    spans = spans.withColumn("_from", F.col("_upto") - F.col("_n")).drop("_n")
+    haul = counts.groupBy(*REPS, *KH).agg(F.sort_array(F.collect_list(F.struct("length", "_n"))).alias("_lengths"), F.sum("_n").alias("_rows"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("int").alias("length"))
+    # The running count passes the draw at one length only; that length is kept on the way.
+    spans = haul.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     who = [F.col(c) for c in [*REPS, *K, "ordinal"]]
     # Hashed below the join, so that comparing with each length does not hash again.
-    hashed = rows.drop("length").withColumn("_bits", draw_bits(seed, "length", *who))
-    a, b = hashed.alias("a"), spans.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*REPS, *KH]]
-    drawn = index_of(F.col("_bits"), F.col("_rows"))
-    hit = a.join(b, [*same, drawn > F.col("_from"), drawn <= F.col("_upto")])
-    return hit.select(*[F.col(f"a.{c}") for c in [*REPS, *KH, "ordinal", "sex"]], "length", "frequency")
+    hashed = rows.drop("length").withColumns(
+        {"_bits": draw_bits(seed, "length", *who), "_salt": (F.col("ordinal") % SALTS).cast("int")}
+    )
+    hit = hashed.join(spans, [*REPS, *KH, "_salt"]).withColumn("_drawn", index_of(F.col("_bits"), F.col("_rows")))
+
+    def step(state, x):
+        upto = state["upto"] + x["_n"]
+        here = (state["upto"] < F.col("_drawn")) & (F.col("_drawn") <= upto)
+        return F.struct(upto.alias("upto"), F.when(here, x["length"]).otherwise(state["length"]).alias("length"))
+
+    length = F.aggregate("_lengths", zero, step)["length"].alias("length")
+    return hit.select(*REPS, *KH, "ordinal", "sex", length, "frequency")

@@ -21,7 +21,8 @@ from haulcomp.functions.rules import KH, SEX_CODE, SEXES, explode_spread, explod
 from haulcomp.operators.cells import length_cells
 from haulcomp.session import stage
 
-EVERYTHING = 2**31 - 1
+# The label of a run that keeps every fish; no sample size.
+EVERY_FISH = -1
 # Fish x replicates of one haul that one task may rank; a haul with more is spread.
 HOT_ROWS = 4_000_000
 CHUNK = 16_384
@@ -38,7 +39,7 @@ class Run:
 
     @property
     def size(self) -> int:
-        return EVERYTHING if self.samples is None else self.samples
+        return EVERY_FISH if self.samples is None else self.samples
 
 
 def with_runs(df: DataFrame, runs: Sequence[Run]) -> DataFrame:
@@ -91,12 +92,12 @@ def _keyed_fish(rows: DataFrame, ordinals: Column, seed: int) -> DataFrame:
 
 def random_part(cells: DataFrame, runs: Sequence[Run]) -> DataFrame:
     """Cells x runs whose sexed fish must be drawn."""
-    return with_runs(cells, runs).filter((F.col("sexed") > F.col("ss")) & (_sexed_count() > 0))
+    return with_runs(cells, runs).filter((F.col("ss") >= 0) & (F.col("sexed") > F.col("ss")) & (_sexed_count() > 0))
 
 
 def settled_part(cells: DataFrame, runs: Sequence[Run]) -> DataFrame:
     """Cells x runs that every replicate shares: all fish kept, or none of them sexed."""
-    return with_runs(cells, runs).filter((F.col("sexed") <= F.col("ss")) | (_sexed_count() == 0))
+    return with_runs(cells, runs).filter((F.col("ss") < 0) | (F.col("sexed") <= F.col("ss")) | (_sexed_count() == 0))
 
 
 def rank_fish(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
@@ -201,7 +202,7 @@ def subsample(
 ) -> DataFrame:
     """min(n, samples) sexed fish of each haul, drawn without replacement; ``new_samp`` is that number."""
     fish = _sexed_fish(lfreq, [Run(samples, iters)], seed, hot_rows, settled=True).filter("drawn")
-    return fish.withColumn("new_samp", F.least(F.col("n"), F.col("ss").cast("bigint"))).select(
+    return fish.withColumn("new_samp", F.when(F.col("ss") < 0, F.col("n")).otherwise(F.least(F.col("n"), F.col("ss").cast("bigint")))).select(
         "sim", *KH, "sex", "length", "id", "n", "new_samp"
     )
 

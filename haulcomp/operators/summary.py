@@ -7,11 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulcomp.functions.rules import INF, SEXES, rdiv, require_strata, strict_avg
+from haulcomp.functions.rules import INF, SEXES, rdiv, replicate_keys, require_strata, strict_avg
 from haulcomp.operators.distribution import density, quantiles
 
-# The species the effective-sample-size charts show.
-CHART_SPECIES = (21921, 10110, 21720)
 Z = 1.96
 
 
@@ -30,6 +28,11 @@ def only(df: DataFrame, species: Sequence | None = None, yrs: Sequence[int] | No
     return df
 
 
+def sweep_labels(df: DataFrame) -> list[str]:
+    """The labels of a sweep's runs: replicate keys other than the replicate itself."""
+    return [c for c in replicate_keys(df) if c != "sim"]
+
+
 def bin_summary(
     df: DataFrame,
     id: str,
@@ -37,8 +40,11 @@ def bin_summary(
     species: Sequence | None = None,
     yrs: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Mean over replicates with its standard error and 95% interval, by year, species, sex name and length."""
-    keys = ["year", "species_code", *(["stratum"] if by_stratum else []), "name", "length"]
+    """Mean over replicates with its standard error and 95% interval, by year, species, sex name and length.
+
+    A sweep's labels (type, run, ss) are kept: each of its runs has its own summary.
+    """
+    keys = [*sweep_labels(df), "year", "species_code", *(["stratum"] if by_stratum else []), "name", "length"]
     long = sexes_long(only(df, species, yrs))
     se = F.stddev_samp("value") / F.sqrt(F.count(F.lit(1)))
     stats = long.groupBy(*keys).agg(
@@ -64,16 +70,17 @@ def compare(
     if base_label == sim_label:
         raise ValueError("the two labels must differ")
     keys = ["year", "species_code", *(["stratum"] if by_stratum else []), "name"]
-    both = bin_summary(base, base_label, by_stratum, species, yrs).unionByName(
-        bin_summary(sim, sim_label, by_stratum, species, yrs)
-    )
 
-    def mean(label: str) -> Column:
-        mine = F.col("id") == label
-        whole = F.count(F.when(mine, F.col("mean"))) == F.count_if(mine)
-        return F.when(whole, F.avg(F.when(mine, F.col("mean")))).alias(label)
+    def means(df: DataFrame, label: str) -> DataFrame:
+        bins = bin_summary(df, label, by_stratum, species, yrs)
+        whole = F.count("mean") == F.count(F.lit(1))
+        by = [*sweep_labels(df), *keys]
+        return bins.groupBy(*by).agg(F.when(whole, F.avg("mean")).alias(label))
 
-    table = both.groupBy(*keys).agg(mean(base_label), mean(sim_label))
+    # One row per run of a sweep; without labels the two sides may each have keys of their own.
+    left, right = means(sim, sim_label), means(base, base_label)
+    table = left.join(right, keys, "left" if sweep_labels(sim) else "full")
+    table = table.select(*sweep_labels(sim), *keys, base_label, sim_label)
     b, s = F.col(base_label), F.col(sim_label)
     return table.withColumns({"diff": b - s, "pd": rdiv(b - s, (b + s) / 2) * 100})
 
@@ -89,7 +96,7 @@ def ribbon_frame(
     """Lines with 95% ribbons of base and simulation, by sex and year."""
     require_strata(False, base, sim)
     return bin_summary(base, base_label, False, species, yrs).unionByName(
-        bin_summary(sim, sim_label, False, species, yrs)
+        bin_summary(sim, sim_label, False, species, yrs), allowMissingColumns=True
     )
 
 
@@ -105,9 +112,10 @@ def density_frame(
 ) -> DataFrame:
     """Density of the compared means (in thousands) by data set, within species x sex."""
     table = compare(base, sim, by_stratum, base_label, sim_label, species, yrs)
-    long = table.unpivot(["species_code", "name"], [base_label, sim_label], "data", "value")
+    by = [*sweep_labels(sim), "species_code", "name"]
+    long = table.unpivot(by, [base_label, sim_label], "data", "value")
     scaled = long.withColumn("value", F.col("value") / 1000)
-    return density(scaled, ["species_code", "name", "data"], "value", points, ["species_code", "name"])
+    return density(scaled, [*by, "data"], "value", points, by)
 
 
 def diff_density(table: DataFrame, points: int = 512) -> DataFrame:
@@ -122,7 +130,7 @@ def _inverse(ess: DataFrame, species: Sequence | None) -> DataFrame:
 
 
 def box_frame(
-    ess: DataFrame, species: Sequence | None = CHART_SPECIES, keys: Sequence[str] = ("species_code", "ess", "type")
+    ess: DataFrame, species: Sequence | None = None, keys: Sequence[str] = ("species_code", "ess", "type")
 ) -> DataFrame:
     """Box statistics of 1 / ess: quartiles, and whiskers at the last value within 1.5 IQR."""
     values = _inverse(ess, species)
@@ -139,7 +147,7 @@ def box_frame(
 
 
 def box_outliers(
-    ess: DataFrame, species: Sequence | None = CHART_SPECIES, keys: Sequence[str] = ("species_code", "ess", "type")
+    ess: DataFrame, species: Sequence | None = None, keys: Sequence[str] = ("species_code", "ess", "type")
 ) -> DataFrame:
     """The values of 1 / ess beyond the whiskers."""
     values = _inverse(ess, species)
@@ -151,7 +159,7 @@ def box_outliers(
 
 def violin_frame(
     ess: DataFrame,
-    species: Sequence | None = CHART_SPECIES,
+    species: Sequence | None = None,
     keys: Sequence[str] = ("species_code", "ess", "type"),
     points: int = 512,
 ) -> DataFrame:
@@ -164,7 +172,7 @@ def violin_frame(
 
 def point_range(
     ess: DataFrame,
-    species: Sequence | None = CHART_SPECIES,
+    species: Sequence | None = None,
     keys: Sequence[str] = ("species_code", "ess", "type", "ss"),
 ) -> DataFrame:
     """Inverse of the mean ess with a 95% interval whose lower end stops at 0."""
@@ -186,7 +194,7 @@ def point_range(
 
 def point_range_by_year(
     ess: DataFrame,
-    species: Sequence | None = CHART_SPECIES,
+    species: Sequence | None = None,
     keys: Sequence[str] = ("year", "species_code", "ess", "type"),
 ) -> DataFrame:
     return point_range(ess, species, keys)

@@ -10,7 +10,7 @@ import re
 
 from haulcomp.catalog import ITERS, ITERS_SAMPLES, POINTS, SAMPLES, SEED, SIMS, SURVEY, SWEEP, YRS
 
-EVERYTHING = 2**31 - 1
+EVERY_FISH = -1
 K = "year, species_code, stratum"
 KH = f"{K}, hauljoin"
 REP = "run, ss, sim, "
@@ -29,7 +29,8 @@ def strict(agg: str, x: str, over: str = "") -> str:
 
 
 def whole(x: str) -> str:
-    return f"round_even(round_even(({x}) * 1e6, 0) / 1e6, 0)"
+    halves = f"round_even(({x}) * 2, 0)"
+    return f"CASE WHEN abs(({x}) * 2 - {halves}) <= abs({x}) * 1e-12 THEN round_even({halves} / 2, 0) ELSE round_even({x}, 0) END"
 
 
 def draw(n: str, stage: str, *parts: str) -> str:
@@ -57,7 +58,11 @@ def statement(final: str) -> str:
                     order.append(name)
 
     visit(final)
-    steps = ",\n".join(f"{name} AS ({STEPS[name]})" for name in order)
+    def form(name: str) -> str:
+        # The bootstrap reads these twice; written out once they can't be reordered into each other.
+        return f"{name} AS MATERIALIZED ({STEPS[name]})" if name == "numbered" or re.fullmatch(r"b(b|\d+)_[hl]", name) else f"{name} AS ({STEPS[name]})"
+
+    steps = ",\n".join(map(form, order))
     return f"WITH {steps}\n{final}" if order else final
 
 
@@ -68,10 +73,8 @@ SURVEY_CASE = """CASE n_regionkey WHEN 0 THEN 'AI' WHEN 1 THEN 'GOA' WHEN 2 THEN
 
 STEPS["fx_base"] = f"""
 SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
-       CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3
-                   WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END AS sp,
-       CASE p_type WHEN 'ECONOMY' THEN 10110 WHEN 'LARGE' THEN 10120 WHEN 'MEDIUM' THEN 10130
-                   WHEN 'PROMO' THEN 21720 WHEN 'SMALL' THEN 21740 ELSE 21921 END AS species_code,
+       sp, CASE sp WHEN 1 THEN 10110 WHEN 2 THEN 10120 WHEN 3 THEN 10130 WHEN 4 THEN 21720 WHEN 5 THEN 21740 ELSE 21921 END
+           AS species_code,
        {SURVEY_CASE} AS survey,
        s_nationkey AS stratum,
        CAST(year(o_orderdate) AS BIGINT) * 1000000 + l_suppkey AS hauljoin,
@@ -80,10 +83,11 @@ SELECT CAST(year(o_orderdate) AS INTEGER) AS year,
        CAST(p_size * 10 AS INTEGER) AS length,
        CAST(ceil(l_quantity / 10) AS INTEGER) AS frequency,
        CAST(l_quantity AS BIGINT) AS qty, l_linenumber, l_discount, p_size
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-JOIN part ON l_partkey = p_partkey
+FROM (SELECT *, CASE WHEN (l_suppkey + kind) % 6 = 0 THEN kind % 6 + 1 ELSE kind END AS sp FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN (SELECT *, CASE p_type WHEN 'ECONOMY' THEN 1 WHEN 'LARGE' THEN 2 WHEN 'MEDIUM' THEN 3
+                              WHEN 'PROMO' THEN 4 WHEN 'SMALL' THEN 5 ELSE 6 END AS kind FROM part) p ON l_partkey = p_partkey
 JOIN supplier ON l_suppkey = s_suppkey
-JOIN nation ON s_nationkey = n_nationkey"""
+JOIN nation ON s_nationkey = n_nationkey)"""
 STEPS["fx_strata"] = f"""
 SELECT {SURVEY_CASE} AS survey, n_nationkey AS stratum, CAST((n_nationkey + 1) * 100 AS DOUBLE) AS area
 FROM nation"""
@@ -91,16 +95,14 @@ STEPS["fx_lfreq"] = """
 SELECT survey, year, species_code, stratum, hauljoin, sex, length, frequency
 FROM fx_base
 WHERE (l_suppkey + year) % 9 <> 0
-  AND NOT (sp = 4 AND l_suppkey % 5 = 0)
-  AND (l_suppkey + sp) % 6 <> 0"""
+  AND NOT (sp = 4 AND l_suppkey % 5 = 0)"""
 STEPS["fx_cpue"] = """
 SELECT h.survey, h.year, s.species_code,
        CASE WHEN c.q IS NOT NULL THEN h.hauljoin * 10 + s.sp END AS catchjoin,
        h.hauljoin, h.stratum, CAST(coalesce(c.q, 0) AS DOUBLE) AS numcpue, t.area
 FROM (SELECT DISTINCT survey, year, stratum, hauljoin, l_suppkey FROM fx_base) h
 CROSS JOIN (SELECT DISTINCT sp, species_code FROM fx_base) s
-LEFT JOIN (SELECT hauljoin, sp, SUM(qty) AS q FROM fx_base
-           WHERE (l_suppkey + sp) % 6 <> 0 GROUP BY hauljoin, sp) c
+LEFT JOIN (SELECT hauljoin, sp, SUM(qty) AS q FROM fx_base GROUP BY hauljoin, sp) c
   ON c.hauljoin = h.hauljoin AND c.sp = s.sp
 LEFT JOIN fx_strata t ON t.stratum = h.stratum"""
 STEPS["fx_specimen"] = """
@@ -108,7 +110,7 @@ SELECT survey AS region, year, species_code, stratum, hauljoin, sex, length,
        CASE WHEN l_discount > 0.08 THEN NULL
             ELSE CAST(floor(p_size / 5) AS INTEGER) + l_linenumber END AS age
 FROM fx_base
-WHERE l_linenumber <= 3 AND (sex <> 3 OR year % 2 = 0)"""
+WHERE sex <> 3 OR year % 2 = 0"""
 
 STEPS["lf"] = f"SELECT {KH}, sex, length, frequency FROM fx_lfreq WHERE year >= {YRS}"
 STEPS["cp"] = f"SELECT {K}, catchjoin, hauljoin, numcpue, area FROM fx_cpue WHERE year >= {YRS}"
@@ -186,7 +188,7 @@ SELECT {REP}{KH}, sex, length, ordinal, id, n,
 FROM {source} WHERE sex <> 3"""
     STEPS[f"{name}_freq"] = f"""
 SELECT {REP}{KH}, sex, length, COUNT(*) AS frequency FROM (
-  SELECT {REP}{KH}, CASE WHEN rk > ss THEN 3 ELSE sex END AS sex, length FROM {name}_rank
+  SELECT {REP}{KH}, CASE WHEN ss >= 0 AND rk > ss THEN 3 ELSE sex END AS sex, length FROM {name}_rank
   UNION ALL SELECT {REP}{KH}, sex, length FROM {source} WHERE sex = 3) GROUP BY ALL"""
 
 
@@ -202,7 +204,7 @@ def simulated(name: str, runs: list[tuple[int, int, int]]) -> None:
 
 
 def booted(name: str, samples: int | None) -> None:
-    reps(f"{name}_reps", [(0, EVERYTHING if samples is None else samples, SIMS)])
+    reps(f"{name}_reps", [(0, EVERY_FISH if samples is None else samples, SIMS)])
     STEPS[f"{name}_h"] = f"""
 SELECT {REP}t.year, t.species_code, t.stratum, d.hauljoin, t.ordinal, t.sex, t.length, t.frequency
 FROM (SELECT *, {draw('n', 'haul', 'run', 'ss', 'sim', 'year', 'species_code', 'stratum', 'ordinal')} AS j
@@ -253,7 +255,7 @@ def score(name: str, sim: str, og: str, rep: str, groups: str, at: str, age: boo
     shares(f"{name}_p", sim, rep + groups, at, "prop", age)
     shares(f"{name}_q", og, groups, at, "og", age)
     parts = ", ".join(
-        div(strict("SUM", f"prop_{x} * (1 - prop_{x})"), strict("SUM", f"(prop_{x} - og_{x}) * (prop_{x} - og_{x})"))
+        div(strict("SUM", f"prop_{x} * (1 - prop_{x})"), strict("SUM", f"pow(CASE WHEN abs(prop_{x} - og_{x}) <= greatest(prop_{x}, og_{x}) * 1e-12 THEN 0 ELSE prop_{x} - og_{x} END, 2)"))
         + f" AS ess_{x}"
         for x in "fmt"
     )
@@ -355,6 +357,7 @@ SELECT *, mean - 1.96 * se AS lci, mean + 1.96 * se AS uci, '{label}' AS id FROM
 
 bins("d2", "sim_size", "year, species_code", "s20")
 bins("d2_st", "sim_size_st", K, "s20_st")
+bins("d2_swp", "swp_size", "ss, year, species_code", "sweep")
 bins("d2_og", "og_size", "year, species_code", "og")
 bins("d2_og_st", "og_size_st", K, "og")
 
@@ -367,6 +370,8 @@ SELECT *, og - s20 AS diff, {div('og - s20', '(og + s20) / 2')} * 100 AS pd FROM
 
 
 compared("d4", "d2_og", "d2", "year, species_code")
+STEPS["d2_og_swp"] = "SELECT DISTINCT s.ss, o.* FROM d2_og o, (SELECT DISTINCT ss FROM swp_reps) s"
+compared("d4_swp", "d2_og_swp", "d2_swp", "ss, year, species_code")
 compared("d4_st", "d2_og_st", "d2_st", K)
 
 
@@ -394,7 +399,7 @@ UNION ALL SELECT species_code, name, 's20', s20 / 1000 FROM d4"""
 curves("d6", "d6_in", "species_code, name, data", "value", "species_code, name")
 curves("d7", "d4_st", "stratum", "diff", "")
 STEPS["chart"] = f"""
-SELECT *, {div('1', 'value')} AS x FROM scen WHERE ess <> 'ess_t' AND species_code IN (21921, 10110, 21720)"""
+SELECT *, {div('1', 'value')} AS x FROM scen WHERE ess <> 'ess_t'"""
 STEPS["inverse"] = "SELECT * FROM chart WHERE x IS NOT NULL AND NOT isinf(x)"
 _box = "species_code, ess, type"
 STEPS["boxes"] = f"""
@@ -485,11 +490,13 @@ FINAL: dict[str, str] = {
     ),
     "d2_bin_summary": f"SELECT year, species_code, name, length, {_stats} FROM d2",
     "d2_bin_summary_strata": f"SELECT {K}, name, length, {_stats} FROM d2_st",
+    "d2_bin_summary_sweep": f"SELECT ss, year, species_code, name, length, {_stats} FROM d2_swp",
+    "d4_compare_sweep": f"SELECT ss, year, species_code, name, {_sides} FROM d4_swp",
     "d3_only": f"SELECT {_cells} FROM og_size WHERE species_code IN (10110, 10120) AND year IN (1998, 1999)",
     "d4_compare": f"SELECT year, species_code, name, {_sides} FROM d4",
     "d4_compare_strata": f"SELECT {K}, name, {_sides} FROM d4_st",
     "d5_ribbon_frame": f"""SELECT year, species_code, name, length, {_stats} FROM
-        (SELECT * FROM d2_og UNION ALL BY NAME SELECT * FROM d2) WHERE species_code = 10110""",
+        (SELECT * FROM d2_og UNION ALL BY NAME SELECT * FROM d2)""",
     "d6_density_frame": f"SELECT species_code, name, data, point, {r('x')}, {r('density')} FROM d6",
     "d7_diff_density": f"SELECT stratum, point, {r('x')}, {r('density')} FROM d7",
     "d8_box_frame": f"""SELECT {_box}, max(n) AS n, {r('min(CASE WHEN inside THEN x END)', name='ymin')},
@@ -499,6 +506,7 @@ FINAL: dict[str, str] = {
     "d9_violin_frame": f"""SELECT {_box}, point, {r('x')}, {single('density')}, {r('middle', name='median')}
         FROM d9 JOIN boxes USING ({_box})""",
     "d10_point_range": f"SELECT species_code, ess, type, ss, {_range} FROM d10",
+    "d10_point_range_chart": f"SELECT species_code, ess, type, ss, {_range} FROM d10 WHERE species_code IN (21921, 10110, 21720)",
     "d11_point_range_by_year": f"SELECT year, species_code, ess, type, {_range} FROM d11",
     "e1_proportions": f"SELECT {K}, length, {r('og_m')}, {r('og_f')}, {r('og_t')} FROM e3_q",
     "e2_ess_size": f"SELECT {_ess} FROM e2",

@@ -175,8 +175,8 @@ def bootstrapped(
 ) -> DataFrame:
     """As ``resampled``, each replicate on its own bootstrap of hauls and lengths.
 
-    The rows after the haul draw are read by three branches, so they are staged once.
+    Draws are hashes, so nothing of the size of rows x replicates is written: what is staged are haul x length cells.
     """
     grid = length_grid(lfreq, yrs, by_stratum)
-    rows = stage(bootstrap_hauls(since(lfreq, yrs), runs, seed), "bootstrap-hauls")
+    rows = bootstrap_hauls(since(lfreq, yrs), runs, seed)
     return estimate(bootstrap_lengths(rows, seed), since(cpue, yrs), grid, runs, REPS, by_stratum, seed, hot_rows)

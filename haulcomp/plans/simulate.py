@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED
-from haulcomp.functions.rules import KH
+from haulcomp.functions.rules import KH, replicate_keys
 from haulcomp.operators.cells import since
 from haulcomp.operators.ess import ess_size
-from haulcomp.operators.sampling import Run, newly_unsexed
+from haulcomp.operators.sampling import EVERY_FISH, Run, newly_unsexed
 from haulcomp.plans.population import bootstrapped, pop_est, resampled
 from haulcomp.sources.results import SUFFIX, read_result, write_result
 
@@ -43,7 +43,8 @@ def removed(
 def removed_summary(removed_fish: DataFrame, iters: int) -> DataFrame:
     """Mean number of fish removed per haul."""
     n = F.try_divide(F.count("id"), F.lit(iters))
-    return removed_fish.groupBy(*KH).agg(n.alias("ss_removed"))
+    labels = [c for c in replicate_keys(removed_fish) if c != "sim"]
+    return removed_fish.groupBy(*labels, *KH).agg(n.alias("ss_removed"))
 
 
 def sims(
@@ -65,7 +66,7 @@ def sims(
     <save>_removed, or their count per haul to <save>_removed_summ. Without ``samples``, <save> if given.
     """
     if samples is not None and save is None:
-        raise ValueError("the newly unsexed fish have to be saved: give save, such as save='s20'")
+        raise ValueError("a run with a sample size writes two tables; name them with save")
     if save is not None and folder is None:
         raise ValueError("saving needs a folder")
     size = simulate(lfreq, cpue, iters, samples, yrs, by_stratum, seed)
@@ -137,6 +138,24 @@ def sims_boot(
     return ess_size(pop_est_boot(lfreq, cpue, samples, yrs, by_stratum, boot, seed), og, by_stratum)
 
 
+def sweep_boot(
+    lfreq: DataFrame,
+    cpue: DataFrame,
+    og: DataFrame,
+    samples: Sequence[int | None] = (None, 20, 40, 60, 80, 100, 120, 140),
+    yrs: int | None = None,
+    by_stratum: bool = False,
+    boot: int = 500,
+    seed: int = SEED,
+) -> DataFrame:
+    """``sims_boot`` for many sample sizes in one job, with type and ss: base and 0 where every fish is kept."""
+    runs = [Run(n, boot) for n in samples]
+    scores = ess_size(bootstrapped(lfreq, cpue, runs, yrs, by_stratum, seed).drop("run"), og, by_stratum)
+    every = F.col("ss") == EVERY_FISH
+    label = F.when(every, "base").otherwise(F.format_string("s%03d", F.col("ss")))
+    return scores.withColumns({"type": label, "ss": F.when(every, 0).otherwise(F.col("ss"))})
+
+
 def label_scenarios(scenarios: Mapping[str, tuple[int, DataFrame]]) -> DataFrame:
     """Stack scenarios {type: (ss, frame)} with type and ss columns; the base has ss 0."""
     out = None

@@ -28,8 +28,9 @@ def _survey() -> Column:
     return _lookup(F.col("n_regionkey"), SURVEYS, "NBS")
 
 
-def _caught() -> Column:
-    return (F.col("l_suppkey") + F.col("sp")) % 6 != 0
+def _species(kind: Column) -> Column:
+    """A haul that can't catch the species of a part has the next one instead, so each haul lacks one species."""
+    return F.when((F.col("l_suppkey") + kind) % 6 == 0, kind % 6 + 1).otherwise(kind)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +48,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return joined.select(
         F.year("o_orderdate").alias("year"),
-        _lookup(F.col("p_type"), TYPES, 6).alias("sp"),
+        _species(_lookup(F.col("p_type"), TYPES, 6)).alias("sp"),
         _survey().alias("survey"),
         F.col("s_nationkey").alias("stratum"),
         (F.year("o_orderdate").cast("bigint") * 1000000 + F.col("l_suppkey")).alias("hauljoin"),
@@ -71,10 +72,10 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length frequencies without (a) hauls nobody measured, (b) one species in some hauls, (c) uncaught species."""
+    """Length frequencies without hauls nobody measured and one species in some hauls; those are in the catch table only."""
     measured = (F.col("l_suppkey") + F.col("year")) % 9 != 0
     skipped = (F.col("sp") == 4) & (F.col("l_suppkey") % 5 == 0)
-    rows = base(spark, sf_dir).filter(measured & ~skipped & _caught())
+    rows = base(spark, sf_dir).filter(measured & ~skipped)
     return rows.select("survey", "year", "species_code", "stratum", "hauljoin", "sex", "length", "frequency")
 
 
@@ -84,7 +85,7 @@ def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
     catches = (
         base(spark, sf_dir)
         .groupBy(haul)
-        .agg(*[F.sum(F.when((F.col("sp") == sp) & _caught(), F.col("qty"))).alias(f"q{sp}") for sp in SPECIES])
+        .agg(*[F.sum(F.when(F.col("sp") == sp, F.col("qty"))).alias(f"q{sp}") for sp in SPECIES])
     )
     per_species = F.array(
         *[F.struct(F.lit(sp).alias("sp"), F.lit(code).alias("code"), F.col(f"q{sp}").alias("q")) for sp, code in SPECIES.items()]
@@ -104,8 +105,8 @@ def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def specimen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw specimens: age may be missing; unsexed specimens only in even years."""
-    rows = base(spark, sf_dir).filter((F.col("l_linenumber") <= 3) & ((F.col("sex") != 3) | (F.col("year") % 2 == 0)))
+    """Raw specimens, every line item: age may be missing; unsexed specimens only in even years."""
+    rows = base(spark, sf_dir).filter((F.col("sex") != 3) | (F.col("year") % 2 == 0))
     age = F.floor(F.col("p_size") / 5).cast("int") + F.col("l_linenumber")
     return rows.select(
         F.col("survey").alias("region"),
