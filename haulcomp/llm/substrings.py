@@ -233,6 +233,8 @@ def repeats(parts: list[bytes], n: np.ndarray) -> np.ndarray:
 def _spans(row, start, later) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first byte, byte after the last) of runs of repeating starts that stand one after another."""
     row, start = row[later], start[later]
+    if not len(start):
+        return row, start, start
     new = np.ones(len(start), bool)
     new[1:] = (row[1:] != row[:-1]) | (np.diff(start) != 1)
     last = np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)
