@@ -6,6 +6,7 @@ the same names as plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -149,7 +150,7 @@ def s7_normalise_ebs_cpue(spark: SparkSession, sf: str) -> DataFrame:
 
 def _round_trip(df: DataFrame, name: str, schema: dict[str, str], partition_by: list[str] | None = None) -> DataFrame:
     spark = df.sparkSession
-    folder = f"{shared_dir(spark)}/results"
+    folder = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
     results.write_result(df, folder, name, "csv", partition_by)
     return results.read_result(spark, folder, name, schema)
 
@@ -186,47 +187,47 @@ def p2_since(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p3_uncount(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.uncount(recent(lfreq(spark, sf)))
+    return sampling.uncount(lfreq(spark, sf))
 
 
 @query
 def p4_split_sexed(spark: SparkSession, sf: str) -> DataFrame:
-    sexed, unsexed = sampling.split_sexed(recent(lfreq(spark, sf)))
+    sexed, unsexed = sampling.split_sexed(lfreq(spark, sf))
     return sexed.unionByName(unsexed)
 
 
 @query
 def p5_subsample(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.subsample(recent(lfreq(spark, sf)), SAMPLES, SEED)
+    return sampling.subsample(lfreq(spark, sf), SAMPLES, SEED)
 
 
 @query
 def p6_newly_unsexed(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.newly_unsexed(recent(lfreq(spark, sf)), [Run(SAMPLES)], SEED).drop("run", "ss")
+    return sampling.newly_unsexed(lfreq(spark, sf), [Run(SAMPLES)], SEED).drop("run", "ss")
 
 
 @query
 def p7_retabulate(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.retabulate(recent(lfreq(spark, sf)), SAMPLES, SEED)
+    return sampling.retabulate(lfreq(spark, sf), SAMPLES, SEED)
 
 
 @query
 def p8_haul_count(spark: SparkSession, sf: str) -> DataFrame:
-    return estimate.haul_count(recent(lfreq(spark, sf)))
+    return estimate.haul_count(lfreq(spark, sf))
 
 
 @query
 def p9_length_comp(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(estimate.length_comp(recent(lfreq(spark, sf))), "comp")
+    return rounded(estimate.length_comp(lfreq(spark, sf)), "comp")
 
 
 @query
 def p10_stratum_comp(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(estimate.stratum_comp(estimate.length_comp(recent(lfreq(spark, sf)))), "comp")
+    return rounded(estimate.stratum_comp(estimate.length_comp(lfreq(spark, sf))), "comp")
 
 
 def _no_length(spark: SparkSession, sf: str) -> DataFrame:
-    return hauls_without_lengths(recent(cpue(spark, sf)), measured_hauls(recent(lfreq(spark, sf))))
+    return hauls_without_lengths(cpue(spark, sf), measured_hauls(lfreq(spark, sf)))
 
 
 @query
@@ -236,11 +237,11 @@ def p11_hauls_without_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def p12_haul_abundance(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(estimate.haul_abundance(recent(cpue(spark, sf))), "abund")
+    return rounded(estimate.haul_abundance(cpue(spark, sf)), "abund")
 
 
 def _imputed(spark: SparkSession, sf: str) -> DataFrame:
-    comp = stage(estimate.length_comp(recent(lfreq(spark, sf))), "comp")
+    comp = stage(estimate.length_comp(lfreq(spark, sf)), "comp")
     return estimate.impute_comp(_no_length(spark, sf), estimate.stratum_comp(comp), comp)
 
 
@@ -250,7 +251,7 @@ def p13_impute_comp(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _expanded(spark: SparkSession, sf: str) -> DataFrame:
-    return estimate.expand(_imputed(spark, sf), estimate.haul_abundance(recent(cpue(spark, sf))))
+    return estimate.expand(_imputed(spark, sf), estimate.haul_abundance(cpue(spark, sf)))
 
 
 @query
@@ -276,7 +277,7 @@ def p16_sexes_wide(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def p17_fill_grid(spark: SparkSession, sf: str) -> DataFrame:
     wide = estimate.sexes_wide(estimate.size_sum(_expanded(spark, sf), True))
-    return fill_grid(length_grid(lfreq(spark, sf), YRS, True), wide)
+    return fill_grid(length_grid(lfreq(spark, sf), None, True), wide)
 
 
 @query
@@ -323,6 +324,15 @@ def c3_removed_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(simulate.removed_summary(fish, SIMS), "ss_removed")
 
 
+@query
+def c4_sims_saved(spark: SparkSession, sf: str) -> DataFrame:
+    """The count of removed fish as another program finds it: written by ``sims``, read from its file."""
+    folder = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    simulate.sims(lfreq(spark, sf), cpue(spark, sf), SIMS, SAMPLES, YRS, False, "s20", True, folder, SEED)
+    schema = {**{k: schemas.LFREQ[k] for k in KH}, "ss_removed": "double"}
+    return rounded(results.read_result(spark, folder, "s20_removed_summ", schema), "ss_removed")
+
+
 @query
 def c5_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.sweep(lfreq(spark, sf), cpue(spark, sf), SWEEP, SIMS, YRS, False, SEED)
@@ -541,7 +551,7 @@ def a1_sizepop_long(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a2_age_length_key(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(age.age_length_key(recent(specimen(spark, sf))), "age_frac")
+    return rounded(age.age_length_key(specimen(spark, sf)), "age_frac")
 
 
 @query
@@ -552,12 +562,12 @@ def a3_sexed_age_pop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def a4_unsexed_years(spark: SparkSession, sf: str) -> DataFrame:
-    return age.unsexed_years(recent(specimen(spark, sf)))
+    return age.unsexed_years(specimen(spark, sf))
 
 
 @query
 def a5_pooled_key(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(age.pooled_key(recent(specimen(spark, sf))), "age_frac")
+    return rounded(age.pooled_key(specimen(spark, sf)), "age_frac")
 
 
 @query

@@ -56,6 +56,11 @@ def half_even(x: Column) -> Column:
     return F.when(F.abs(x * 2 - halves) <= F.abs(x) * 1e-12, F.rint(halves / 2)).otherwise(F.rint(x))
 
 
+def required(name: str) -> Column:
+    """The column; a missing value stops the job, since dropping the row would change every total."""
+    return F.when(F.col(name).isNull(), F.raise_error(F.lit(f"{name} is missing"))).otherwise(F.col(name))
+
+
 def replicate_keys(df: DataFrame) -> list[str]:
     """The replicate labels a frame carries, in canonical order."""
     return [c for c in REPLICATE if c in df.columns]

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED, key_text, rank_key
-from haulcomp.functions.rules import KH, SEX_CODE, SEXES, explode_spread, explode_to
+from haulcomp.functions.rules import KH, SEX_CODE, SEXES, explode_spread, explode_to, required
 from haulcomp.operators.cells import length_cells
 from haulcomp.session import stage
 
@@ -26,6 +26,8 @@ EVERY_FISH = -1
 # Fish x replicates of one haul that one task may rank; a haul with more is spread.
 HOT_ROWS = 4_000_000
 CHUNK = 16_384
+# Fish x replicates per task on average.
+TASK_FISH = 2_000_000
 SALTS = 16
 
 
@@ -69,7 +71,7 @@ def fish_id() -> Column:
 
 def uncount(df: DataFrame) -> DataFrame:
     """One row per fish: ``frequency`` becomes ``ordinal`` 1..frequency; a frequency of 0 leaves no row."""
-    return explode_spread(df, F.col("frequency"), "ordinal").drop("frequency")
+    return explode_spread(df.withColumn("frequency", required("frequency")), F.col("frequency"), "ordinal").drop("frequency")
 
 
 def _sexed_count() -> Column:
@@ -113,14 +115,16 @@ def rank_fish(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int =
     haul = ["hauljoin", "species_code", "sim", "ss", "run", "year", "stratum", *(["pos"] if "pos" in cells.columns else [])]
     order = ["_key", "sex", "length", "ordinal"]
 
-    # A fixed number of partitions: what the rows grow to is not in the sizes AQE would merge them by.
+    # What the rows grow to is not in the sizes AQE would merge partitions by, so their number follows from the fish.
+    size = cells.agg(F.sum(_sexed_count()).alias("fish"), F.max("sexed").alias("most")).first()
     tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(tasks, -(-(size.fish or 0) * repeats // TASK_FISH))
     together = with_sims(_one_sex_each(cells.filter(~hot).repartition(tasks, *KH)))
     ordinary = _keyed_fish(together, F.expr("sequence(1L, _n)"), seed)
     rank = F.row_number().over(Window.partitionBy(*haul).orderBy(*order))
     ordinary = ordinary.withColumn("drawn", rank <= F.col("ss")).drop("_key")
 
-    if cells.filter(hot).isEmpty():
+    if (size.most or 0) <= hot_rows // repeats:
         return [ordinary]
     chunk_no = F.explode(F.expr(f"sequence(0L, (_n - 1) div {CHUNK})"))
     chunks = _one_sex_each(cells.filter(hot)).withColumn("_part", chunk_no)

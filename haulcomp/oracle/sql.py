@@ -58,6 +58,7 @@ def statement(final: str) -> str:
                     order.append(name)
 
     visit(final)
+
     def form(name: str) -> str:
         # The bootstrap reads these twice; written out once they can't be reordered into each other.
         return f"{name} AS MATERIALIZED ({STEPS[name]})" if name == "numbered" or re.fullmatch(r"b(b|\d+)_[hl]", name) else f"{name} AS ({STEPS[name]})"
@@ -114,6 +115,9 @@ WHERE sex <> 3 OR year % 2 = 0"""
 
 STEPS["lf"] = f"SELECT {KH}, sex, length, frequency FROM fx_lfreq WHERE year >= {YRS}"
 STEPS["cp"] = f"SELECT {K}, catchjoin, hauljoin, numcpue, area FROM fx_cpue WHERE year >= {YRS}"
+STEPS["lf_all"] = f"SELECT {KH}, sex, length, frequency FROM fx_lfreq"
+STEPS["cp_all"] = f"SELECT {K}, catchjoin, hauljoin, numcpue, area FROM fx_cpue"
+STEPS["spec_all"] = f"SELECT {KH}, sex, length, age FROM fx_specimen WHERE age IS NOT NULL"
 STEPS["spec"] = f"SELECT {KH}, sex, length, age FROM fx_specimen WHERE age IS NOT NULL AND year >= {YRS}"
 
 # ---- grid, abundance -----------------------------------------------------------------------
@@ -121,17 +125,23 @@ STEPS["spec"] = f"SELECT {KH}, sex, length, age FROM fx_specimen WHERE age IS NO
 _SPECIES_LENGTHS = "(SELECT DISTINCT species_code, length FROM fx_lfreq) a"
 _SPECIES_YEARS = f"(SELECT DISTINCT species_code, year FROM fx_lfreq WHERE year >= {YRS}) b USING (species_code)"
 STEPS["grid"] = f"SELECT b.year, species_code, a.length FROM {_SPECIES_LENGTHS} JOIN {_SPECIES_YEARS}"
+_ALL_YEARS = "(SELECT DISTINCT species_code, year FROM fx_lfreq) b USING (species_code)"
+STEPS["grid_all"] = f"SELECT b.year, species_code, a.length FROM {_SPECIES_LENGTHS} JOIN {_ALL_YEARS}"
+STEPS["grid_st_all"] = f"""
+SELECT b.year, species_code, c.stratum, a.length FROM {_SPECIES_LENGTHS} JOIN {_ALL_YEARS}
+JOIN (SELECT DISTINCT species_code, stratum FROM fx_lfreq) c USING (species_code)"""
 STEPS["grid_st"] = f"""
 SELECT b.year, species_code, c.stratum, a.length FROM {_SPECIES_LENGTHS} JOIN {_SPECIES_YEARS}
 JOIN (SELECT DISTINCT species_code, stratum FROM fx_lfreq) c USING (species_code)"""
-STEPS["pop"] = f"""
+for _pop, _cp in (("pop", "cp"), ("pop_all", "cp_all")):
+    STEPS[_pop] = f"""
 SELECT {KH}, {div(strict('AVG', 'numcpue', f' OVER (PARTITION BY {KH})'), strict('SUM', 'numcpue', f' OVER (PARTITION BY {K})'))}
        * ({strict('AVG', 'numcpue', f' OVER (PARTITION BY {K})')} * area) AS abund
-FROM cp"""
+FROM {_cp}"""
 
 
-def estimate(name: str, freq: str, rep: str) -> None:
-    """Steps from frequencies (per replicate ``rep``) to numbers at length."""
+def estimate(name: str, freq: str, rep: str, tail_all: str = "") -> None:
+    """Steps from frequencies (per replicate ``rep``) to numbers at length; ``tail_all`` "_all" takes every year."""
     on = "".join(f" AND m.{c} = r.{c}" for c in rep.replace(" ", "").split(",") if c)
     reps = f", (SELECT DISTINCT {rep.rstrip(', ')} FROM {freq}) r" if rep else ""
     STEPS[f"{name}_nh"] = f"SELECT {rep}{K}, COUNT(DISTINCT hauljoin) AS nhauls FROM {freq} GROUP BY ALL"
@@ -143,14 +153,14 @@ FROM {name}_sum JOIN {name}_tot USING ({rep}{KH}) JOIN {name}_nh USING ({rep}{K}
     STEPS[f"{name}_unk"] = f"""
 SELECT {rep}{K}, sex, length, ({strict('SUM', 'comp')}) / MAX(nhauls) AS comp FROM {name}_comp GROUP BY {rep}{K}, sex, length"""
     STEPS[f"{name}_nolen"] = f"""
-SELECT {rep}{K}, hauljoin, catchjoin, numcpue, area FROM cp c{reps}
+SELECT {rep}{K}, hauljoin, catchjoin, numcpue, area FROM cp{tail_all} c{reps}
 WHERE catchjoin IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {freq} m WHERE m.hauljoin = c.hauljoin{on})"""
     STEPS[f"{name}_imp"] = f"""
 SELECT {rep}{KH}, sex, length, comp FROM {name}_nolen LEFT JOIN {name}_unk USING ({rep}{K})
 UNION ALL SELECT {rep}{KH}, sex, length, comp FROM {name}_comp"""
     STEPS[f"{name}_exp"] = f"""
-SELECT {rep}{KH}, sex, length, comp, abund, {whole('comp * abund')} AS sz_pop FROM {name}_imp LEFT JOIN pop USING ({KH})"""
-    for tail, grid, keys in (("size", "grid", "year, species_code, length"), ("size_st", "grid_st", f"{K}, length")):
+SELECT {rep}{KH}, sex, length, comp, abund, {whole('comp * abund')} AS sz_pop FROM {name}_imp LEFT JOIN pop{tail_all} USING ({KH})"""
+    for tail, grid, keys in (("size", f"grid{tail_all}", "year, species_code, length"), ("size_st", f"grid_st{tail_all}", f"{K}, length")):
         STEPS[f"{name}_{tail}_sum"] = f"""
 SELECT {rep}{keys}, sex, coalesce(SUM(sz_pop), 0) AS abund FROM {name}_exp GROUP BY {rep}{keys}, sex"""
         STEPS[f"{name}_{tail}_wide"] = f"""
@@ -193,7 +203,9 @@ SELECT {REP}{KH}, sex, length, COUNT(*) AS frequency FROM (
 
 
 estimate("og", "lf", "")
+estimate("al", "lf_all", "", "_all")
 fish("all_fish", "lf", "")
+fish("fish_all", "lf_all", "")
 
 
 def simulated(name: str, runs: list[tuple[int, int, int]]) -> None:
@@ -230,6 +242,8 @@ SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY md5(concat_ws('|', hauljo
        COUNT(*) OVER (PARTITION BY {K}) AS n
 FROM lf"""
 simulated("s1", [(0, SAMPLES, 1)])
+STEPS["sa_fish"] = "SELECT * FROM fish_all, s1_reps"
+ranked("sa", "fish_all", "sa_fish")
 simulated("sim", [(0, SAMPLES, SIMS)])
 simulated("swp", [(0, n, SIMS) for n in SWEEP])
 simulated("itr", [(n, ITERS_SAMPLES, n) for n in ITERS])
@@ -311,6 +325,10 @@ FROM (SELECT {at}, age, COUNT(*) AS n FROM {rows} GROUP BY ALL)"""
 
 
 key("akey", "spec", "year, species_code, sex, length")
+key("akey_all", "spec_all", "year, species_code, sex, length")
+STEPS["unsexed_yr_all"] = "SELECT DISTINCT year, species_code FROM spec_all WHERE sex = 3"
+STEPS["spec_un_all"] = "SELECT spec_all.* FROM spec_all JOIN unsexed_yr_all USING (year, species_code)"
+key("pkey_all", "spec_un_all", "year, species_code, length")
 STEPS["unsexed_yr"] = "SELECT DISTINCT year, species_code FROM spec WHERE sex = 3"
 STEPS["spec_un"] = "SELECT spec.* FROM spec JOIN unsexed_yr USING (year, species_code)"
 key("pkey", "spec_un", "year, species_code, length")
@@ -452,23 +470,23 @@ FINAL: dict[str, str] = {
     "p1_length_grid": "SELECT year, species_code, length FROM grid",
     "p1_length_grid_strata": f"SELECT {K}, length FROM grid_st",
     "p2_since": f"SELECT {KH}, sex, length, frequency FROM lf",
-    "p3_uncount": f"SELECT {KH}, sex, length, CAST(o AS BIGINT) AS ordinal FROM lf, UNNEST(range(1, frequency + 1)) AS u(o)",
-    "p4_split_sexed": f"SELECT {KH}, sex, length, id, n FROM all_fish",
+    "p3_uncount": f"SELECT {KH}, sex, length, CAST(o AS BIGINT) AS ordinal FROM lf_all, UNNEST(range(1, frequency + 1)) AS u(o)",
+    "p4_split_sexed": f"SELECT {KH}, sex, length, id, n FROM fish_all",
     "p5_subsample": f"""SELECT sim, {KH}, sex, length, id, n, CAST(least(n, ss) AS BIGINT) AS new_samp
-        FROM s1_rank WHERE rk <= ss""",
-    "p6_newly_unsexed": f"SELECT sim, {KH}, 3 AS sex, length, id, n FROM s1_rank WHERE rk > ss",
-    "p7_retabulate": f"SELECT sim, {KH}, sex, length, frequency FROM s1_freq",
-    "p8_haul_count": f"SELECT {K}, nhauls FROM og_nh",
-    "p9_length_comp": f"SELECT {KH}, sex, length, {r('comp')}, nhauls FROM og_comp",
-    "p10_stratum_comp": f"SELECT {K}, sex, length, {r('comp')} FROM og_unk",
-    "p11_hauls_without_lengths": f"SELECT {KH}, catchjoin, numcpue, area FROM og_nolen",
-    "p12_haul_abundance": f"SELECT {KH}, {r('abund')} FROM pop",
-    "p13_impute_comp": f"SELECT {KH}, sex, length, {r('comp')} FROM og_imp",
-    "p14_expand": f"SELECT {KH}, sex, length, {r('comp')}, {r('abund')}, sz_pop FROM og_exp",
-    "p15_size_sum": f"SELECT year, species_code, length, sex, {_sum} FROM og_size_sum",
-    "p15_size_sum_strata": f"SELECT {K}, length, sex, {_sum} FROM og_size_st_sum",
-    "p16_sexes_wide": f"SELECT {_cells} FROM og_size_wide",
-    "p17_fill_grid": f"SELECT {_cells_st} FROM og_size_st",
+        FROM sa_rank WHERE rk <= ss""",
+    "p6_newly_unsexed": f"SELECT sim, {KH}, 3 AS sex, length, id, n FROM sa_rank WHERE rk > ss",
+    "p7_retabulate": f"SELECT sim, {KH}, sex, length, frequency FROM sa_freq",
+    "p8_haul_count": f"SELECT {K}, nhauls FROM al_nh",
+    "p9_length_comp": f"SELECT {KH}, sex, length, {r('comp')}, nhauls FROM al_comp",
+    "p10_stratum_comp": f"SELECT {K}, sex, length, {r('comp')} FROM al_unk",
+    "p11_hauls_without_lengths": f"SELECT {KH}, catchjoin, numcpue, area FROM al_nolen",
+    "p12_haul_abundance": f"SELECT {KH}, {r('abund')} FROM pop_all",
+    "p13_impute_comp": f"SELECT {KH}, sex, length, {r('comp')} FROM al_imp",
+    "p14_expand": f"SELECT {KH}, sex, length, {r('comp')}, {r('abund')}, sz_pop FROM al_exp",
+    "p15_size_sum": f"SELECT year, species_code, length, sex, {_sum} FROM al_size_sum",
+    "p15_size_sum_strata": f"SELECT {K}, length, sex, {_sum} FROM al_size_st_sum",
+    "p16_sexes_wide": f"SELECT {_cells} FROM al_size_wide",
+    "p17_fill_grid": f"SELECT {_cells_st} FROM al_size_st",
     "p18_pop_est": f"SELECT {_cells} FROM og_size",
     "p18_pop_est_strata": f"SELECT {_cells_st} FROM og_size_st",
     "p18_pop_est_sampled": f"SELECT {_cells} FROM s1_size",
@@ -478,6 +496,8 @@ FINAL: dict[str, str] = {
     "c2_removed": f"SELECT sim, {KH}, 3 AS sex, length, id, n FROM sim_rank WHERE rk > ss",
     "c3_removed_summary": f"""SELECT {KH}, round(COUNT(*) / {SIMS}.0::DOUBLE, 6) AS ss_removed
         FROM sim_rank WHERE rk > ss GROUP BY {KH}""",
+    "c4_sims_saved": f"""SELECT {KH}, round(COUNT(*) / {SIMS}.0::DOUBLE, 6) AS ss_removed
+        FROM sim_rank WHERE rk > ss GROUP BY {KH}""",
     "c5_sweep": f"SELECT ss, sim, {_cells} FROM swp_size",
     "c6_sweep_iters": f"SELECT run, sim, {_cells} FROM itr_size",
     "c7a_bootstrap_hauls": f"SELECT sim, {KH}, ordinal, sex, length, frequency FROM b{SAMPLES}_h",
@@ -517,10 +537,10 @@ FINAL: dict[str, str] = {
     "e8_prop_fm_strata": f"""SELECT sim, {K}, round(CASE WHEN NOT isinf(prop_fm) THEN prop_fm END, 6) AS prop_fm,
         round(CASE WHEN NOT isinf(prop_fm_og) THEN prop_fm_og END, 6) AS prop_fm_og FROM e8""",
     "a1_sizepop_long": "SELECT year, species_code, length, sex, sizepop FROM og_long",
-    "a2_age_length_key": f"SELECT year, species_code, sex, length, age, {r('age_frac')} FROM akey",
+    "a2_age_length_key": f"SELECT year, species_code, sex, length, age, {r('age_frac')} FROM akey_all",
     "a3_sexed_age_pop": f"SELECT year, species_code, sex, age, {r('agepop', 4)} FROM a3",
-    "a4_unsexed_years": "SELECT year, species_code FROM unsexed_yr",
-    "a5_pooled_key": f"SELECT year, species_code, length, age, {r('age_frac')} FROM pkey",
+    "a4_unsexed_years": "SELECT year, species_code FROM unsexed_yr_all",
+    "a5_pooled_key": f"SELECT year, species_code, length, age, {r('age_frac')} FROM pkey_all",
     "a6_unsexed_age_pop": f"SELECT year, species_code, sex, age, {r('agepop', 4)} FROM a6",
     "a7_ages_wide": f"SELECT year, species_code, age, {_ageout} FROM og_age",
     "a8_age_pop_est": f"SELECT year, species_code, age, {_ageout} FROM og_age",

@@ -7,7 +7,8 @@ import re
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,9 +54,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Remove on leaving what was staged inside; write or collect results before."""
+    start = len(_written)
+    try:
+        yield
+    finally:
+        done = _written[start:]
+        del _written[start:]
+        for key in [k for k, df in _staged.items() if any(p.rpartition("/")[2] in "".join(df.inputFiles()[:1]) for p in done)]:
+            del _staged[key]
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in done:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 _staged: dict[tuple[str, str], DataFrame] = {}
 
 

@@ -28,5 +28,11 @@ def write_result(
     return path
 
 
+def saved(df: DataFrame, folder: str, name: str, fmt: str = "csv", partition_by: list[str] | None = None) -> DataFrame:
+    """``df`` as read back from where it was written; for scores and ages as for numbers at length."""
+    write_result(df, folder, name, fmt, partition_by)
+    return read_result(df.sparkSession, folder, name, dict(df.dtypes), fmt)
+
+
 def read_result(spark: SparkSession, folder: str, name: str, schema: dict[str, str], fmt: str = "csv") -> DataFrame:
     return typed(scan(spark, result_path(folder, name, fmt), fmt), schema)

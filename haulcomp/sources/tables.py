@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from haulcomp.functions.rules import required
 from haulcomp.sources.schemas import CPUE, CPUE_RAW, LFREQ, SPECIMEN, STRATA
 
 
 def scan(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """Raw columns by name. CSV fields stay text here and are cast by ``typed``; nothing is inferred."""
-    reader = spark.read.option("header", True) if fmt == "csv" else spark.read
+    """Raw columns by name. CSV fields stay text here and are cast by ``typed``; nothing is inferred.
+
+    All CSV files of a folder must have the same header: one that differs is an error, not shifted values.
+    """
+    reader = spark.read.options(header=True, enforceSchema=False) if fmt == "csv" else spark.read
     return reader.format(fmt).load(path)
 
 
@@ -45,6 +49,7 @@ def strata_from(raw: DataFrame, survey: str) -> DataFrame:
 
 def lfreq_from(raw: DataFrame, survey: str, strata: DataFrame) -> DataFrame:
     rows = typed(lower_names(raw.filter(F.col("SURVEY") == survey)), LFREQ)
+    rows = rows.withColumn("length", required("length"))
     return rows.join(strata.select("stratum"), "stratum", "left_semi").select(*LFREQ)
 
 

@@ -5,6 +5,7 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as contract
+from haulcomp.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -13,7 +14,11 @@ def con():
 
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+def test_every_query_has_sql():
+    assert set(QUERIES) <= set(contract.oracle_sql()) <= set(contract.queries())
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, con, name):
     problem = compare.check(spark, con, name, SF)
     # The smallest tables have no outliers to list.
