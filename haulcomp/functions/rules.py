@@ -82,15 +82,13 @@ def explode_to(df: DataFrame, size: Column, name: str, chunk: int = 8192) -> Dat
 
 
 def explode_spread(df: DataFrame, size: Column, name: str, chunk: int = 16_384) -> DataFrame:
-    """``explode_to`` where one row may stand for a large part of all: big rows are cut and spread first."""
-    few = explode_to(df.filter(size <= chunk), size, name, chunk)
+    """``explode_to`` where one row may stand for a large part of all: rows are cut into parts, and the parts spread."""
     keys = df.columns
-    parts = df.filter(size > chunk).withColumn("_size", size.cast("bigint"))
+    parts = df.withColumn("_size", size.cast("bigint")).filter(F.col("_size") > 0)
     parts = parts.withColumn("_part", F.explode(F.expr(f"sequence(0L, (_size - 1) div {chunk})"))).repartition(*keys, "_part")
     in_part = F.least(F.lit(chunk), F.col("_size") - F.col("_part") * chunk)
-    many = explode_to(parts.withColumn("_take", in_part), F.col("_take"), "_of_part", chunk)
-    many = many.withColumn(name, F.col("_part") * chunk + F.col("_of_part"))
-    return few.unionByName(many.select(few.columns))
+    rows = explode_to(parts.withColumn("_take", in_part), F.col("_take"), "_of_part", chunk)
+    return rows.select(*keys, (F.col("_part") * chunk + F.col("_of_part")).alias(name))
 
 
 def require_strata(by_stratum: bool, *frames: DataFrame) -> None:
