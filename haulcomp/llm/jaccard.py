@@ -12,13 +12,13 @@
    of at most CHUNK nodes, each with the pivot.
    a. Bitmaps alone (a 16th of a set or less): a node that can't overlap enough with any other node of its block leaves.
    b. With the sets: all nodes are tried against the pivot; those that link are settled with respect to each
-      other. The rest is joined with the whole chunk, and in a block of several chunks with the other chunks too.
+      other. The rest is joined with the whole chunk, as long as a pair can join two components; what doesn't reach the
+      pivot then meets the other chunks of its block too.
    Both go by dual traversal of two signature trees: a tree's nodes hold the OR of their sets' bitmaps, the range of
    sizes and the most collisions, from which the largest possible overlap follows.
 4. Verified links between nodes are joined to components by label propagation with pointer jumping.
 
-Every pair of a block that isn't already linked through its pivot is tried (or excluded by a bound), so components
-are exact, whatever the size of a group of copies; no group of pairs is written out.
+Every pair of a block is tried, excluded by a bound, or known to be connected already, so components are exact, whatever the size of a group of copies; no group of pairs is written out.
 
 Null and empty texts have no shingles and are alone. Equal rows share a set, so they share a component. A document
 id that occurs twice is treated as two texts and its rows' components are reported row by row. An empty table gives an
@@ -247,6 +247,30 @@ class Sets:
         return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+class Joined:
+    """Components of a task's own sets."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        self.up[self.find(j)] = self.find(i)
+
+
+def new_links(tried: Iterator[tuple[int, int]], a: Sets, percent: int, known: Joined) -> Iterator[tuple[int, int]]:
+    """The verified pairs that join two components: no more of them than sets."""
+    for i, j in tried:
+        if known.find(i) != known.find(j) and a.linked(i, a, j, percent):
+            known.join(i, j)
+            yield i, j
+
+
 class Tree:
     """Levels of nodes over sets in order of size; level 0 are leaves of up to LEAF sets."""
 
@@ -337,16 +361,20 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
             node, own = t.column("node").to_numpy(), _sets_of(t)
             pivots = np.flatnonzero(node == t.column("block")[0].as_py())
             hit = np.zeros(len(node), bool)
-            pairs = []
+            pairs, known = [], Joined(len(node))
             if len(pivots):
                 pivot = int(pivots[0])
                 may = own.may_link(pivot, percent)
                 hit = np.array([i == pivot or bool(may[i]) and own.linked(pivot, own, i, percent) for i in range(len(node))])
-                pairs = [(pivot, i) for i in np.flatnonzero(hit) if i != pivot]
+                pairs = [(pivot, int(i)) for i in np.flatnonzero(hit) if i != pivot]
+                for _, i in pairs:
+                    known.join(pivot, i)
             rest = np.flatnonzero(~hit)
             if len(rest) and len(node) > 1 + len(pivots):
-                tried = dual(Tree(own, rest), Tree(own, np.arange(len(node))), percent)
-                pairs += [(i, j) for i, j in tried if (hit[j] or i < j) and own.linked(i, own, j, percent)]
+                pairs += new_links(dual(Tree(own, rest), Tree(own, np.arange(len(node))), percent), own, percent, known)
+                if len(pivots):
+                    # What reaches the pivot by way of others is settled as well.
+                    rest = np.array([i for i in rest if known.find(int(i)) != known.find(pivot)], np.int64)
             a, b = [node[i] for i, _ in pairs], [node[j] for _, j in pairs]
             if t.column("chunks")[0].as_py() > 1:
                 # A missing partner marks a node that the other chunks still have to see.
@@ -377,7 +405,8 @@ def block_links(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Data
             is_rest, node, own = t.column("rest").to_numpy(), t.column("node").to_numpy(), _sets_of(t)
             u, m = np.flatnonzero(is_rest), np.flatnonzero(~is_rest)
             if len(u) and len(m):
-                pairs = [(node[i], node[j]) for i, j in dual(Tree(own, u), Tree(own, m), percent) if own.linked(i, own, j, percent)]
+                found = new_links(dual(Tree(own, u), Tree(own, m), percent), own, percent, Joined(len(node)))
+                pairs = [(node[i], node[j]) for i, j in found]
                 if pairs:
                     a, b = zip(*pairs)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
