@@ -42,7 +42,7 @@ CUTOFF, DISCOUNT = 2, 0.75
 #: Training tokens per shard; codes gathered in a task before they are summed; steps per unit of log10.
 SHARD_TOKENS, GATHER, STEPS = 4_000_000, 4_000_000, 2048
 END_HASH = 0x5BF03635F0A2D1E7
-UNKNOWN, NONE = -1, -2
+UNKNOWN = -1
 
 
 # ---- packed arrays --------------------------------------------------------------------------
@@ -205,25 +205,28 @@ class Model:
         return np.log10((count + 1) / (self.tokens + self.size + 1))
 
     def bigram(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Numbers of the bigrams (u, v), UNKNOWN where none is kept."""
-        out = np.full(len(u), UNKNOWN, np.int64)
-        use = np.flatnonzero((u >= 0) & (v >= 0))
-        for s, part in self._by_shard(self.word_shard(u[use])):
-            got = children(load(self.folder, f"bigrams-{s}"), u[use[part]] - self.words[s], v[use[part]], self.bits)
+        """Numbers of the bigrams (u, v), UNKNOWN where none is kept; each distinct one is looked up once, in order."""
+        code, back = np.unique(np.where((u >= 0) & (v >= 0), u * (self.size + 1) + v, -1), return_inverse=True)
+        out = np.full(len(code), UNKNOWN, np.int64)
+        use = np.flatnonzero(code >= 0)
+        first, second = code[use] // (self.size + 1), code[use] % (self.size + 1)
+        for s, part in self._by_shard(self.word_shard(first)):
+            got = children(load(self.folder, f"bigrams-{s}"), first[part] - self.words[s], second[part], self.bits)
             out[use[part]] = np.where(got >= 0, got + self.bigrams[s], UNKNOWN)
-        return out
+        return out[back]
 
     def trigram(self, pair: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability or nan, log10 back-off) of w after each bigram number."""
-        prob, back = np.full(len(pair), np.nan), np.zeros(len(pair))
-        use = np.flatnonzero(pair >= 0)
-        for s, part in self._by_shard(self.pair_shard(pair[use])):
-            at, level = use[part], load(self.folder, f"trigrams-{s}")
-            own = pair[at] - self.bigrams[s]
-            back[at] = level["back"][own] / STEPS
-            got = children(level, own, w[at], self.bits)
-            prob[at[got >= 0]] = level["prob"][got[got >= 0]] / STEPS
-        return prob, back
+        code, inverse = np.unique(np.where(pair >= 0, pair * (self.size + 2) + w + 1, -1), return_inverse=True)
+        prob, back = np.full(len(code), np.nan), np.zeros(len(code))
+        use = np.flatnonzero(code >= 0)
+        one, word = code[use] // (self.size + 2), code[use] % (self.size + 2) - 1
+        for s, part in self._by_shard(self.pair_shard(one)):
+            level, own = load(self.folder, f"trigrams-{s}"), one[part] - self.bigrams[s]
+            back[use[part]] = level["back"][own] / STEPS
+            got = children(level, own, word[part], self.bits)
+            prob[use[part[got >= 0]]] = level["prob"][got[got >= 0]] / STEPS
+        return prob[inverse], back[inverse]
 
     def pair_shard(self, pair: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bigrams, pair, "right") - 1
@@ -237,28 +240,37 @@ class Model:
         return out
 
     def word_backoff(self, u: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(u))
-        use = np.flatnonzero(u >= 0)
-        for s, part in self._by_shard(self.word_shard(u[use])):
-            out[use[part]] = load(self.folder, f"bigrams-{s}")["back"][u[use[part]] - self.words[s]] / STEPS
-        return out
+        one, back = np.unique(u, return_inverse=True)
+        out = np.zeros(len(one))
+        use = np.flatnonzero(one >= 0)
+        for s, part in self._by_shard(self.word_shard(one[use])):
+            out[use[part]] = load(self.folder, f"bigrams-{s}")["back"][one[use[part]] - self.words[s]] / STEPS
+        return out[back]
 
-    def two(self, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 p(w | v), backing off to the word's own share."""
-        pair = self.bigram(v, w)
-        out = self.word_backoff(v) + self.unigram(count)
-        hit = np.flatnonzero(pair >= 0)
+    def two(self, pair: np.ndarray, v: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 p(w | v) from the bigram numbers of (v, w), backing off to the word's own share."""
+        out = np.zeros(len(pair))
+        hit, miss = np.flatnonzero(pair >= 0), np.flatnonzero(pair < 0)
         out[hit] = self.of_pairs(pair[hit], "prob") / STEPS
+        out[miss] = self.word_backoff(v[miss]) + self.unigram(count[miss])
         return out
 
-    def three(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 p(w | u, v)."""
-        prob, back = self.trigram(self.bigram(u, v), w)
+    def three(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 p(w | u, v) of consecutive tokens; at ``starts`` there is no u. A bigram serves its token and the next one."""
+        pair = self.bigram(v, w)
+        prob, back = self.trigram(histories_of(pair, starts), w)
         miss = np.flatnonzero(np.isnan(prob))
-        prob[miss] = back[miss] + self.two(v[miss], w[miss], count[miss])
+        prob[miss] = back[miss] + self.two(pair[miss], v[miss], count[miss])
         return prob
 
 
+def histories_of(pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bigram before each token."""
+    out = np.roll(pair, 1)
+    out[starts] = UNKNOWN
+    return out
+
+
 def children(level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     """Places of the words among the children of their contexts, -1 where they are none: a successor search between two pointers."""
     lo = ef_get(level["ones"], level["before"], context)
@@ -301,15 +313,11 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
-def histories(ids: np.ndarray, bounds: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
-    """The token before each token, and the one before that (NONE at a document's first token)."""
-    v, u = np.roll(ids, 1), np.roll(ids, 2)
-    at = bounds[:-1]
-    v[at] = start
-    u[at] = NONE
-    second = at[np.diff(bounds) > 1] + 1
-    u[second] = start
-    return u, v
+def before(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
+    """The token before each token."""
+    out = np.roll(ids, 1)
+    out[bounds[:-1]] = start
+    return out
 
 
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +386,7 @@ def _codes(train: DataFrame, model: Model, code_of) -> DataFrame:
             for _, _, buf, off in C.text_slices(batch.column(0)):
                 h, bounds = tokens(buf, off)
                 ids = model.number(h)
-                held.append(code_of(ids, *histories(ids, bounds, model.size)))
+                held.append(code_of(ids, before(ids, bounds, model.size), bounds))
                 size += len(held[-1][0])
                 if size > GATHER:
                     yield flush()
@@ -436,7 +444,7 @@ def train_model(docs: DataFrame, folder: str) -> Model:
     model = Model(folder, shards, total, _per_shard(rows, ["_order"], write_words, spark, shards))
     base = model.size + 1
 
-    def pairs(ids, u, v):
+    def pairs(ids, v, bounds):
         return model.word_shard(v), v.astype(C.U) * C.U(base) + ids.astype(C.U)
 
     def write_bigrams(s: int, t: pa.Table) -> int:
@@ -453,13 +461,11 @@ def train_model(docs: DataFrame, folder: str) -> Model:
     model = Model(folder, shards, total, model.words, bigrams)
     full = model
 
-    def triples(ids, u, v):
-        use = np.flatnonzero(u != NONE)
-        pair = full.bigram(u[use], v[use])
-        use, pair = use[pair >= 0], pair[pair >= 0]
-        both = full.bigram(v[use], ids[use]) >= 0
-        use, pair = use[both], pair[both]
-        return full.pair_shard(pair), pair.astype(C.U) * C.U(base) + ids[use].astype(C.U)
+    def triples(ids, v, bounds):
+        pair = full.bigram(v, ids)
+        first = histories_of(pair, bounds[:-1])
+        use = np.flatnonzero((pair >= 0) & (first >= 0))
+        return full.pair_shard(first[use]), first[use].astype(C.U) * C.U(base) + ids[use].astype(C.U)
 
     def write_trigrams(s: int, t: pa.Table) -> int:
         code, n = _gathered(t)
@@ -467,7 +473,7 @@ def train_model(docs: DataFrame, folder: str) -> Model:
         context, word = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
         seen = full.of_pairs(np.arange(first, last), "count")
         middle = full.of_pairs(context + first, "word")
-        lower = full.two(middle, word, full.counts(word))
+        lower = full.two(full.bigram(middle, word), middle, full.counts(word))
         save(folder, f"trigrams-{s}", _level(context, last - first, word, n, seen, lower, full.bits))
         return len(n)
 
@@ -486,8 +492,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 h, bounds = tokens(buf, off)
                 ids = model.number(h)
                 count = model.counts(ids)
-                u, v = histories(ids, bounds, model.size)
-                own = model.three(u, v, ids, count)
+                own = model.three(before(ids, bounds, model.size), ids, count, bounds[:-1])
                 known, base, own = (np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64), model.unigram(count), own))
                 n = hi - lo
                 yield C.batches(schema, batch.column(1).slice(lo, n), np.diff(bounds), known, np.full(n, model.tokens), base, own)
