@@ -5,15 +5,16 @@ earlier start) is removed. Strings are judged on the input; overlaps count; noth
 
 1. The least hash of the ``GRAM``-grams in a string of LENGTH bytes is its key; equal strings have equal keys, and the
    strings that start one after another mostly share theirs. The places where a key is taken (about
-   one in 43 bytes) are counted by key. Keys that occur once are dropped. Within a slice of documents repeats are
+   one in 35 bytes) are counted by key. Keys that occur once are dropped. Within a slice of documents repeats are
    known already and need no other task, so a key sends one row per slice to the count, however hot it is.
 2. For the documents that have repeated keys, each run of starts with such a key gives a context: the bytes of all
    its strings. Contexts meet by key; equal ones are settled by the first. A key with more than ``HOT`` places is
    split by string content, one string per context.
-3. Blocks of different contexts of whole keys are put in one text, in order of their places. Its suffix order and
-   Burrows-Wheeler transform are made, and boundaries between suffixes that differ in their first l + 1 bytes
-   are derived from those of l by one backward step, for l = 1, 2, ... up to LENGTH: what has no
-   boundary then shares LENGTH bytes. In each such interval all but the first place are repeats.
+3. Blocks of different contexts of whole keys are cut down to where hashes of strings occur again (which loses no
+   repeat) and put in one text, in order of their places. Its suffix order and Burrows-Wheeler transform are made, and
+   boundaries between suffixes that differ in their first l + 1 bytes are derived from those of l by one backward
+   step, for l = 1, 2, ... up to LENGTH: what has no boundary then shares LENGTH bytes. In each such interval
+   all but the first place are repeats.
 4. The covered spans of a document are joined to its text and cut out.
 
 Null text is the empty text; texts shorter than LENGTH are kept. Rows with equal id and text are treated
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from haulcomp.llm import common as C
 from haulcomp.llm.jaccard import sorted_groups
 
-LENGTH, GRAM = 100, 16
+#: GRAM is long enough that ordinary prose doesn't repeat it by chance; a multiple of 8.
+LENGTH, GRAM = 100, 32
 #: Places of a key beyond which its strings are dealt out one by one; bytes of a block; starts in one context.
-HOT, BLOCK, RUN = 40_000, 1 << 20, 1024
+HOT, BLOCK, RUN = 40_000, 2 << 20, 1024
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -54,8 +56,9 @@ def keys_of(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         return np.zeros(0, C.U), np.zeros(0, np.int64), np.zeros(0, C.U)
     buf = np.ascontiguousarray(buf)
     m = len(buf) - GRAM + 1
-    a, b = np.ndarray(m, "<u8", buf, 0, (1,)), np.ndarray(m, "<u8", buf, 8, (1,))
-    h = C.mix(a * C.U(C.BASE) ^ C.mix(b + C.U(0xD6E8FEB86659FD93)))
+    h = np.zeros(m, C.U)
+    for at in range(0, GRAM, 8):
+        h = C.mix(h + np.ndarray(m, "<u8", buf, at, (1,)) * C.U(C.BASE))
     low = _sliding(h, LENGTH - GRAM + 1, True)
     room = np.repeat(off[1:], np.diff(off))[:n] - np.arange(n) >= LENGTH
     starts = np.flatnonzero(room)
@@ -210,6 +213,26 @@ def equal_prefixes(text: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     return np.cumsum(parted, dtype=np.int32)
 
 
+def candidates(parts: list[bytes], n: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """(index, bytes, first start, starts) of the contexts cut down to where a string's hash occurs again in the block.
+
+    Equal strings have equal hashes, so nothing that repeats is lost; the transform decides on the rest.
+    """
+    size = np.array([len(p) for p in parts])
+    sums = C.prefix_sums(np.frombuffer(b"".join(parts), np.uint8))
+    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(size) - size, n) + inner
+    h = C.span_hash(sums, start, start + LENGTH)
+    sorted_h = np.sort(h)
+    again = sorted_h[1:][sorted_h[1:] == sorted_h[:-1]]
+    at = np.minimum(np.searchsorted(again, h), max(len(again) - 1, 0))
+    hit = np.flatnonzero(again[at] == h) if len(again) else np.zeros(0, np.int64)
+    of = np.repeat(np.arange(len(parts)), n)[hit]
+    kept = np.unique(of)
+    low, high = inner[hit[np.searchsorted(of, kept)]], inner[hit[np.searchsorted(of, kept, "right") - 1]]
+    return kept, [parts[i][a : b + LENGTH] for i, a, b in zip(kept, low, high)], low, high - low + 1
+
+
 def repeats(parts: list[bytes], n: np.ndarray) -> np.ndarray:
     """For contexts in order of their places: which of their starts (n per context, one after another) repeat an earlier one."""
     size = np.array([len(p) for p in parts])
@@ -253,11 +276,13 @@ def repeated_spans(found: DataFrame) -> DataFrame:
 
     def block(held: list[pa.Table]) -> pa.RecordBatch:
         t = pa.concat_tables(held).sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
-        n = t.column("n").to_numpy().astype(np.int64)
-        later = repeats(t.column("bytes").to_pylist(), n)
+        kept, parts, first, n = candidates(t.column("bytes").to_pylist(), t.column("n").to_numpy().astype(np.int64))
+        if not len(kept):
+            return out([], [], [])
+        later = repeats(parts, n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(t.column("start").to_numpy().astype(np.int64), n) + inner
-        return out(*_spans(np.repeat(t.column("row").to_numpy(), n), start, later))
+        start = np.repeat(t.column("start").to_numpy().astype(np.int64)[kept] + first, n) + inner
+        return out(*_spans(np.repeat(t.column("row").to_numpy()[kept], n), start, later))
 
     def run(it):
         held, size = [], 0
