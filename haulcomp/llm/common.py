@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from haulcomp.session import shared_dir, stage  # noqa: F401  (stage is used by the operators)
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
