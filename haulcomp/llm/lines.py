@@ -1,13 +1,14 @@
-"""Line deduplication over content-defined chunks of lines.
+"""Line deduplication: runs of two or more consecutive lines that stand elsewhere too.
 
-A text is cut into lines, lines into chunks: a chunk ends after a line when a hash rolled over it and the two lines before it
-is divisible by ``MEAN``, so the same passage is cut alike wherever it stands. A chunk of two or more lines (one of
-them with a word) that stands anywhere else too is removed everywhere but at its first place (least
-doc_id, then first in the text), once its bytes have been compared with those of the first place. Chunks of one line are
-left alone, as are line ends between chunks that stay.
+Every two consecutive lines of a text (one of them with a word) are a piece, and so are two lines with words and the wordless
+lines between them, or those before the first and after the last. Pieces overlap, so a run of any two or more lines is made of
+pieces wherever it begins. A piece that stands anywhere else too is removed everywhere but at its first place (least
+doc_id, then first in the text), once its bytes have been compared with those of the first place; overlapping pieces go
+together. The first place of a line is never removed, as a piece that holds it can't stand before. A line that stands elsewhere
+without either of its neighbours is no run and stays.
 
-Hashes are counted with partial sums and joined back, so a chunk that a third of all documents share is
-no group of its own. Texts move twice, compressed: to cut out the bytes to compare, and to cut the chunks.
+Hashes are counted with partial sums and joined back, so a piece that a third of all documents share is
+no group of its own. Texts move twice, compressed: to cut out the bytes to compare, and to cut the pieces.
 
 Null text gives null, empty text the empty text; both have nothing removed. Rows with equal id and text are treated alike:
 all keep what one would keep. Rows without id keep everything. An empty table stays empty. Extra columns are
@@ -25,14 +26,11 @@ from pyspark.sql import types as T
 
 from haulcomp.llm import common as C
 
-#: Lines per chunk on average, and lines the rolling hash sees.
-MEAN, SEEN = 4, 3
-CHUNK = "h1 bigint, h2 bigint, number int, first int, last int"
+CHUNK = "hash bigint, first int, last int"
 
 
 def chunks(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
-    """The multi-line chunks with a word: document, number, first byte, byte after the last (in the document), two hashes."""
-    docs = len(off) - 1
+    """The pieces in order: document, first byte, byte after the last, the same without a line end (in the document), hash."""
     cut = np.flatnonzero(buf == 10) + 1
     starts = np.unique(np.concatenate([off[:-1][np.diff(off) > 0], cut]))
     starts = starts[starts < len(buf)] if len(buf) else np.zeros(0, np.int64)
@@ -42,27 +40,21 @@ def chunks(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     # A last line without its newline hashes like one with it.
     bare = ends - (buf[ends - 1] == 10) if len(ends) else ends
     h = C.span_hash(sums, starts, bare)
-    rolled = C.gram_hash(h, SEEN)
-    close = np.zeros(len(h), bool)
-    close[SEEN - 1 :] = (rolled >> C.U(17)) % C.U(MEAN) == 0
-    if len(h):
-        close[: SEEN - 1] = False
-        new_doc = np.append(doc[1:] != doc[:-1], True)
-        # The hash must not look across a document's border.
-        place = np.arange(len(h)) - np.searchsorted(doc, doc)
-        close[place < SEEN - 1] = False
-        close |= new_doc
-    last = np.flatnonzero(close)
-    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    lo, hi = starts[first], bare[last]
     word_starts, _, _ = C.words(buf, off)
-    some = np.searchsorted(word_starts, hi) > np.searchsorted(word_starts, lo)
-    use = (last > first) & some
-    of = doc[first]
-    number = np.arange(len(first)) - np.searchsorted(of, np.arange(docs))[of] if len(first) else first
-    a = C.span_hash(sums, lo, hi)
-    b = C.mix(np.add.reduceat(C.mix(h + C.U(77)), first) if len(first) else h)
-    return {"doc": of[use], "number": number[use], "first": (lo - off[of])[use], "last": (ends[last] - off[of])[use], "bare": (hi - off[of])[use], "h1": a[use], "h2": b[use]}
+    some = np.searchsorted(word_starts, bare) > np.searchsorted(word_starts, starts)
+    pair = np.flatnonzero((doc[1:] == doc[:-1]) & (some[1:] | some[:-1]))
+    # Wordless lines that no pair holds: from one line with a word, or the document's first, to the next, or its last.
+    edge = np.ones(len(doc), bool)
+    edge[1:-1] = (doc[2:] != doc[1:-1]) | (doc[:-2] != doc[1:-1])
+    stop = np.flatnonzero(some | edge)
+    a, b = stop[:-1], stop[1:]
+    far = (doc[a] == doc[b]) & (some[a] | some[b]) & ((b - a > 2) | ((b - a == 2) & ~(some[a] & some[b])))
+    first, last = np.concatenate([pair, a[far]]), np.concatenate([pair + 1, b[far]])
+    order = np.lexsort((last, first))
+    first, last = first[order], last[order]
+    of, lo, hi = doc[first], starts[first], bare[last]
+    both = C.mix(C.span_hash(sums, lo, hi) + C.mix(h[first] * C.U(3) + h[last]))
+    return {"doc": of, "first": lo - off[of], "last": ends[last] - off[of], "bare": hi - off[of], "hash": both}
 
 
 def _tie():
@@ -70,32 +62,32 @@ def _tie():
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, _tie, h1, h2, d0, number, first, last): chunks whose hashes occur more than once; d0 is the least id that has them."""
+    """(doc_id, _tie, hash, d0, first, last): pieces whose hash occurs more than once; d0 is the least id that has it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = C.fields(f"doc_id {kind}, _tie bigint, {CHUNK}, bare int")
+    schema = C.fields(f"doc_id {kind}, _tie bigint, {CHUNK}")
 
     def run(it):
         for batch in it:
             for lo, hi, buf, off in C.text_slices(batch.column(0)):
                 c = chunks(buf, off)
                 keys = [batch.column(i).slice(lo, hi - lo).take(pa.array(c["doc"])) for i in (1, 2)]
-                yield C.batches(schema, *keys, *[c[k].view(np.int64) for k in ("h1", "h2")], *[c[k].astype(np.int32) for k in ("number", "first", "last", "bare")])
+                yield C.batches(schema, *keys, c["hash"].view(np.int64), c["first"].astype(np.int32), c["last"].astype(np.int32))
 
     source = docs.filter("doc_id IS NOT NULL").select("text", "doc_id", _tie())
     rows = C.map_arrow(source, run, schema)
-    places = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("d0"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return rows.join(places.drop("_n"), ["h1", "h2"])
+    places = rows.groupBy("hash").agg(F.min("doc_id").alias("d0"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    return rows.join(places.drop("_n"), "hash")
 
 
 def confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, _tie, cuts): the chunks to remove from each document, equal in bytes to their first place."""
+    """(doc_id, _tie, cuts): the pieces to remove from each document, equal in bytes to their first place."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     per_doc = found.groupBy("doc_id", "_tie").agg(
-        F.sort_array(F.collect_set(F.struct("number", "first", "last", "bare", "h1", "h2", "d0"))).alias("_chunks")
+        F.sort_array(F.collect_set(F.struct("first", "last", "hash", "d0"))).alias("_chunks")
     )
     packed = C.packed_texts(docs, docs["doc_id"], F.xxhash64(docs["text"]).alias("_tie"))
     both = packed.join(per_doc, ["doc_id", "_tie"]).dropDuplicates(["doc_id", "_tie"])
-    schema = C.fields(f"doc_id {kind}, _tie bigint, h1 bigint, h2 bigint, origin boolean, number int, first int, last int, bytes binary")
+    schema = C.fields(f"doc_id {kind}, _tie bigint, hash bigint, origin boolean, first int, last int, bytes binary")
 
     def run(it):
         for batch in it:
@@ -106,16 +98,16 @@ def confirmed(docs: DataFrame, found: DataFrame) -> DataFrame:
                 for doc, tie, text, cuts in zip(ids, ties, texts, lists):
                     seen = set()
                     for c in cuts:
-                        key = (c["h1"], c["h2"])
-                        origin = doc == c["d0"] and key not in seen
-                        seen.add(key)
-                        out.append((doc, tie, *key, origin, c["number"], c["first"], c["last"], text[c["first"] : c["bare"]]))
+                        origin = doc == c["d0"] and c["hash"] not in seen
+                        seen.add(c["hash"])
+                        part = text[c["first"] : c["last"]]
+                        out.append((doc, tie, c["hash"], origin, c["first"], c["last"], part.removesuffix(b"\n")))
                 if out:
                     yield C.batches(schema, *[list(x) for x in zip(*out)])
 
     cut = C.stage(C.map_arrow(both.select("doc_id", "_tie", "z", "_chunks"), run, schema), "line-chunks")
-    origin = cut.filter("origin").select("h1", "h2", F.col("bytes").alias("_bytes")).dropDuplicates(["h1", "h2"])
-    same = cut.filter("NOT origin").join(origin, ["h1", "h2"]).filter("bytes = _bytes")
+    origin = cut.filter("origin").select("hash", F.col("bytes").alias("_bytes")).dropDuplicates(["hash"])
+    same = cut.filter("NOT origin").join(origin, "hash").filter("bytes = _bytes")
     return same.groupBy("doc_id", "_tie").agg(F.sort_array(F.collect_set(F.struct("first", "last"))).alias("_cuts"))
 
 
@@ -141,9 +133,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 for text, cuts, null in zip(C.unpacked(col["z"]), col["_cuts"].to_pylist(), col["_null"].to_pylist()):
                     parts, at, cut_lines = [], 0, 0
                     for c in cuts or []:
-                        parts.append(text[at : c["first"]])
-                        cut_lines += text.count(b"\n", c["first"], c["last"]) + (c["last"] == len(text) and not text.endswith(b"\n"))
-                        at = c["last"]
+                        if c["last"] <= at:
+                            continue
+                        begin, end = max(at, c["first"]), c["last"]
+                        parts.append(text[at:begin])
+                        cut_lines += text.count(b"\n", begin, end) + (end == len(text) and not text.endswith(b"\n"))
+                        at = end
                     kept = b"".join([*parts, text[at:]])
                     texts.append(None if null else kept.decode())
                     lines.append(text.count(b"\n") + bool(text and not text.endswith(b"\n")))

@@ -250,6 +250,27 @@ def test_repeated_chunks_go_but_for_the_first(docs, odd):
     assert lines.without_repeats(odd.limit(0)).count() == 0
 
 
+def test_short_passages_and_whole_copies_go(docs):
+    rng = random.Random(11)
+    count = itertools.count()
+    line = lambda: f"line {next(count)} " + rng.choice("abc") * rng.randint(1, 60)
+    passages = {n: [[line() for _ in range(n)] for _ in range(8)] for n in range(2, 7)}
+    copied = [line(), "", "", " ", line(), line(), "", "", line()]
+    rows = [(0, "\n".join(itertools.chain(*itertools.chain(*passages.values())))), (1, "\n".join(copied)), (2, "\n".join(["", "", *copied, "", ""]))]
+    want = {0: rows[0][1], 1: rows[1][1]}
+    for i, passage in enumerate(itertools.chain(*passages.values()), 10):
+        head, tail = [line() for _ in range(rng.randint(0, 4))], [line() for _ in range(rng.randint(1, 4))]
+        rows.append((i, "\n".join([*head, *passage, *tail])))
+        want[i] = "\n".join([*head, *tail])
+    rows += [(90, rows[0][1]), (91, rows[1][1]), (92, rows[2][1]), (93, rows[10][1] + "\n")]
+    want |= {90: "", 91: "", 92: "", 93: ""}
+    got = {r.doc_id: r for r in lines.without_repeats(docs(rows)).collect()}
+    assert {i: got[i].text for i in want} == want
+    for i, text in rows:
+        assert got[i].n_removed_bytes == len(text) - len(got[i].text)
+        assert got[i].n_removed_lines == got[i].n_lines - len(got[i].text.splitlines())
+
+
 # ---- token ids -----------------------------------------------------------------------------
 
 
