@@ -1,8 +1,8 @@
 """A smoothed trigram model in an Elias-Fano trie, trained and queried in Spark.
 
-Words are counted over all training documents, then n-grams of two and three words; n-grams seen once are left
-out (``CUTOFF``), and a trigram is only looked at where both of its bigrams were kept, which loses none. What an
-n-gram's discount sets free goes to the shorter history, normalised over the words not kept, so probabilities
+Words are counted over all training documents, then n-grams of two and three words. n-grams seen less than ``cutoff`` times are
+left out: the query's cutoff is 1, so it learns from all of them; ``train_model`` alone leaves out those seen once. A trigram is
+only looked at where both of its bigrams were kept, which loses none. What an n-gram's discount sets free goes to the shorter history, normalised over the words not kept, so probabilities
 sum to one over the vocabulary and one unknown word.
 
 The trie is written in shards by the first word's hash. A level holds, per context, a monotone pointer to where its
@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from haulcomp.llm import common as C
 from haulcomp.llm.jaccard import sorted_groups
 
+#: The least count of an n-gram that is kept unless the caller says otherwise (the query keeps all).
 CUTOFF, DISCOUNT = 2, 0.75
 #: Training tokens per shard; codes gathered in a task before they are summed; steps per unit of log10.
 SHARD_TOKENS, GATHER, STEPS = 4_000_000, 4_000_000, 2048
@@ -397,7 +398,7 @@ def _codes(train: DataFrame, model: Model, code_of) -> DataFrame:
     return C.map_arrow(train.select("text"), run, "shard int, codes binary, counts binary")
 
 
-def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _gathered(t: pa.Table, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
     """All codes of a shard with their counts, those below the cutoff left out."""
     unzip = zstandard.ZstdDecompressor()
     code, n = np.zeros(0, C.U), np.zeros(0, np.int64)
@@ -409,7 +410,7 @@ def _gathered(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         if sum(len(x) for x, _ in held) > GATHER:
             held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
     code, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-    return code[n >= CUTOFF], n[n >= CUTOFF]
+    return code[n >= cutoff], n[n >= cutoff]
 
 
 def _level(context: np.ndarray, contexts: int, word: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndarray, bits: int) -> dict[str, np.ndarray]:
@@ -423,8 +424,8 @@ def _level(context: np.ndarray, contexts: int, word: np.ndarray, n: np.ndarray,
     return {"ones": ones, "before": before, "word": pack_ints(word, bits), "prob": quantised(np.log10(share)), "back": quantised(back), "count": n}
 
 
-def train_model(docs: DataFrame, folder: str) -> Model:
-    """Train on all rows of ``docs`` and write the trie under ``folder``."""
+def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
+    """Train on all rows of ``docs`` and write the trie, of n-grams seen ``cutoff`` times or more, under ``folder``."""
     spark = docs.sparkSession
     words = C.stage(count_words(docs), "word-counts")
     total = int(words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
@@ -448,7 +449,7 @@ def train_model(docs: DataFrame, folder: str) -> Model:
         return model.word_shard(v), v.astype(C.U) * C.U(base) + ids.astype(C.U)
 
     def write_bigrams(s: int, t: pa.Table) -> int:
-        code, n = _gathered(t)
+        code, n = _gathered(t, cutoff)
         first, last = int(model.words[s]), int(model.words[s + 1]) + (s == shards - 1)
         context, word = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
         seen = model.counts(np.arange(first, last))
@@ -468,7 +469,7 @@ def train_model(docs: DataFrame, folder: str) -> Model:
         return full.pair_shard(first[use]), first[use].astype(C.U) * C.U(base) + ids[use].astype(C.U)
 
     def write_trigrams(s: int, t: pa.Table) -> int:
-        code, n = _gathered(t)
+        code, n = _gathered(t, cutoff)
         first, last = int(full.bigrams[s]), int(full.bigrams[s + 1])
         context, word = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
         seen = full.of_pairs(np.arange(first, last), "count")
@@ -502,5 +503,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train_model(docs.filter(~held_out(F.col("doc_id"))), C.fresh_folder(spark, "ngrams"))
+    model = train_model(docs.filter(~held_out(F.col("doc_id"))), C.fresh_folder(spark, "ngrams"), cutoff=1)
     return score(docs, model).withColumn("held_out", held_out(F.col("doc_id")))

@@ -390,6 +390,34 @@ def test_scores_against_a_plain_model(documents, odd):
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
 
 
+def test_query_learns_from_ngrams_seen_once(spark, docs, tmp_path):
+    rng = random.Random(3)
+    docs([(i, " ".join(rng.choice("abcdefghijklmn") for _ in range(rng.randint(0, 9)))) for i in range(60)]).write.parquet(str(tmp_path / "documents.parquet"))
+    tokens = {r.doc_id: [*words(r.text), "\n"] for r in spark.read.parquet(str(tmp_path / "documents.parquet")).collect()}
+    held = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [["<s>", *w] for i, w in tokens.items() if i not in held]
+    one, two, three = (collections.Counter(tuple(s[k : k + n]) for s in train for k in range(len(s) - n + 1)) for n in (1, 2, 3))
+    n_docs = one.pop(("<s>",))
+    total, size = sum(one.values()), len(one)
+    p1 = lambda w: (one[w,] + 1) / (total + size + 1)
+
+    def p(grams, n, history, w, lower):
+        after = [g for g in grams if g[:-1] == history]
+        if (*history, w) in grams:
+            return (grams[*history, w] - 0.75) / n
+        return (1 - sum((grams[g] - 0.75) / n for g in after)) / (1 - sum(lower(g[-1]) for g in after)) * lower(w) if after else lower(w)
+
+    p2 = lambda v, w: p(two, n_docs if v == "<s>" else one[v,], (v,), w, p1)
+    p3 = lambda u, v, w: p(three, two[u, v], (u, v), w, lambda x: p2(v, x))
+    got = {r.doc_id: r for r in ngrams.op4_lm_scoring(spark, str(tmp_path)).collect()}
+    assert 1 in two.values() and len(held) > 3
+    for i, w in tokens.items():
+        s = ["<s>", *w]
+        mine = math.log10(p2(*s[:2])) + sum(math.log10(p3(*s[k - 2 : k + 1])) for k in range(2, len(s)))
+        assert abs(got[i].score - mine) < 1e-3 * len(s)
+        assert got[i].held_out == (i in held)
+
+
 def test_no_training_documents(odd):
     model = ngrams.train_model(odd.limit(0), common.fresh_folder(odd.sparkSession, "test-ngrams"))
     got = ngrams.score(odd, model).collect()
