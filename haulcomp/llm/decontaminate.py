@@ -1,14 +1,14 @@
 """Benchmark decontamination: documents that hold a passage of a benchmark item, up to a few edits.
 
 Texts are compared as UTF-8 bytes after lower-casing (all of Unicode) and making every run of white space one
-space. An item is cut into windows of ``WINDOW`` bytes (every ``STRIDE``, and the last); a shorter item
-is one window. A document is a match when some part of it is within the window's edit budget
+space. Every ``WINDOW`` bytes of an item are a window (they start at every ``STRIDE``-th byte, which is each, and at
+the last); a shorter item is one window. A document is a match when some part of it is within the window's edit budget
 (``RATE`` of its length, rounded down) of the window.
 
 By the q-gram lemma such a part shares at least length - Q + 1 - budget * Q of the window's q-grams, and
 their diagonals (place in the document minus place in the item) differ by no more than the budget. So
-shared q-grams are counted in overlapping diagonal bands, windows that reach the bound are kept, and a
-banded alignment decides. Nothing within the budget is lost; nothing else is reported.
+shared q-grams are counted in overlapping diagonal bands, windows that reach the bound are kept (found from
+the shared q-grams alone: as many as the bound within one window), and a banded alignment decides. Nothing within the budget is lost; nothing else is reported.
 
 Null or empty texts, and items of fewer than ``Q`` bytes, match nothing. A document's result doesn't
 depend on other rows; repeated rows repeat it; extra columns are not looked at.
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from haulcomp.llm import common as C
 
-WINDOW, STRIDE, RATE, Q = 100, 25, 0.06, 12
+WINDOW, STRIDE, RATE, Q = 100, 1, 0.06, 12
 #: Bytes of benchmark text that go to the tasks at once; more are taken in several passes.
 BLOCK = 16 << 20
 FILTER_BITS = 22
@@ -66,7 +66,7 @@ def grams(buf: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """Windows and q-grams of a block of benchmark items."""
+    """Window lengths and q-grams of a block of benchmark items."""
 
     def __init__(self, ids: list[int], texts: list[str | None]):
         raw = [x.encode() for x in pc.utf8_lower(pa.array([t or "" for t in texts], pa.string())).to_pylist()]
@@ -81,19 +81,13 @@ class Items:
         self.hash, self.place = h[at][order], at[order]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._slot(self.hash)] = True
-        # All windows: item, start in the block's text, length, edit budget, least number of shared q-grams.
-        rows = []
-        for i in range(len(ids)):
-            lo, hi = int(self.off[i]), int(self.off[i + 1]) - 1
-            length = min(WINDOW, hi - lo)
-            if length >= Q:
-                k = budget(length)
-                starts = sorted({*range(lo, hi - length + 1, STRIDE), hi - length})
-                rows += [(i, s, length, k, length - Q + 1 - k * Q) for s in starts]
-        self.windows = np.array(rows, np.int64).reshape(-1, 5)
-        self.first = np.searchsorted(self.windows[:, 0], np.arange(len(ids) + 1))
-        self.least = int(self.windows[:, 4].min()) if len(rows) else 0
-        self.band = int(self.windows[:, 3].max()) + 1 if len(rows) else 1
+        # Of each item: window length, edit budget, least number of shared q-grams; an item of fewer than Q bytes has no q-gram.
+        size = np.minimum(WINDOW, np.diff(self.off) - 1)
+        edits = [budget(int(n)) for n in size]
+        self.rules = [(int(n), k, int(n) - Q + 1 - k * Q) for n, k in zip(size, edits)]
+        use = [r for r in self.rules if r[0] >= Q]
+        self.least = min((bound for *_, bound in use), default=0)
+        self.band = max((k for _, k, _ in use), default=0) + 1
 
     @staticmethod
     def _slot(h: np.ndarray) -> np.ndarray:
@@ -134,33 +128,55 @@ class Items:
             d, it, ln = int(doc[s]), int(item[s]), int(lane[s])
             if (d, it) in found:
                 continue
-            for _, w, length, k, bound in self.windows[self.first[it] : self.first[it + 1]]:
-                shared = np.searchsorted(i[s:e], w + length - Q + 1) - np.searchsorted(i[s:e], w)
-                if shared < bound:
-                    continue
-                lo = max(int(off[d]), w + ln * self.band - k)
-                hi = min(int(off[d + 1]) - 1, w + length + (ln + 2) * self.band + k)
-                edits, place = align(self.text[w : w + length], text[lo:hi])
-                if edits <= k:
+            length, k, bound = self.rules[it]
+            at = self.reaching(i[s:e], it)
+            # The first window alone, then more at once.
+            for few in np.split(at, [n for n in (1, 9, *range(73, len(at), 64)) if n < len(at)]):
+                if not len(few):
+                    break
+                lo = np.maximum(int(off[d]), few + ln * self.band - k)
+                hi = np.minimum(int(off[d + 1]) - 1, few + length + (ln + 2) * self.band + k)
+                edits, place = align(self.text[few[:, None] + np.arange(length)], text, lo, hi)
+                good = np.flatnonzero(edits <= k)
+                if len(good):
+                    g = good[0]
                     found.add((d, it))
-                    yield d, it, edits, lo + place - int(off[d])
+                    yield d, it, int(edits[g]), int(lo[g] + place[g]) - int(off[d])
                     break
 
+    def reaching(self, shared: np.ndarray, item: int) -> np.ndarray:
+        """Starts of the item's windows that hold at least the bound of the (sorted, distinct) places of shared q-grams."""
+        length, _, bound = self.rules[item]
+        lo, last = int(self.off[item]), int(self.off[item + 1]) - 1 - length
+        if len(shared) < bound:
+            return np.zeros(0, np.int64)
+        low, high = shared[: len(shared) - bound + 1], shared[bound - 1 :]
+        # Windows that hold both ends of ``bound`` places in a row begin in [high - (length - Q), low].
+        begin, end = np.maximum(high - (length - Q), lo), np.minimum(low, last)
+        n = np.maximum(end - begin + 1, 0)
+        at = np.unique(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n))
+        return at[((at - lo) % STRIDE == 0) | (at == last)]
+
 
-def align(window: np.ndarray, region: np.ndarray) -> tuple[int, int]:
-    """Least edits between the whole window and any part of the region, and that part's end.
+def align(windows: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edits between each whole window (a row) and any part of its region [lo, hi) of the text, and that part's end.
 
-    The region is no wider than the band allows, so every row of the table is the band.
+    The regions are no wider than the band allows, so every row of a table is the band.
     """
-    width = np.arange(len(region) + 1)
-    row = np.zeros(len(region) + 1, np.int64)
-    for r, c in enumerate(window):
+    size = np.maximum(hi - lo, 0)
+    width = np.arange(int(size.max(initial=0)) + 1)
+    inside = width[:-1] < size[:, None]
+    # What lies after a shorter region is a byte that no text holds.
+    region = np.where(inside, text[np.minimum(lo[:, None] + width[:-1], len(text) - 1)], np.uint8(255))
+    row = np.zeros((len(windows), len(width)), np.int64)
+    for r in range(windows.shape[1]):
         new = np.empty_like(row)
-        new[0] = r + 1
-        new[1:] = np.minimum(row[:-1] + (region != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - width) + width
-    end = int(np.argmin(row))
-    return int(row[end]), end
+        new[:, 0] = r + 1
+        new[:, 1:] = np.minimum(row[:, :-1] + (region != windows[:, r, None]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - width, axis=1) + width
+    row[width > size[:, None]] = windows.shape[1] + 1
+    end = np.argmin(row, axis=1)
+    return row[np.arange(len(row)), end], end
 
 
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:

@@ -209,6 +209,24 @@ def test_passages_within_the_edit_budget_and_no_others(spark, docs):
     assert decontaminate.find_matches(table.limit(0), benchmark).count() == 0
 
 
+def test_excerpts_of_100_to_123_bytes_at_every_offset(spark, docs):
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    item = letters(300)
+    parts = [(size, s) for size in range(100, 124) for s in range(300 - size + 1)]
+    # A filler on both sides begins and ends with other letters than the item goes on with.
+    rows = [(n, letters(20).upper() + "7" + item[s : s + size] + "7" + letters(20)) for n, (size, s) in enumerate(parts)]
+    edited = [(10_000 + n, text[:40] + "7" + text[41:80] + text[81:]) for n, text in rows]
+    short = [(20_000 + s, letters(30) + "7777777" + item[s : s + 93] + "7777777" + letters(30)) for s in range(0, 200, 7)]
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    table = docs([*rows, *edited, *short])
+    got = {r.doc_id: r.edits for r in decontaminate.find_matches(table, benchmark).collect()}
+    # All that hold a window are found, those edited twice too; 93 bytes are seven edits from any window.
+    assert got.keys() == {i for i, _ in [*rows, *edited]}
+    assert max(got.values()) <= decontaminate.budget(100)
+    assert {r.doc_id for r in decontaminate.clean(table, benchmark).collect()} == {i for i, _ in short}
+
+
 def test_blocks_of_items_find_the_same(documents, spark, monkeypatch):
     benchmark = common.table(spark, SF, "benchmark")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.find_matches(documents, benchmark).collect()}
