@@ -42,4 +42,4 @@ def test_stages(spark):
 
 
 def test_queries_are_named_by_their_operators():
-    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q != "pipeline"} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES if q != "pipeline"} == set(range(1, 14))
