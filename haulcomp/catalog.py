@@ -240,6 +240,14 @@ def p12_haul_abundance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(estimate.haul_abundance(cpue(spark, sf)), "abund")
 
 
+@query
+def p13_abundance_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Catch rows of unmeasured hauls by stratum and abundance, over all years."""
+    b = population.basis(lfreq(spark, sf), cpue(spark, sf))
+    hist = rounded(population.abundance_histogram(b.unmeasured).withColumnRenamed("_abund", "abund"), "abund")
+    return hist.groupBy("year", "species_code", "stratum", "abund").agg(F.sum("_rows").alias("catch_rows"))
+
+
 def _imputed(spark: SparkSession, sf: str) -> DataFrame:
     comp = stage(estimate.length_comp(lfreq(spark, sf)), "comp")
     return estimate.impute_comp(_no_length(spark, sf), estimate.stratum_comp(comp), comp)
@@ -313,6 +321,16 @@ def c1_simulate_strata(spark: SparkSession, sf: str) -> DataFrame:
     return simulated(spark, sf, True)
 
 
+def _both(whole: DataFrame, strata: DataFrame) -> DataFrame:
+    """Both levels in one table; the whole survey has no stratum."""
+    return strata.unionByName(whole, allowMissingColumns=True)
+
+
+@query
+def c1_simulate_both(spark: SparkSession, sf: str) -> DataFrame:
+    return _both(*simulate.simulate_both(lfreq(spark, sf), cpue(spark, sf), SIMS, SAMPLES, YRS, SEED))
+
+
 @query
 def c2_removed(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.removed(lfreq(spark, sf), SIMS, SAMPLES, YRS, SEED)
@@ -320,6 +338,12 @@ def c2_removed(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def c3_removed_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(simulate.removed_mean(lfreq(spark, sf), SAMPLES, YRS), "ss_removed")
+
+
+@query
+def c3_removed_counted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from the removed fish themselves, as for a table of them that another program wrote."""
     fish = simulate.removed(lfreq(spark, sf), SIMS, SAMPLES, YRS, SEED)
     return rounded(simulate.removed_summary(fish, SIMS), "ss_removed")
 
@@ -333,11 +357,31 @@ def c4_sims_saved(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(results.read_result(spark, folder, "s20_removed_summ", schema), "ss_removed")
 
 
+def _one_draw(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return population.resampled_with_removed(lfreq(spark, sf), cpue(spark, sf), [Run(SAMPLES, SIMS)], YRS, False, SEED)
+
+
+@query
+def c4_one_draw_size(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers at length from the staged draw that the removed fish come from too."""
+    return _one_draw(spark, sf)[0].drop("run", "ss")
+
+
+@query
+def c4_one_draw_removed(spark: SparkSession, sf: str) -> DataFrame:
+    return _one_draw(spark, sf)[1].drop("run", "ss")
+
+
 @query
 def c5_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.sweep(lfreq(spark, sf), cpue(spark, sf), SWEEP, SIMS, YRS, False, SEED)
 
 
+@query
+def c5_sweep_both(spark: SparkSession, sf: str) -> DataFrame:
+    return _both(*simulate.sweep_both(lfreq(spark, sf), cpue(spark, sf), SWEEP, SIMS, YRS, SEED))
+
+
 @query
 def c6_sweep_iters(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.sweep_iters(lfreq(spark, sf), cpue(spark, sf), ITERS, ITERS_SAMPLES, YRS, False, SEED)

@@ -66,7 +66,7 @@ def haul_cells(cpue: DataFrame) -> DataFrame:
     """Abundance by haul: one row per distinct area (``pos``), with the number of catch rows behind it.
 
     ``copies`` rows of the catch table have this haul and area, ``catches`` of the haul's rows
-    have a catch. ``slices`` says over how many join keys the stratum's hauls are to be spread.
+    have a catch.
     """
     rows = cpue.groupBy(*KH, "area").agg(
         F.count(F.lit(1)).alias("copies"),
@@ -77,7 +77,6 @@ def haul_cells(cpue: DataFrame) -> DataFrame:
     stratum = rows.groupBy(*K).agg(
         F.when(F.sum("known") == F.sum("copies"), F.sum("num")).alias("k_tot"),
         F.sum("copies").alias("k_rows"),
-        F.ceil(F.count_if(F.col("caught") > 0) / F.lit(HAULS_PER_SLICE)).cast("int").alias("slices"),
     )
     haul = Window.partitionBy(*KH)
     n = F.sum("copies").over(haul)
@@ -93,7 +92,6 @@ def haul_cells(cpue: DataFrame) -> DataFrame:
         (rdiv(F.col("h_mean"), F.col("k_tot")) * stratum_number).alias("abund"),
         "copies",
         "catches",
-        "slices",
     )
 
 

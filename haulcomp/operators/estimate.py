@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haulcomp.functions.rules import KH, SEX_CODE, SEXES, K, explode_spread, half_even, rdiv, sum0
+from haulcomp.operators import cells
 from haulcomp.operators.cells import haul_cells, length_cells
 
 
@@ -40,9 +41,15 @@ def haul_abundance(cpue: DataFrame) -> DataFrame:
 
 
 def impute_comp(no_length: DataFrame, stratum: DataFrame, comp: DataFrame) -> DataFrame:
-    """Measured hauls with their own composition, unmeasured ones with their stratum's."""
+    """Measured hauls with their own composition, unmeasured ones with their stratum's.
+
+    Hauls of a stratum are dealt to slices, and each slice has the stratum's composition, so a large stratum is spread.
+    """
     cols = [*KH, "sex", "length", "comp"]
-    given = no_length.select(*KH).join(stratum, K, "left").select(*cols)
+    slices = no_length.groupBy(*K).agg(F.ceil(F.count(F.lit(1)) / cells.HAULS_PER_SLICE).cast("int").alias("_slices"))
+    hauls = no_length.select(*KH).join(slices, K).withColumn("_slice", F.pmod(F.xxhash64("hauljoin"), F.col("_slices")).cast("int"))
+    each = stratum.join(slices, K).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    given = hauls.join(each.drop("_slices"), [*K, "_slice"], "left").select(*cols)
     return given.unionByName(comp.select(*cols))
 
 

@@ -4,8 +4,11 @@ Fish are drawn by the rank of a portable hash (functions.draw). Where a haul has
 sexed fish than the sample size nothing is random and nothing is replicated. Replicates of
 the other hauls are made and ranked in the partition that already holds the haul, without
 a shuffle. A haul with too many fish for that takes its own road: its fish are cut
-into chunks that are spread over the cluster, each chunk keeps its lowest ranks, and the
-rank of the haul's last drawn fish decides over the rest.
+into chunks that are spread over the cluster, keys are counted by prefix, and only the fish
+under the prefix in which the last drawn key falls are ranked (operators.selection).
+
+``draw_table`` keeps which fish were drawn, so that numbers at length and removed fish can be
+read off one draw.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from haulcomp.functions.draw import SEED, key_text, rank_key
 from haulcomp.functions.rules import KH, SEX_CODE, SEXES, explode_spread, explode_to, required
 from haulcomp.operators.cells import length_cells
+from haulcomp.operators.selection import cut_prefix, up_to_cut
 from haulcomp.session import stage
 
 # The label of a run that keeps every fish; no sample size.
@@ -28,7 +32,6 @@ HOT_ROWS = 4_000_000
 CHUNK = 16_384
 # Fish x replicates per task on average.
 TASK_FISH = 2_000_000
-SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -102,8 +105,16 @@ def settled_part(cells: DataFrame, runs: Sequence[Run]) -> DataFrame:
     return with_runs(cells, runs).filter((F.col("ss") < 0) | (F.col("sexed") <= F.col("ss")) | (_sexed_count() == 0))
 
 
-def rank_fish(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
-    """The fish of ``random_part`` per replicate with ``drawn``: ordinary hauls, then hot ones if there are any.
+def _haul_keys(cells: DataFrame) -> list[str]:
+    """What a draw is made over; the haul first, as it tells most rows apart."""
+    return ["hauljoin", "species_code", "sim", "ss", "run", "year", "stratum", *(["pos"] if "pos" in cells.columns else [])]
+
+
+ORDER = ["_key", "sex", "length", "ordinal"]
+
+
+def _split(cells: DataFrame, runs: Sequence[Run], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """(ordinary, hot or None, tasks): ``random_part`` by whether a haul's fish x replicates fit in a task.
 
     ``cells`` are staged, as they are read several times; they may carry further columns, and
     ``pos`` (a repeated haul) is ranked by itself.
@@ -111,56 +122,131 @@ def rank_fish(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int =
     # The repeats one task would hold: bootstrap cells come one replicate at a time.
     repeats = 1 if "sim" in cells.columns else sum(r.iters for r in runs)
     cells = random_part(cells, runs)
-    hot = F.col("sexed") > hot_rows // repeats
-    haul = ["hauljoin", "species_code", "sim", "ss", "run", "year", "stratum", *(["pos"] if "pos" in cells.columns else [])]
-    order = ["_key", "sex", "length", "ordinal"]
-
     # What the rows grow to is not in the sizes AQE would merge partitions by, so their number follows from the fish.
     size = cells.agg(F.sum(_sexed_count()).alias("fish"), F.max("sexed").alias("most")).first()
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(tasks, -(-(size.fish or 0) * repeats // TASK_FISH))
-    together = with_sims(_one_sex_each(cells.filter(~hot).repartition(tasks, *KH)))
-    ordinary = _keyed_fish(together, F.expr("sequence(1L, _n)"), seed)
-    rank = F.row_number().over(Window.partitionBy(*haul).orderBy(*order))
-    ordinary = ordinary.withColumn("drawn", rank <= F.col("ss")).drop("_key")
-
-    if (size.most or 0) <= hot_rows // repeats:
-        return [ordinary]
+    tasks = max(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(size.fish or 0) * repeats // TASK_FISH))
+    # Whole rounds of all cores, so that no last round runs on a few of them.
+    cores = cells.sparkSession.sparkContext.defaultParallelism
+    tasks = -(-tasks // cores) * cores
+    hot = F.col("sexed") > hot_rows // repeats
+    return cells.filter(~hot), cells.filter(hot) if (size.most or 0) > hot_rows // repeats else None, tasks
+
+
+def _ordinary_fish(cells: DataFrame, tasks: int, seed: int) -> DataFrame:
+    """Each sexed fish per replicate with ``drawn``, ranked where its haul is."""
+    together = with_sims(_one_sex_each(cells.repartition(tasks, *KH)))
+    fish = _keyed_fish(together, F.expr("sequence(1L, _n)"), seed)
+    rank = F.row_number().over(Window.partitionBy(*_haul_keys(cells)).orderBy(*ORDER))
+    return fish.withColumn("drawn", rank <= F.col("ss")).drop("_key")
+
+
+def _chunk_end() -> Column:
+    return F.least(F.col("_n"), (F.col("_part") + 1) * CHUNK)
+
+
+def _hot_draws(cells: DataFrame, tasks: int, seed: int) -> DataFrame:
+    """Chunks of the hot hauls' fish per replicate with ``_drawn``, the ordinals drawn in the chunk."""
+    haul = _haul_keys(cells)
     chunk_no = F.explode(F.expr(f"sequence(0L, (_n - 1) div {CHUNK})"))
-    chunks = _one_sex_each(cells.filter(hot)).withColumn("_part", chunk_no)
-    spread = with_sims(chunks.repartition(tasks, *KH, "sex", "length", "_part"))
-    in_chunk = F.expr(f"sequence(_part * {CHUNK} + 1, least(_n, (_part + 1) * {CHUNK}))")
-    fish = _keyed_fish(spread, in_chunk, seed)
-    low = fish.select(*haul, "_part", *order)
-    for keys in ([*haul, "sex", "length", "_part"], haul):
-        lowest = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        low = low.withColumn("_rank", lowest).filter(F.col("_rank") <= F.col("ss")).drop("_rank")
-    last = low.groupBy(*haul).agg(F.max(F.struct(*order)).alias("_last"))
-    last = last.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = fish.withColumn("_salt", (F.col("ordinal") % SALTS).cast("int"))
-    decided = salted.join(last, [*haul, "_salt"]).withColumn("drawn", F.struct(*order) <= F.col("_last"))
-    return [ordinary, decided.select(ordinary.columns)]
+    chunks = with_sims(_one_sex_each(cells).withColumn("_part", chunk_no))
+    spot = ["sex", "length", "_part"]
+
+    def fish(cut: DataFrame | None) -> DataFrame:
+        # The cut meets chunks, not fish, and what it meets is spread by chunk.
+        some = chunks if cut is None else chunks.join(cut, haul)
+        kept = [*haul, *spot, "_n", "_id", *(["_prefix", "_before"] if cut is not None else [])]
+        in_chunk = F.sequence(F.col("_part") * CHUNK + 1, _chunk_end())
+        return _keyed_fish(some.select(*kept).repartition(tasks, *haul, *spot), in_chunk, seed)
+
+    cut = cut_prefix(fish, haul, F.col("ss"))
+    drawn = up_to_cut(fish(cut), haul, F.col("ss"), ORDER, [*spot, "ordinal"])
+    lists = drawn.groupBy(*haul, *spot).agg(F.collect_list("ordinal").alias("_drawn"))
+    none = F.expr("cast(array() as array<bigint>)")
+    return chunks.join(lists, [*haul, *spot], "left").withColumn("_drawn", F.coalesce("_drawn", none))
+
+
+def rank_fish(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int = HOT_ROWS) -> list[DataFrame]:
+    """The fish of ``random_part`` per replicate with ``drawn``: ordinary hauls, then hot ones if there are any."""
+    ordinary, hot, tasks = _split(cells, runs, hot_rows)
+    parts = [_ordinary_fish(ordinary, tasks, seed)]
+    if hot is not None:
+        draws = _hot_draws(hot, tasks, seed)
+        rest = F.array_except(F.sequence(F.col("_part") * CHUNK + 1, _chunk_end()), F.col("_drawn"))
+
+        def marked(ordinals: Column, drawn: bool) -> Column:
+            return F.transform(ordinals, lambda o: F.struct(o.alias("ordinal"), F.lit(drawn).alias("drawn")))
+
+        fish = draws.select("*", F.inline(F.concat(marked(F.col("_drawn"), True), marked(rest, False))))
+        parts.append(fish.select(parts[0].columns))
+    return parts
+
+
+def _cell_payload(cells: DataFrame) -> list[Column]:
+    return [F.max(c).alias(c) for c in ("_all", "tot", "abund", "copies") if c in cells.columns]
+
+
+def _with_all(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("_all", _sexed_count() + F.coalesce(F.col("unsexed"), F.lit(0)))
+
+
+def _cell_keys(cells: DataFrame) -> list[str]:
+    return ["run", "ss", "sim", *KH, *(["pos"] if "pos" in cells.columns else []), "length"]
 
 
 def retabulate_cells(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``random_part`` cells per replicate after the draw: fish not drawn have moved to unsexed."""
-    payload = [c for c in ("tot", "abund", "copies") if c in cells.columns]
-    pos = ["pos"] if "pos" in cells.columns else []
-    all_fish = _sexed_count() + F.coalesce(F.col("unsexed"), F.lit(0))
-    with_all = cells.withColumn("_all", all_fish)
+    ordinary, hot, tasks = _split(_with_all(cells), runs, hot_rows)
+    fish = _ordinary_fish(ordinary, tasks, seed)
     males, females = [F.count_if(F.col("drawn") & (F.col("sex") == SEX_CODE[s])) for s in SEXES[:2]]
-    out = None
-    for fish in rank_fish(with_all, runs, seed, hot_rows):
-        part = fish.groupBy("run", "ss", "sim", *KH, *pos, "length").agg(
-            males.alias("males"),
-            females.alias("females"),
-            F.max("_all").alias("_all"),
-            *[F.max(c).alias(c) for c in payload],
-        )
-        out = part if out is None else out.unionByName(part)
+    out = fish.groupBy(*_cell_keys(cells)).agg(males.alias("males"), females.alias("females"), *_cell_payload(ordinary))
+    out = out.withColumn("unsexed", F.col("_all") - F.col("males") - F.col("females")).drop("_all")
+    return out if hot is None else out.unionByName(cells_of_draws(_hot_draws(hot, tasks, seed)))
+
+
+# ---- one draw for several results ----------------------------------------------------------
+
+
+def draw_table(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The draw of ``random_part``, staged: per replicate, cell, sex and chunk of its fish, the ordinals drawn (``_drawn``).
+
+    Every fish's key is made here and nowhere after: ``cells_of_draws`` and ``removed_of_draws`` read this table.
+    """
+    ordinary, hot, tasks = _split(_with_all(cells), runs, hot_rows)
+    fish = _ordinary_fish(ordinary, tasks, seed).withColumn("_part", F.expr(f"(ordinal - 1) div {CHUNK}"))
+    drawn = F.collect_list(F.when(F.col("drawn"), F.col("ordinal"))).alias("_drawn")
+    payload = [*_cell_payload(ordinary), F.max("_n").alias("_n"), F.max("sexed").alias("sexed")]
+    draws = fish.groupBy(*_cell_keys(cells), "sex", "_part").agg(drawn, *payload)
+    if hot is not None:
+        draws = draws.unionByName(_hot_draws(hot, tasks, seed).select(draws.columns))
+    return stage(draws, "draws")
+
+
+def cells_of_draws(draws: DataFrame) -> DataFrame:
+    """``retabulate_cells`` from the table of draws."""
+    males, females = [F.sum(F.when(F.col("sex") == SEX_CODE[s], F.size("_drawn")).otherwise(0)) for s in SEXES[:2]]
+    out = draws.groupBy(*_cell_keys(draws)).agg(males.alias("males"), females.alias("females"), *_cell_payload(draws))
     return out.withColumn("unsexed", F.col("_all") - F.col("males") - F.col("females")).drop("_all")
 
 
+def removed_of_draws(draws: DataFrame) -> DataFrame:
+    """``newly_unsexed`` from the table of draws."""
+    first = draws.filter(F.col("pos") == 0) if "pos" in draws.columns else draws
+    rest = F.array_except(F.sequence(F.col("_part") * CHUNK + 1, _chunk_end()), F.col("_drawn"))
+    fish = first.withColumn("ordinal", F.explode(rest)).withColumns({"id": fish_id(), "n": F.col("sexed")})
+    return _as_unsexed(fish)
+
+
+def _as_unsexed(fish: DataFrame) -> DataFrame:
+    return fish.withColumn("sex", F.lit(SEX_CODE["unsexed"])).select("run", "ss", "sim", *KH, "sex", "length", "id", "n")
+
+
+def removed_counts(lfreq: DataFrame, samples: int) -> DataFrame:
+    """Mean number of fish removed per haul. Every replicate moves all sexed fish beyond ``samples``, so no draw is needed."""
+    sexed = lfreq.filter((F.col("frequency") > 0) & (F.col("sex") != SEX_CODE["unsexed"]))
+    hauls = sexed.groupBy(*KH).agg((F.sum("frequency") - F.lit(samples)).cast("double").alias("ss_removed"))
+    return hauls.filter(F.col("ss_removed") > 0)
+
+
 # ---- the same steps as frames of fish ------------------------------------------------------
 
 
@@ -213,10 +299,7 @@ def subsample(
 
 def newly_unsexed(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The sexed fish not drawn, now of sex 3; ``id`` tells what they were."""
-    fish = _sexed_fish(lfreq, runs, seed, hot_rows, settled=False).filter(~F.col("drawn"))
-    return fish.withColumn("sex", F.lit(SEX_CODE["unsexed"])).select(
-        "run", "ss", "sim", *KH, "sex", "length", "id", "n"
-    )
+    return _as_unsexed(_sexed_fish(lfreq, runs, seed, hot_rows, settled=False).filter(~F.col("drawn")))
 
 
 def retabulate(lfreq: DataFrame, samples: int, seed: int = SEED, iters: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -493,6 +493,14 @@ FINAL: dict[str, str] = {
     "p18_pop_est_sampled_strata": f"SELECT {_cells_st} FROM s1_size_st",
     "c1_simulate": f"SELECT sim, {_cells} FROM sim_size",
     "c1_simulate_strata": f"SELECT sim, {_cells_st} FROM sim_size_st",
+    "c1_simulate_both": f"SELECT sim, {_cells_st} FROM sim_size_st UNION ALL BY NAME SELECT sim, {_cells} FROM sim_size",
+    "c5_sweep_both": f"SELECT ss, sim, {_cells_st} FROM swp_size_st UNION ALL BY NAME SELECT ss, sim, {_cells} FROM swp_size",
+    "c4_one_draw_size": f"SELECT sim, {_cells} FROM sim_size",
+    "c4_one_draw_removed": f"SELECT sim, {KH}, 3 AS sex, length, id, n FROM sim_rank WHERE rk > ss",
+    "c3_removed_counted": f"""SELECT {KH}, round(COUNT(*) / {SIMS}.0::DOUBLE, 6) AS ss_removed
+        FROM sim_rank WHERE rk > ss GROUP BY {KH}""",
+    "p13_abundance_histogram": f"""SELECT {K}, {r('abund')}, COUNT(*) AS catch_rows
+        FROM (SELECT {KH}, catchjoin FROM al_nolen) LEFT JOIN (SELECT DISTINCT {KH}, abund FROM pop_all) USING ({KH}) GROUP BY ALL""",
     "c2_removed": f"SELECT sim, {KH}, 3 AS sex, length, id, n FROM sim_rank WHERE rk > ss",
     "c3_removed_summary": f"""SELECT {KH}, round(COUNT(*) / {SIMS}.0::DOUBLE, 6) AS ss_removed
         FROM sim_rank WHERE rk > ss GROUP BY {KH}""",

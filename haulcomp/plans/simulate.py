@@ -11,8 +11,8 @@ from haulcomp.functions.draw import SEED
 from haulcomp.functions.rules import KH, replicate_keys
 from haulcomp.operators.cells import since
 from haulcomp.operators.ess import ess_size
-from haulcomp.operators.sampling import EVERY_FISH, Run, newly_unsexed
-from haulcomp.plans.population import bootstrapped, pop_est, resampled
+from haulcomp.operators.sampling import EVERY_FISH, Run, newly_unsexed, removed_counts
+from haulcomp.plans.population import bootstrapped, estimate_both, pop_est, resampled, resampled_with_removed
 from haulcomp.sources.results import SUFFIX, read_result, write_result
 
 
@@ -33,6 +33,16 @@ def simulate(
     return resampled(lfreq, cpue, [Run(samples, iters)], yrs, by_stratum, seed).drop("run", "ss")
 
 
+def simulate_both(
+    lfreq: DataFrame, cpue: DataFrame, iters: int = 1, samples: int | None = None, yrs: int | None = 2017, seed: int = SEED
+) -> tuple[DataFrame, DataFrame]:
+    """``simulate`` for the whole survey and by stratum, from one draw."""
+    if samples is None:
+        sims = F.explode(F.sequence(F.lit(1), F.lit(iters))).alias("sim")
+        return tuple(df.select(sims, "*") for df in estimate_both(lfreq, cpue, yrs))
+    return tuple(df.drop("run", "ss") for df in estimate_both(lfreq, cpue, yrs, [Run(samples, iters)], seed))
+
+
 def removed(
     lfreq: DataFrame, iters: int, samples: int, yrs: int | None = 2017, seed: int = SEED
 ) -> DataFrame:
@@ -41,12 +51,17 @@ def removed(
 
 
 def removed_summary(removed_fish: DataFrame, iters: int) -> DataFrame:
-    """Mean number of fish removed per haul."""
+    """Mean number of fish removed per haul, counted from the removed fish; ``removed_mean`` needs none."""
     n = F.try_divide(F.count("id"), F.lit(iters))
     labels = [c for c in replicate_keys(removed_fish) if c != "sim"]
     return removed_fish.groupBy(*labels, *KH).agg(n.alias("ss_removed"))
 
 
+def removed_mean(lfreq: DataFrame, samples: int, yrs: int | None = 2017) -> DataFrame:
+    """``removed_summary`` of any number of replicates, without a draw."""
+    return removed_counts(since(lfreq, yrs), samples)
+
+
 def sims(
     lfreq: DataFrame,
     cpue: DataFrame,
@@ -64,22 +79,25 @@ def sims(
 
     With ``samples`` a ``save`` name is required: the numbers go to <save>_size and the removed fish to
     <save>_removed, or their count per haul to <save>_removed_summ. Without ``samples``, <save> if given.
+    Numbers and removed fish come from one draw; the count per haul needs none.
     """
     if samples is not None and save is None:
         raise ValueError("a run with a sample size writes two tables; name them with save")
     if save is not None and folder is None:
         raise ValueError("saving needs a folder")
-    size = simulate(lfreq, cpue, iters, samples, yrs, by_stratum, seed)
+    fish = None
+    if samples is None or removed_summ:
+        size = simulate(lfreq, cpue, iters, samples, yrs, by_stratum, seed)
+    else:
+        size, fish = [df.drop("run", "ss") for df in resampled_with_removed(lfreq, cpue, [Run(samples, iters)], yrs, by_stratum, seed)]
     if save is None:
         return size
     name = save + SUFFIX["single" if samples is None else "size"]
     write_result(size, folder, name, fmt)
-    if samples is not None:
-        fish = removed(lfreq, iters, samples, yrs, seed)
-        if removed_summ:
-            write_result(removed_summary(fish, iters), folder, save + SUFFIX["removed_summary"], fmt)
-        else:
-            write_result(fish, folder, save + SUFFIX["removed"], fmt)
+    if fish is not None:
+        write_result(fish, folder, save + SUFFIX["removed"], fmt)
+    elif samples is not None:
+        write_result(removed_mean(lfreq, samples, yrs), folder, save + SUFFIX["removed_summary"], fmt)
     return read_result(size.sparkSession, folder, name, dict(size.dtypes), fmt)
 
 
@@ -97,6 +115,18 @@ def sweep(
     return resampled(lfreq, cpue, runs, yrs, by_stratum, seed).drop("run")
 
 
+def sweep_both(
+    lfreq: DataFrame,
+    cpue: DataFrame,
+    samples: Sequence[int] = (20, 40, 60, 80, 100, 120, 140),
+    iters: int = 10,
+    yrs: int | None = 2017,
+    seed: int = SEED,
+) -> tuple[DataFrame, DataFrame]:
+    """``sweep`` for the whole survey and by stratum, from one draw."""
+    return tuple(df.drop("run") for df in estimate_both(lfreq, cpue, yrs, [Run(n, iters) for n in samples], seed))
+
+
 def sweep_iters(
     lfreq: DataFrame,
     cpue: DataFrame,

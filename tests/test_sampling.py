@@ -5,7 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from haulcomp.functions.rules import KH, explode_spread, explode_to
-from haulcomp.operators import sampling
+from haulcomp.operators import sampling, selection
 from haulcomp.operators.bootstrap import bootstrap_hauls, bootstrap_lengths, numbered_rows
 from haulcomp.operators.cells import since
 from haulcomp.operators.sampling import Run
@@ -53,6 +53,84 @@ def test_hot_hauls_draw_the_same_fish(survey, monkeypatch, hot_rows):
     assert rows(sampling.newly_unsexed(since(lfreq, 1997), runs, 7, hot_rows)) == fish
 
 
+@pytest.mark.parametrize(("digits", "rank_rows", "samples"), [(4, 100_000, 10_000), (1, 1, 20), (2, 3, 7), (1, 1, 0)])
+def test_counting_prefixes_finds_the_same_fish(survey, monkeypatch, digits, rank_rows, samples):
+    """All hauls pooled into a few large ones, drawn whole and by counts of prefixes, over several rounds."""
+    lfreq = survey[0].withColumns({"hauljoin": F.col("year").cast("bigint"), "frequency": F.col("frequency") * 9})
+    runs = [Run(samples, 2)]
+    cells = sampling.sample_cells(lfreq)
+    plain = rows(sampling.retabulate_cells(cells, runs, 5))
+    fish = rows(sampling.newly_unsexed(lfreq, runs, 5))
+    monkeypatch.setattr(sampling, "CHUNK", 64)
+    monkeypatch.setattr(selection, "DIGITS", digits)
+    monkeypatch.setattr(selection, "RANK_ROWS", rank_rows)
+    assert rows(sampling.retabulate_cells(cells, runs, 5, 0)) == plain
+    assert rows(sampling.newly_unsexed(lfreq, runs, 5, 0)) == fish
+    draws = sampling.draw_table(cells, runs, 5, 0)
+    assert rows(sampling.cells_of_draws(draws)) == plain
+    assert rows(sampling.removed_of_draws(draws)) == fish
+
+
+def test_only_keys_under_the_cut_are_ranked(spark, monkeypatch):
+    monkeypatch.setattr(selection, "RANK_ROWS", 50)
+    keys = spark.range(200_000).select((F.col("id") % 3).alias("g"), "id", F.md5(F.col("id").cast("string")).alias("_key"))
+    group, k = ["g"], F.lit(1000)
+
+    def some(cut):
+        return keys if cut is None else keys.join(cut, group)
+
+    cut = selection.cut_prefix(some, group, k)
+    # One row in 65,536 prefixes and 66,667 keys a group: a few keys share the last prefix.
+    assert keys.join(cut, group).filter(F.col("_key").startswith(F.col("_prefix"))).count() < 50
+    got = rows(selection.up_to_cut(some(cut), group, k, ["_key"], ["id"]))
+    best = sampling.Window.partitionBy("g").orderBy("_key")
+    want = keys.withColumn("r", F.row_number().over(best)).filter("r <= 1000").select("g", "id")
+    assert got == rows(want)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_numbers_and_removed_fish_come_from_one_draw(survey):
+    lfreq, cpue, _ = survey
+    runs = [Run(20, 2), Run(40, 1, label=3)]
+    size, fish = population.resampled_with_removed(lfreq, cpue, runs, 1997, seed=9)
+    assert "md5" not in plan_of(size) and "md5" not in plan_of(fish)
+    assert rows(size) == rows(population.resampled(lfreq, cpue, runs, 1997, seed=9))
+    assert rows(fish) == rows(sampling.newly_unsexed(since(lfreq, 1997), runs, 9))
+
+
+def test_removed_mean_needs_no_draw(survey):
+    lfreq = survey[0]
+    mean = simulate.removed_mean(lfreq, 20, 1997)
+    assert "md5" not in plan_of(mean)
+    counted = simulate.removed_summary(simulate.removed(lfreq, 3, 20, 1997), 3)
+    assert rows(mean) == rows(counted.select(mean.columns))
+
+
+def test_both_levels_equal_their_own_runs(survey):
+    lfreq, cpue, _ = survey
+    for whole, strata, one in (
+        (*simulate.simulate_both(lfreq, cpue, 2, 20, 1997), lambda st: simulate.simulate(lfreq, cpue, 2, 20, 1997, st)),
+        (*simulate.simulate_both(lfreq, cpue, 1, None, 1997), lambda st: simulate.simulate(lfreq, cpue, 1, None, 1997, st)),
+        (*simulate.sweep_both(lfreq, cpue, (20, 40), 2, 1997), lambda st: simulate.sweep(lfreq, cpue, (20, 40), 2, 1997, st)),
+    ):
+        for got, want in ((whole, one(False)), (strata, one(True))):
+            assert got.columns == want.columns and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("size", [1, 7])
+def test_blocks_of_sums_and_abundances_change_nothing(survey, monkeypatch, size):
+    lfreq, cpue, _ = survey
+    boot = rows(simulate.pop_est_boot(lfreq, cpue, 20, 1997, False, 2))
+    plain = rows(simulate.simulate(lfreq, cpue, 3, 20, 1997))
+    monkeypatch.setattr(population, "SUMS_PER_BLOCK", size)
+    monkeypatch.setattr(population, "ABUNDANCES_PER_BLOCK", size)
+    assert rows(simulate.simulate(lfreq, cpue, 3, 20, 1997)) == plain
+    assert rows(simulate.pop_est_boot(lfreq, cpue, 20, 1997, False, 2)) == boot
+
+
 def test_more_samples_than_fish_is_the_full_estimate(survey):
     lfreq, cpue, _ = survey
     full = rows(population.pop_est(lfreq, cpue, None, 1997)[0])
