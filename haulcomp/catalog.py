@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from haulcomp.functions.rules import KH
 from haulcomp.operators import age, estimate, ess, sampling, summary
-from haulcomp.operators.bootstrap import bootstrap_hauls, bootstrap_lengths
+from haulcomp.operators.bootstrap import bootstrap_hauls, bootstrap_lengths, bootstrapped_rows
 from haulcomp.operators.cells import (
     fill_grid,
     hauls_without_lengths,
@@ -401,6 +401,12 @@ def c7b_bootstrap_lengths(spark: SparkSession, sf: str) -> DataFrame:
     return bootstrap_lengths(_boot_rows(spark, sf), SEED).drop("run", "ss")
 
 
+@query
+def c7_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """Both draws in one pass."""
+    return bootstrapped_rows(recent(lfreq(spark, sf)), [Run(SAMPLES, SIMS)], SEED).drop("run", "ss")
+
+
 @query
 def c8_pop_est_boot(spark: SparkSession, sf: str) -> DataFrame:
     return simulate.pop_est_boot(lfreq(spark, sf), cpue(spark, sf), SAMPLES, YRS, False, SIMS, SEED)

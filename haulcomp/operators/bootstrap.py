@@ -1,15 +1,20 @@
 """Resampling length rows with replacement: hauls within a stratum, then lengths within the new hauls.
 
 Rows of a stratum are numbered without bringing the stratum together: they are ordered by
-a hash, counted by hash prefix, and numbered within each prefix. Drawing is then a join on
-the drawn number, which spreads evenly whatever the stratum's size.
+a hash, counted by hash prefix, and numbered within each prefix. Donors are written once as
+blocks, the hauls of 2 ** ``BLOCK_BITS`` consecutive numbers in an array: a taker finds its donor by (stratum, block) and
+place. The table of blocks is small, a few bytes a row, so Spark may send it to all tasks and takers stay where they
+are; otherwise takers spread evenly over the blocks, whatever the stratum's size.
+
+``bootstrapped_rows`` draws hauls once and lengths in the same pass: a new haul's takers become one row, which holds both their lengths and
+their draws. New hauls of donors with more than ``BIG`` rows draw by running counts instead, spread over salts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED, draw_bits, index_of, key_text
@@ -23,6 +28,9 @@ PREFIX = 3
 REPS = REPLICATE[1:]
 # Join keys a haul is spread over when its rows draw their lengths.
 SALTS = 16
+# Bits of a donor's place in its block, and rows of a haul up to which its new hauls are put together in one row each.
+BLOCK_BITS = 13
+BIG = 50_000
 
 
 def row_blocks(lfreq: DataFrame) -> DataFrame:
@@ -53,17 +61,68 @@ def numbered_rows(lfreq: DataFrame) -> DataFrame:
     return rows.withColumn("ordinal", F.col("start") + F.col("_copy")).drop("start", "_copy", "copies")
 
 
-def bootstrap_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> DataFrame:
-    """Per replicate, each length row gets the haul of a row of its stratum drawn with replacement.
+def donor_blocks(rows: DataFrame) -> DataFrame:
+    """The hauls of numbered rows by stratum and ``_block`` of consecutive numbers, staged; ``_big`` marks those with many rows."""
+    # At most one in BIG rows.
+    big = stage(rows.groupBy(*KH).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BIG).drop("_n"), "big-hauls")
+    marked = rows.withColumn("_big", F.lit(False))
+    if not big.isEmpty():
+        marked = rows.join(big.withColumn("_big", F.lit(True)), KH, "left").fillna({"_big": False})
+    donor = F.sort_array(F.collect_list(F.struct("ordinal", "hauljoin", "_big")))
+    blocks = marked.groupBy(*K, F.shiftright(F.col("ordinal") - 1, BLOCK_BITS).alias("_block")).agg(donor.alias("_d"))
+    return stage(blocks.select(*K, "_block", F.col("_d.hauljoin").alias("_hauls"), F.col("_d._big").alias("_bigs")), "donors")
 
-    The numbered rows are both takers and donors, so they are staged.
-    """
+
+def _drawn_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int) -> DataFrame:
+    """``bootstrap_hauls`` with ``_big``. The numbered rows are both takers and donors, so they are staged."""
     rows = stage(numbered_rows(lfreq), "numbered-rows")
+    donors = donor_blocks(rows)
     takers = with_sims(with_runs(rows.drop("hauljoin"), runs))
     who = [F.col(c) for c in [*REPS, *K, "ordinal"]]
-    takers = takers.withColumn("_drawn", index_of(draw_bits(seed, "haul", *who), F.col("n"))).drop("n")
-    donors = rows.select(*K, F.col("ordinal").alias("_drawn"), "hauljoin")
-    return takers.join(donors, [*K, "_drawn"]).select(*REPS, *KH, "ordinal", "sex", "length", "frequency")
+    # Never missing (n is 1 at least), and the plan can tell: a test for it below the join would hash every row again.
+    drawn = F.coalesce(index_of(draw_bits(seed, "haul", *who), F.col("n")) - 1, F.lit(0).cast("bigint"))
+    takers = takers.withColumn("_drawn", drawn).drop("n")
+    met = takers.withColumn("_block", F.shiftright("_drawn", BLOCK_BITS)).join(donors, [*K, "_block"])
+    place = F.col("_drawn").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
+    haul, big = F.get("_hauls", place).alias("hauljoin"), F.get("_bigs", place).alias("_big")
+    return met.select(*REPS, *K, haul, "ordinal", "sex", "length", "frequency", big)
+
+
+def bootstrap_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> DataFrame:
+    """Per replicate, each length row gets the haul of a row of its stratum drawn with replacement."""
+    return _drawn_hauls(lfreq, runs, seed).drop("_big")
+
+
+def _length_bits(seed: int) -> Column:
+    return draw_bits(seed, "length", *[F.col(c) for c in [*REPS, *K, "ordinal"]])
+
+
+def _lengths_in_row(rows: DataFrame, seed: int) -> DataFrame:
+    """``bootstrap_lengths`` where a haul's rows fit in one: one shuffle, and no join."""
+    taker = F.struct("ordinal", "sex", "length", "frequency", _length_bits(seed).alias("bits"))
+    # Spread first, so that takers are not collected twice.
+    hauls = rows.repartition(*REPS, *KH).groupBy(*REPS, *KH).agg(F.collect_list(taker).alias("_takers"))
+
+    def given(lengths: Column) -> Column:
+        def one(t: Column) -> Column:
+            length = F.get(lengths, F.try_mod(t["bits"], F.size(lengths)).cast("int"))
+            return F.struct(t["ordinal"].alias("ordinal"), t["sex"].alias("sex"), length.alias("length"), t["frequency"].alias("frequency"))
+
+        return F.transform("_takers", one)
+
+    # The lengths are sorted once and held by the outer lambda.
+    lengths = F.sort_array(F.transform("_takers", lambda t: t["length"]))
+    return hauls.select(*REPS, *KH, F.inline(F.transform(F.array(lengths), given)[0]))
+
+
+def bootstrapped_rows(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> DataFrame:
+    """Hauls, then lengths, drawn with replacement: ``bootstrap_lengths`` of ``bootstrap_hauls``, with one draw of hauls."""
+    drawn = _drawn_hauls(lfreq, runs, seed)
+    most = lfreq.groupBy(*KH).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) <= BIG:
+        return _lengths_in_row(drawn.drop("_big"), seed)
+    few = _lengths_in_row(drawn.filter(~F.col("_big")).drop("_big"), seed)
+    return few.unionByName(bootstrap_lengths(drawn.filter("_big").drop("_big"), seed))
 
 
 def bootstrap_lengths(rows: DataFrame, seed: int = SEED) -> DataFrame:
@@ -79,11 +138,8 @@ def bootstrap_lengths(rows: DataFrame, seed: int = SEED) -> DataFrame:
     zero = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("int").alias("length"))
     # The running count passes the draw at one length only; that length is kept on the way.
     spans = haul.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    who = [F.col(c) for c in [*REPS, *K, "ordinal"]]
     # Hashed below the join, so that comparing with each length does not hash again.
-    hashed = rows.drop("length").withColumns(
-        {"_bits": draw_bits(seed, "length", *who), "_salt": (F.col("ordinal") % SALTS).cast("int")}
-    )
+    hashed = rows.drop("length").withColumns({"_bits": _length_bits(seed), "_salt": (F.col("ordinal") % SALTS).cast("int")})
     hit = hashed.join(spans, [*REPS, *KH, "_salt"]).withColumn("_drawn", index_of(F.col("_bits"), F.col("_rows")))
 
     def step(state, x):

@@ -53,9 +53,10 @@ def length_cells(lfreq: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     haul = Window.partitionBy(*by, *KH)
     m, f, u = [F.coalesce(F.col(s), F.lit(0)) for s in SEXES]
+    # Without replicates, by haul alone: what follows meets other tables by haul.
+    placed = counts if by else counts.repartition(*KH)
     return (
-        counts.repartition(*KH)
-        .withColumn("first", F.when(F.row_number().over(haul.orderBy("length")) == 1, 1).otherwise(0))
+        placed.withColumn("first", F.when(F.row_number().over(haul.orderBy("length")) == 1, 1).otherwise(0))
         .withColumn("tot", F.when(F.sum("missing").over(haul) == 0, F.sum(m + f + u).over(haul)))
         .withColumn("sexed", F.sum(m + f).over(haul))
         .drop("missing")

@@ -217,20 +217,15 @@ def simulated(name: str, runs: list[tuple[int, int, int]]) -> None:
 
 def booted(name: str, samples: int | None) -> None:
     reps(f"{name}_reps", [(0, EVERY_FISH if samples is None else samples, SIMS)])
+    # Element j of a sorted list stands for the row drawn; a join of the rows with themselves says the same but takes far longer.
+    who = f"run, ss, sim, {K}, ordinal"
     STEPS[f"{name}_h"] = f"""
-SELECT {REP}t.year, t.species_code, t.stratum, d.hauljoin, t.ordinal, t.sex, t.length, t.frequency
-FROM (SELECT *, {draw('n', 'haul', 'run', 'ss', 'sim', 'year', 'species_code', 'stratum', 'ordinal')} AS j
-      FROM numbered, {name}_reps) t
-JOIN numbered d ON d.year = t.year AND d.species_code = t.species_code AND d.stratum = t.stratum AND d.ordinal = t.j"""
-    STEPS[f"{name}_l"] = f"""
-SELECT *, row_number() OVER (PARTITION BY {REP}{KH} ORDER BY length) AS lo, COUNT(*) OVER (PARTITION BY {REP}{KH}) AS nl
-FROM {name}_h"""
+SELECT {REP}{K}, (hauls[j]).h AS hauljoin, ordinal, sex, length, frequency
+FROM (SELECT *, {draw('n', 'haul', who)} AS j FROM numbered JOIN donors USING ({K}), {name}_reps)"""
+    STEPS[f"{name}_l"] = f"SELECT {REP}{KH}, list(length ORDER BY length) AS lengths, COUNT(*) AS nl FROM {name}_h GROUP BY ALL"
     STEPS[f"{name}_rows"] = f"""
-SELECT {', '.join('t.' + c for c in ['run', 'ss', 'sim', 'year', 'species_code', 'stratum', 'hauljoin', 'ordinal', 'sex'])},
-       d.length, t.frequency
-FROM (SELECT *, {draw('nl', 'length', 'run', 'ss', 'sim', 'year', 'species_code', 'stratum', 'ordinal')} AS j FROM {name}_l) t
-JOIN {name}_l d ON d.run = t.run AND d.ss = t.ss AND d.sim = t.sim AND d.year = t.year
-  AND d.species_code = t.species_code AND d.stratum = t.stratum AND d.hauljoin = t.hauljoin AND d.lo = t.j"""
+SELECT {REP}{KH}, ordinal, sex, lengths[j] AS length, frequency
+FROM (SELECT * EXCLUDE (length), {draw('nl', 'length', who)} AS j FROM {name}_h JOIN {name}_l USING ({REP}{KH}))"""
     fish(f"{name}_fish", f"{name}_rows", REP)
     ranked(name, f"{name}_fish", f"{name}_fish")
     estimate(name, f"{name}_freq", REP)
@@ -241,6 +236,7 @@ SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY md5(concat_ws('|', hauljo
                              hauljoin, sex, length, frequency) AS ordinal,
        COUNT(*) OVER (PARTITION BY {K}) AS n
 FROM lf"""
+STEPS["donors"] = f"SELECT {K}, list({{'o': ordinal, 'h': hauljoin}} ORDER BY ordinal) AS hauls FROM numbered GROUP BY {K}"
 simulated("s1", [(0, SAMPLES, 1)])
 STEPS["sa_fish"] = "SELECT * FROM fish_all, s1_reps"
 ranked("sa", "fish_all", "sa_fish")
@@ -509,6 +505,7 @@ FINAL: dict[str, str] = {
     "c5_sweep": f"SELECT ss, sim, {_cells} FROM swp_size",
     "c6_sweep_iters": f"SELECT run, sim, {_cells} FROM itr_size",
     "c7a_bootstrap_hauls": f"SELECT sim, {KH}, ordinal, sex, length, frequency FROM b{SAMPLES}_h",
+    "c7_bootstrap": f"SELECT sim, {KH}, ordinal, sex, length, frequency FROM b{SAMPLES}_rows",
     "c7b_bootstrap_lengths": f"SELECT sim, {KH}, ordinal, sex, length, frequency FROM b{SAMPLES}_rows",
     "c8_pop_est_boot": f"SELECT sim, {_cells} FROM b{SAMPLES}_size",
     "c9_sims_boot": f"SELECT {_ess} FROM b{SAMPLES}_ess",

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED
 from haulcomp.functions.rules import KH, SEXES, K, half_even, rdiv, sum0
-from haulcomp.operators.bootstrap import REPS, bootstrap_hauls, bootstrap_lengths
+from haulcomp.operators.bootstrap import REPS, bootstrapped_rows
 from haulcomp.operators.cells import (
     fill_grid,
     haul_cells,
@@ -282,5 +282,5 @@ def bootstrapped(
     Draws are hashes, so nothing of the size of rows x replicates is written: what is staged are haul x length cells.
     """
     grid = length_grid(lfreq, yrs, by_stratum)
-    rows = bootstrap_hauls(since(lfreq, yrs), runs, seed)
-    return estimate(bootstrap_lengths(rows, seed), since(cpue, yrs), grid, runs, REPS, by_stratum, seed, hot_rows)
+    rows = bootstrapped_rows(since(lfreq, yrs), runs, seed)
+    return estimate(rows, since(cpue, yrs), grid, runs, REPS, by_stratum, seed, hot_rows)

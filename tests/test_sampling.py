@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from haulcomp.functions.rules import KH, explode_spread, explode_to
 from haulcomp.operators import sampling, selection
-from haulcomp.operators.bootstrap import bootstrap_hauls, bootstrap_lengths, numbered_rows
+from haulcomp.operators import bootstrap
+from haulcomp.operators.bootstrap import bootstrap_hauls, bootstrap_lengths, bootstrapped_rows, numbered_rows
 from haulcomp.operators.cells import since
 from haulcomp.operators.sampling import Run
 from haulcomp.plans import population, simulate
@@ -172,6 +173,26 @@ def test_bootstrap_keeps_rows_and_draws_from_the_stratum_and_haul(survey):
     assert lengths.select(*keys).distinct().join(hauls, keys, "left_anti").isEmpty()
 
 
+@pytest.mark.parametrize(("bits", "big"), [(13, 50_000), (2, 5), (0, 0)])
+def test_one_pass_bootstrap_equals_the_two_draws(survey, monkeypatch, bits, big):
+    lfreq = since(survey[0], 1997)
+    runs = [Run(20, 2), Run(None, 1, label=4)]
+    monkeypatch.setattr(bootstrap, "SALTS", 3)
+    two = rows(bootstrap_lengths(bootstrap_hauls(lfreq, runs, 3), 3))
+    monkeypatch.setattr(bootstrap, "BLOCK_BITS", bits)
+    monkeypatch.setattr(bootstrap, "BIG", big)
+    one = bootstrapped_rows(lfreq, runs, 3)
+    assert rows(one.select("run", "ss", "sim", *KH, "ordinal", "sex", "length", "frequency")) == two
+    if big == 50_000:
+        # The haul draw stands once in the plan, and so does the length draw.
+        assert plan_of(one).count("md5") == 2
+
+
+def test_bootstrap_of_nothing(survey):
+    lfreq = survey[0].limit(0)
+    assert bootstrapped_rows(lfreq, [Run(20, 2)]).count() == 0
+
+
 def test_save_rules(spark, survey, tmp_path):
     lfreq, cpue, _ = survey
     folder = str(tmp_path)
