@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulcomp.functions.rules import KH
-from haulcomp.operators import age, estimate, ess, sampling, summary
+from haulcomp.operators import age, distribution, estimate, ess, sampling, summary
 from haulcomp.operators.bootstrap import bootstrap_hauls, bootstrap_lengths, bootstrapped_rows
 from haulcomp.operators.cells import (
     fill_grid,
@@ -510,6 +510,12 @@ def _ess_frame(spark: SparkSession, sf: str) -> DataFrame:
     return staged_once(spark, f"scenarios {sf}", lambda: _scenarios(spark, sf))
 
 
+@query
+def d8_rank_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks of all lengths within their species."""
+    return distribution.rank_index(lfreq(spark, sf), ["species_code"], "length")
+
+
 @query
 def d8_box_frame(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(summary.box_frame(_ess_frame(spark, sf)), "ymin", "lower", "middle", "upper", "ymax")

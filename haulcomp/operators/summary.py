@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcomp.functions.rules import INF, SEXES, rdiv, replicate_keys, require_strata, strict_avg
-from haulcomp.operators.distribution import density, quantiles
+from haulcomp.operators.distribution import density, density_of, quantiles_of, rank_index
 
 Z = 1.96
 
@@ -133,15 +133,15 @@ def box_frame(
     ess: DataFrame, species: Sequence | None = None, keys: Sequence[str] = ("species_code", "ess", "type")
 ) -> DataFrame:
     """Box statistics of 1 / ess: quartiles, and whiskers at the last value within 1.5 IQR."""
-    values = _inverse(ess, species)
-    boxes = quantiles(values, keys, "x", {"lower": 0.25, "middle": 0.5, "upper": 0.75})
+    ranks = rank_index(_inverse(ess, species), keys, "x")
+    boxes = quantiles_of(ranks, keys, "x", {"lower": 0.25, "middle": 0.5, "upper": 0.75})
     fence = 1.5 * (F.col("upper") - F.col("lower"))
     x = F.col("x")
     inside = (x >= F.col("lower") - fence) & (x <= F.col("upper") + fence)
-    whiskers = values.join(boxes, list(keys)).groupBy(*keys).agg(
+    whiskers = ranks.drop("n").join(boxes, list(keys)).groupBy(*keys).agg(
         F.min(F.when(inside, x)).alias("ymin"),
         F.max(F.when(inside, x)).alias("ymax"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("copies"))).alias("outliers"),
     )
     return boxes.join(whiskers, list(keys)).select(*keys, "n", "ymin", "lower", "middle", "upper", "ymax", "outliers")
 
@@ -151,7 +151,7 @@ def box_outliers(
 ) -> DataFrame:
     """The values of 1 / ess beyond the whiskers."""
     values = _inverse(ess, species)
-    box = quantiles(values, keys, "x", {"lower": 0.25, "upper": 0.75}).drop("n")
+    box = quantiles_of(rank_index(values, keys, "x"), keys, "x", {"lower": 0.25, "upper": 0.75}).drop("n")
     fence = 1.5 * (F.col("upper") - F.col("lower"))
     beyond = (F.col("x") < F.col("lower") - fence) | (F.col("x") > F.col("upper") + fence)
     return values.join(box, list(keys)).filter(beyond).drop("lower", "upper")
@@ -164,9 +164,9 @@ def violin_frame(
     points: int = 512,
 ) -> DataFrame:
     """Density of 1 / ess over each group's range, with its median."""
-    values = _inverse(ess, species)
-    median = quantiles(values, keys, "x", {"median": 0.5}).drop("n")
-    curve = density(values.withColumnRenamed("x", "_v"), keys, "_v", points)
+    ranks = rank_index(_inverse(ess, species).withColumnRenamed("x", "_v"), keys, "_v")
+    median = quantiles_of(ranks, keys, "_v", {"median": 0.5}).drop("n")
+    curve = density_of(ranks, keys, "_v", points)
     return curve.join(median, list(keys))
 
 

@@ -524,6 +524,9 @@ FINAL: dict[str, str] = {
         (SELECT * FROM d2_og UNION ALL BY NAME SELECT * FROM d2)""",
     "d6_density_frame": f"SELECT species_code, name, data, point, {r('x')}, {r('density')} FROM d6",
     "d7_diff_density": f"SELECT stratum, point, {r('x')}, {r('density')} FROM d7",
+    "d8_rank_index": """SELECT *, CAST(coalesce(SUM(copies) OVER (PARTITION BY species_code ORDER BY length ROWS BETWEEN UNBOUNDED PRECEDING AND
+        1 PRECEDING), 0) AS BIGINT) AS below, CAST(SUM(copies) OVER (PARTITION BY species_code) AS BIGINT) AS n
+        FROM (SELECT species_code, length, COUNT(*) AS copies FROM lf_all GROUP BY ALL)""",
     "d8_box_frame": f"""SELECT {_box}, max(n) AS n, {r('min(CASE WHEN inside THEN x END)', name='ymin')},
         {r('max(lower)', name='lower')}, {r('max(middle)', name='middle')}, {r('max(upper)', name='upper')},
         {r('max(CASE WHEN inside THEN x END)', name='ymax')}, COUNT(*) FILTER (NOT inside) AS outliers FROM boxed GROUP BY {_box}""",

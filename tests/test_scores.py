@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from haulcomp.operators import age, ess, summary
-from haulcomp.operators.distribution import quantiles
+from haulcomp.operators.distribution import density, quantiles, rank_index
 from haulcomp.sources import tables
 
 A = 10110
@@ -81,6 +81,39 @@ def test_quantiles_are_exact(spark, n):
     assert (got["same"].a, got["same"].n) == (3.0, 5)
 
 
+def test_rank_index_spreads_a_large_group(spark):
+    """One group with a third of the values has about a third of the parts, and ranks run on over them."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    values = [("hot", float(v)) for v in rng.normal(size=3000)] + [(f"g{i % 200}", float(v)) for i, v in enumerate(rng.normal(size=6000))]
+    df = spark.createDataFrame(values + [(None, 1.0), (None, 2.0), ("hot", None)], "k string, x double")
+    ranks = rank_index(df, ["k"], "x")
+    got = {(r.k, r.x): (r.copies, r.below, r.n) for r in ranks.collect()}
+    for k in ("hot", "g7"):
+        xs = sorted(v for g, v in values if g == k)
+        assert all(got[k, x] == (1, i, len(xs)) for i, x in enumerate(xs))
+    assert got[None, 2.0] == (1, 1, 2)
+    parts = df.filter("x IS NOT NULL").repartitionByRange(12, "k", "x").withColumn("p", F.spark_partition_id())
+    assert parts.filter("k = 'hot'").select("p").distinct().count() >= 3
+
+
+def test_density_by_reach_equals_the_whole_sum(spark):
+    """Values far from each other: most points are out of reach of most values, and the sums are the same."""
+    import numpy as np
+
+    xs = np.concatenate([np.linspace(0, 1, 40), np.linspace(0.2, 0.3, 400), [60.0, 1000.0]])
+    df = spark.createDataFrame([("a", float(x)) for x in xs], "k string, x double")
+    got = density(df, ["k"], "x", 300).orderBy("point").toPandas()
+    n = len(xs)
+    iqr = np.subtract(*np.percentile(xs, [75, 25]))
+    bw = 0.9 * min(xs.std(ddof=1), iqr / 1.34) * n**-0.2
+    at = np.linspace(0, 1000, 300)
+    want = np.exp(-0.5 * ((at[:, None] - xs) / bw) ** 2).sum(axis=1) / (n * bw * np.sqrt(2 * np.pi))
+    np.testing.assert_allclose(got.density, want, rtol=1e-9, atol=0)
+    assert (got.density == 0).sum() > 200
+
+
 def test_point_range_floor_and_single_value(spark):
     data = [(A, "ess_m", "base", 0, 1.0), (A, "ess_m", "base", 0, 1.5), (A, "ess_f", "base", 0, 4.0), (A, "ess_t", "base", 0, 4.0)]
     df = spark.createDataFrame(data, "species_code int, ess string, type string, ss int, value double")
@@ -92,8 +125,6 @@ def test_point_range_floor_and_single_value(spark):
 
 
 def test_density_integrates_to_one(spark):
-    from haulcomp.operators.distribution import density
-
     rng = random.Random(1)
     df = spark.createDataFrame([("a", rng.gauss(0, 1)) for _ in range(200)] + [("b", 1.0)], "k string, x double")
     curve = density(df, ["k"], "x", 128, []).toPandas().sort_values("point")
