@@ -35,7 +35,8 @@ def main() -> None:
         return out
 
     def tables():
-        return [stage(getattr(fixtures, n)(spark, sf_dir), n) for n in ("lfreq", "cpue", "specimen")]
+        items = stage(fixtures.base(spark, sf_dir), "items")
+        return [stage(getattr(fixtures, n)(spark, sf_dir, items), n) for n in ("lfreq", "cpue", "specimen")]
 
     start = time.time()
     lfreq, cpue, specimen = tables()
@@ -51,6 +52,8 @@ def main() -> None:
     timed("c2_removed_s40_x10", lambda: simulate.removed(lfreq, 10, 40, YRS))
     timed("c5_sweep_7x10", lambda: simulate.sweep(lfreq, cpue, iters=10, yrs=YRS))
     timed("c8_boot_x10", lambda: simulate.pop_est_boot(lfreq, cpue, 10000, YRS, False, 10, SEED))
+    timed("c8_boot_x100", lambda: simulate.pop_est_boot(lfreq, cpue, 10000, YRS, False, 100, SEED))
+    timed("c1_s40_x10_both", lambda: simulate.simulate_both(lfreq, cpue, 10, 40, YRS, SEED)[1])
     timed("d4_compare_strata", lambda: summary.compare(og_st, sims_st, True))
     timed("e2_ess_size", lambda: ess.ess_size(sims, og))
     timed("e3_ess_size_strata", lambda: ess.ess_size(sims_st, og_st, True))

@@ -61,7 +61,12 @@ def single(df: DataFrame, col: str) -> DataFrame:
 
 def survey_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A test table seen as a survey table, derived once per application."""
-    return staged_once(spark, f"{name} {sf}", lambda: getattr(fixtures, name)(spark, sf))
+
+    def build() -> DataFrame:
+        items = staged_once(spark, f"items {sf}", lambda: fixtures.base(spark, sf))
+        return getattr(fixtures, name)(spark, sf, items)
+
+    return staged_once(spark, f"{name} {sf}", build)
 
 
 def lfreq(spark: SparkSession, sf: str) -> DataFrame:

@@ -92,26 +92,29 @@ JOIN nation ON s_nationkey = n_nationkey)"""
 STEPS["fx_strata"] = f"""
 SELECT {SURVEY_CASE} AS survey, n_nationkey AS stratum, CAST((n_nationkey + 1) * 100 AS DOUBLE) AS area
 FROM nation"""
-STEPS["fx_lfreq"] = """
-SELECT survey, year, species_code, stratum, hauljoin, sex, length, frequency
-FROM fx_base
-WHERE (l_suppkey + year) % 9 <> 0
-  AND NOT (sp = 4 AND l_suppkey % 5 = 0)"""
+STEPS["fx_lfreq"] = "SELECT survey, year, species_code, stratum, hauljoin, sex, length, frequency FROM fx_base"
+STEPS["fx_orders"] = f"""
+SELECT {SURVEY_CASE} AS survey, CAST(year(o_orderdate) AS INTEGER) AS year, c_nationkey AS stratum,
+       -CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + c_nationkey AS BIGINT) AS hauljoin,
+       CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 ELSE 5 END AS sp,
+       CAST(floor(o_totalprice / 10000) AS BIGINT) + 1 AS qty
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+STEPS["fx_caught"] = """
+SELECT survey, year, stratum, hauljoin, sp, qty FROM fx_base UNION ALL SELECT survey, year, stratum, hauljoin, sp, qty FROM fx_orders"""
 STEPS["fx_cpue"] = """
 SELECT h.survey, h.year, s.species_code,
        CASE WHEN c.q IS NOT NULL THEN h.hauljoin * 10 + s.sp END AS catchjoin,
        h.hauljoin, h.stratum, CAST(coalesce(c.q, 0) AS DOUBLE) AS numcpue, t.area
-FROM (SELECT DISTINCT survey, year, stratum, hauljoin, l_suppkey FROM fx_base) h
+FROM (SELECT DISTINCT survey, year, stratum, hauljoin FROM fx_caught) h
 CROSS JOIN (SELECT DISTINCT sp, species_code FROM fx_base) s
-LEFT JOIN (SELECT hauljoin, sp, SUM(qty) AS q FROM fx_base GROUP BY hauljoin, sp) c
+LEFT JOIN (SELECT hauljoin, sp, SUM(qty) AS q FROM fx_caught GROUP BY hauljoin, sp) c
   ON c.hauljoin = h.hauljoin AND c.sp = s.sp
 LEFT JOIN fx_strata t ON t.stratum = h.stratum"""
 STEPS["fx_specimen"] = """
-SELECT survey AS region, year, species_code, stratum, hauljoin, sex, length,
+SELECT survey AS region, year, species_code, stratum, hauljoin, CASE WHEN sex = 3 AND year % 2 = 1 THEN 2 ELSE sex END AS sex, length,
        CASE WHEN l_discount > 0.08 THEN NULL
             ELSE CAST(floor(p_size / 5) AS INTEGER) + l_linenumber END AS age
-FROM fx_base
-WHERE sex <> 3 OR year % 2 = 0"""
+FROM fx_base"""
 
 STEPS["lf"] = f"SELECT {KH}, sex, length, frequency FROM fx_lfreq WHERE year >= {YRS}"
 STEPS["cp"] = f"SELECT {K}, catchjoin, hauljoin, numcpue, area FROM fx_cpue WHERE year >= {YRS}"

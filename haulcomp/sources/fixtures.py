@@ -1,9 +1,10 @@
 """The star-schema test tables seen as survey tables.
 
-A haul is one supplier in one order year, a species is a part type, a stratum is a
-nation, a fish count comes from the quantity. Every line item is read. The arithmetic
-on supplier and year states which hauls were never measured and which species a haul
-cannot catch, so that the rules for unmeasured hauls have something to act on.
+A measured haul is one supplier in one order year, a species is a part type, a stratum is a
+nation, a fish count comes from the quantity. Every line item is a length row, a catch and a
+specimen. Hauls that nobody measured are the orders of one nation's customers in one month: every
+order is a catch of theirs, of the species its priority names, and they have no lengths. So no view
+leaves out a row of its tables, and the rules for unmeasured hauls have something to act on.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 SPECIES = {1: 10110, 2: 10120, 3: 10130, 4: 21720, 5: 21740, 6: 21921}
 TYPES = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5}
 SURVEYS = {0: "AI", 1: "GOA", 2: "EBS", 3: "BSS"}
+PRIORITIES = {"1-URGENT": 1, "2-HIGH": 2, "3-MEDIUM": 3, "4-NOT SPECIFIED": 4}
 
 
 def _lookup(key: Column, table: dict, default) -> Column:
@@ -71,26 +73,42 @@ def strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def lfreq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length frequencies without hauls nobody measured and one species in some hauls; those are in the catch table only."""
-    measured = (F.col("l_suppkey") + F.col("year")) % 9 != 0
-    skipped = (F.col("sp") == 4) & (F.col("l_suppkey") % 5 == 0)
-    rows = base(spark, sf_dir).filter(measured & ~skipped)
+def lfreq(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """Length frequencies of every line item; ``items`` is a ``base`` that is at hand."""
+    rows = base(spark, sf_dir) if items is None else items
     return rows.select("survey", "year", "species_code", "stratum", "hauljoin", "sex", "length", "frequency")
 
 
-def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every haul x species, one pass over the line items; a species not caught has no catchjoin."""
-    haul = ["survey", "year", "stratum", "hauljoin"]
-    catches = (
-        base(spark, sf_dir)
-        .groupBy(haul)
-        .agg(*[F.sum(F.when(F.col("sp") == sp, F.col("qty"))).alias(f"q{sp}") for sp in SPECIES])
+HAUL = ["survey", "year", "stratum", "hauljoin"]
+
+
+def order_catches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a catch of an unmeasured haul; their numbers are negative, so no measured haul has one."""
+    year, month = F.year("o_orderdate"), F.month("o_orderdate")
+    joined = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    )
+    return joined.select(
+        _survey().alias("survey"),
+        year.alias("year"),
+        F.col("c_nationkey").alias("stratum"),
+        (-(year * 10000 + month * 100 + F.col("c_nationkey"))).cast("bigint").alias("hauljoin"),
+        _lookup(F.col("o_orderpriority"), PRIORITIES, 5).alias("sp"),
+        (F.floor(F.col("o_totalprice") / 10000) + 1).alias("qty"),
     )
+
+
+def cpue(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """Every haul x species, from the line items and the orders; a species not caught has no catchjoin."""
+    rows = base(spark, sf_dir) if items is None else items
+    caught = rows.select(*HAUL, "sp", "qty").unionByName(order_catches(spark, sf_dir))
+    catches = caught.groupBy(HAUL).agg(*[F.sum(F.when(F.col("sp") == sp, F.col("qty"))).alias(f"q{sp}") for sp in SPECIES])
     per_species = F.array(
         *[F.struct(F.lit(sp).alias("sp"), F.lit(code).alias("code"), F.col(f"q{sp}").alias("q")) for sp, code in SPECIES.items()]
     )
-    rows = catches.select(*haul, F.inline(per_species))
+    rows = catches.select(*HAUL, F.inline(per_species))
     area = strata(spark, sf_dir).select("stratum", "area")
     return rows.join(area, "stratum", "left").select(
         "survey",
@@ -104,9 +122,10 @@ def cpue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def specimen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw specimens, every line item: age may be missing; unsexed specimens only in even years."""
-    rows = base(spark, sf_dir).filter((F.col("sex") != 3) | (F.col("year") % 2 == 0))
+def specimen(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """Raw specimens, every line item: age may be missing; who sexed them left none unsexed in odd years, and took them for females."""
+    rows = base(spark, sf_dir) if items is None else items
+    sex = F.when((F.col("sex") == 3) & (F.col("year") % 2 == 1), 2).otherwise(F.col("sex"))
     age = F.floor(F.col("p_size") / 5).cast("int") + F.col("l_linenumber")
     return rows.select(
         F.col("survey").alias("region"),
@@ -114,7 +133,7 @@ def specimen(spark: SparkSession, sf_dir: str) -> DataFrame:
         "species_code",
         "stratum",
         "hauljoin",
-        "sex",
+        sex.alias("sex"),
         "length",
         F.when(F.col("l_discount") <= 0.08, age).alias("age"),
     )
