@@ -124,6 +124,28 @@ def s2_read_lfreq(spark: SparkSession, sf: str) -> DataFrame:
     return tables.lfreq_from(raw(survey_table(spark, sf, "lfreq")), SURVEY, _strata(spark, sf))
 
 
+def _mistyped(spark: SparkSession, sf: str) -> DataFrame:
+    """Length rows as text, with a letter for a digit in lengths of one decimetre and words for some counts of the unsexed."""
+    text = raw(survey_table(spark, sf, "lfreq")).select("SURVEY", *[F.col(c.upper()).cast("string").alias(c.upper()) for c in schemas.LFREQ])
+    length = F.when(F.col("LENGTH") == "100", F.lit("1OO")).otherwise(F.col("LENGTH"))
+    several = F.when((F.col("SEX") == "3") & (F.col("FREQUENCY") == "5"), F.lit("several"))
+    return text.withColumns({"LENGTH": length, "FREQUENCY": several.when(F.col("SEX") != "3", F.col("FREQUENCY")).otherwise(F.lit("NA"))})
+
+
+@query
+def s2_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows whose fields do not fit, with the reasons."""
+    rejects = tables.split_rejects(_mistyped(spark, sf), schemas.LFREQ, ("length", "frequency"))[1]
+    return tables.lower_names(rejects).withColumn("reasons", F.array_join("reasons", "; "))
+
+
+@query
+def s2_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that fit, of all surveys, with their types."""
+    good = tables.split_rejects(_mistyped(spark, sf), schemas.LFREQ, ("length", "frequency"))[0]
+    return tables.typed(tables.lower_names(good), schemas.LFREQ)
+
+
 @query
 def s3_read_cpue(spark: SparkSession, sf: str) -> DataFrame:
     return tables.cpue_from(raw(survey_table(spark, sf, "cpue").drop("area")), SURVEY, _strata(spark, sf))

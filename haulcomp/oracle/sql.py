@@ -93,6 +93,12 @@ STEPS["fx_strata"] = f"""
 SELECT {SURVEY_CASE} AS survey, n_nationkey AS stratum, CAST((n_nationkey + 1) * 100 AS DOUBLE) AS area
 FROM nation"""
 STEPS["fx_lfreq"] = "SELECT survey, year, species_code, stratum, hauljoin, sex, length, frequency FROM fx_base"
+STEPS["fx_mistyped"] = """
+SELECT survey, CAST(year AS VARCHAR) AS year, CAST(species_code AS VARCHAR) AS species_code, CAST(stratum AS VARCHAR) AS stratum,
+       CAST(hauljoin AS VARCHAR) AS hauljoin, CAST(sex AS VARCHAR) AS sex,
+       CASE WHEN length = 100 THEN '1OO' ELSE CAST(length AS VARCHAR) END AS length,
+       CASE WHEN sex <> 3 THEN CAST(frequency AS VARCHAR) WHEN frequency = 5 THEN 'several' ELSE 'NA' END AS frequency
+FROM fx_lfreq"""
 STEPS["fx_orders"] = f"""
 SELECT {SURVEY_CASE} AS survey, CAST(year(o_orderdate) AS INTEGER) AS year, c_nationkey AS stratum,
        -CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + c_nationkey AS BIGINT) AS hauljoin,
@@ -454,6 +460,9 @@ FINAL: dict[str, str] = {
     "s1_read_strata": f"SELECT stratum, area FROM fx_strata WHERE survey = '{SURVEY}'",
     "s2_read_lfreq": f"""SELECT {KH}, sex, length, frequency FROM fx_lfreq WHERE survey = '{SURVEY}'
         AND stratum IN (SELECT stratum FROM fx_strata WHERE survey = '{SURVEY}')""",
+    "s2_rejects": """SELECT *, concat_ws('; ', CASE WHEN length = '1OO' THEN 'length: 1OO' END, CASE frequency WHEN 'several' THEN
+        'frequency: several' WHEN 'NA' THEN 'frequency: missing' END) AS reasons FROM fx_mistyped WHERE length = '1OO' OR frequency IN ('several', 'NA')""",
+    "s2_checked": f"SELECT {KH}, sex, length, frequency FROM fx_lfreq WHERE length <> 100 AND sex <> 3",
     "s3_read_cpue": f"""SELECT year, species_code, catchjoin, hauljoin, stratum, numcpue, t.area FROM fx_cpue c
         LEFT JOIN (SELECT stratum, area FROM fx_strata WHERE survey = '{SURVEY}') t USING (stratum) WHERE survey = '{SURVEY}'""",
     "s4_read_sizepop": f"""SELECT year, species_code, length, CAST(SUM(frequency) AS BIGINT) AS population

@@ -6,8 +6,11 @@ columns), whatever it was read from; the ``read_*`` functions do both.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from haulcomp.functions.rules import required
 from haulcomp.sources.schemas import CPUE, CPUE_RAW, LFREQ, SPECIMEN, STRATA
@@ -22,6 +25,52 @@ def scan(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     return reader.format(fmt).load(path)
 
 
+# What ``scan_kept`` adds: the line of a record that does not fit the header, and the file of every row.
+CORRUPT, FILE = "_corrupt", "_file"
+
+
+def scan_kept(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """``scan`` with ``_file``, and for CSV with ``_corrupt``: the whole line where it has more or fewer fields than the header."""
+    if fmt == "csv":
+        names = scan(spark, path, fmt).columns
+        fields = [StructField(n, StringType()) for n in [*names, CORRUPT]]
+        # All columns are parsed whatever is selected, so that a line is judged as a whole.
+        reader = spark.read.schema(StructType(fields)).options(
+            header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, columnPruning=False
+        )
+        raw = reader.csv(path)
+    else:
+        raw = scan(spark, path, fmt).withColumn(CORRUPT, F.lit(None).cast("string"))
+    return raw.withColumn(FILE, F.col("_metadata.file_path"))
+
+
+def split_rejects(raw: DataFrame, schema: dict[str, str], needed: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows) of a raw frame by whether every declared field casts; nothing is lost between the two.
+
+    Rejected rows keep their columns and have ``reasons``, one text per field at fault: its column and value, a missing
+    field of ``needed``, or that the line does not fit the header.
+    """
+    types = dict(raw.dtypes)
+    by_lower = {c.lower(): c for c in raw.columns}
+    gone = [c for c in schema if c not in by_lower]
+    if gone:
+        raise ValueError(f"missing columns {gone}; found {raw.columns}")
+    reasons = []
+    for name, kind in schema.items():
+        col = F.col(by_lower[name])
+        text = F.trim(col) if types[by_lower[name]] == "string" else col.cast("string")
+        missing = text.isNull() | text.isin("", "NA")
+        fault = F.when(~missing & text.try_cast(kind).isNull(), F.concat(F.lit(f"{name}: "), text))
+        reasons.append(fault.when(missing, F.lit(f"{name}: missing")) if name in needed else fault)
+    if CORRUPT in raw.columns:
+        # Its fields may stand in the wrong columns, so they are not judged.
+        broken = F.col(CORRUPT).isNotNull()
+        reasons = [F.when(~broken, r) for r in reasons] + [F.when(broken, F.lit("line: not as many fields as the header"))]
+    judged = raw.withColumn("reasons", F.filter(F.array(*reasons), lambda r: r.isNotNull()))
+    good, bad = F.size("reasons") == 0, F.size("reasons") > 0
+    return judged.filter(good).drop("reasons", CORRUPT, FILE), judged.filter(bad)
+
+
 def lower_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower() for c in df.columns])
 
@@ -90,6 +139,31 @@ def read_specimen(spark: SparkSession, path: str, region: str, strata: DataFrame
     return specimen_from(scan(spark, path, fmt), region, strata)
 
 
+# By table, its columns, those that may not be missing, and the column that names the survey.
+CHECKS = {
+    "strata": (STRATA, (), "SURVEY"),
+    "lfreq": (LFREQ, ("length", "frequency"), "SURVEY"),
+    "cpue": (CPUE_RAW, (), "SURVEY"),
+    "specimen": (SPECIMEN, (), "REGION"),
+}
+
+
+def read_checked(
+    spark: SparkSession, table: str, path: str, survey: str, strata: DataFrame | None = None, fmt: str = "csv"
+) -> tuple[DataFrame, DataFrame]:
+    """(the survey's table as its ``read_*`` gives it, rows that do not fit) of a file or folder.
+
+    Rejected rows are those of the survey, and broken lines, whose survey is not known; they have the raw columns, ``_file``,
+    ``_corrupt`` and ``reasons``.
+    """
+    schema, needed, where = CHECKS[table]
+    raw = scan_kept(spark, path, fmt)
+    mine = raw.filter((F.col(where) == survey) | F.col(CORRUPT).isNotNull())
+    good, rejects = split_rejects(mine, schema, needed)
+    build = {"strata": strata_from, "lfreq": lfreq_from, "cpue": cpue_from, "specimen": specimen_from}[table]
+    return build(good, survey, *([] if table == "strata" else [strata])), rejects
+
+
 def normalise_ebs(length: DataFrame, haul: DataFrame) -> DataFrame:
     """Length rows with their haul's columns; the year is the first four characters of CRUISE.
 

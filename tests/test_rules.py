@@ -130,3 +130,88 @@ def test_off_a_local_master_the_shared_folder_must_be_named():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(Other())
+
+
+@pytest.mark.parametrize(
+    ("kind", "head", "good", "bad"),
+    [
+        ("strata", "SURVEY,STRATUM,AREA", ["AI,1,10.5", "AI,2,NA"], [("AI,x1,10", "stratum: x1"), ("AI,3,ten", "area: ten")]),
+        (
+            "lfreq",
+            "SURVEY,YEAR,SPECIES_CODE,STRATUM,HAULJOIN,SEX,LENGTH,FREQUENCY",
+            ["AI,2001,10110,1,11,1,50,3"],
+            [("AI,2001,10110,1,11,1,5O,3", "length: 5O"), ("AI,2001,10110,1,11,1,NA,3", "length: missing"), ("AI,2001,10110,1,11,1,50,1.5", "frequency: 1.5"),
+             ("AI,20x1,10110,1,11,?,50,3", "year: 20x1; sex: ?")],
+        ),
+        (
+            "cpue",
+            "SURVEY,YEAR,SPECIES_CODE,CATCHJOIN,HAULJOIN,STRATUM,NUMCPUE",
+            ["AI,2001,10110,NA,11,1,1.5"],
+            [("AI,2001,10110,7,99999999999999999999,1,1.5", "hauljoin: 99999999999999999999")],
+        ),
+        (
+            "specimen",
+            "REGION,YEAR,SPECIES_CODE,STRATUM,HAULJOIN,SEX,LENGTH,AGE",
+            ["AI,2001,10110,1,11,1,50,3"],
+            [("AI,2001,10110,1,11,1,50,three", "age: three")],
+        ),
+    ],
+)
+def test_malformed_fields_are_returned_with_file_and_reason(spark, tmp_path, kind, head, good, bad):
+    folder = tmp_path / kind
+    folder.mkdir()
+    other = [x[0].replace("AI,", "GOA,") for x in bad]
+    (folder / "a.csv").write_text("\n".join([head, *good, *other]) + "\n")
+    (folder / "b.csv").write_text("\n".join([head, *[x[0] for x in bad], "AI,2001", good[0] + ",too,many", "GOA,1"]) + "\n")
+    strata = spark.createDataFrame([(1, 10.0)], "stratum int, area double")
+    rows_, rejects = tables.read_checked(spark, kind, str(folder), "AI", None if kind == "strata" else strata)
+    read = {"strata": tables.read_strata, "lfreq": tables.read_lfreq, "cpue": tables.read_cpue, "specimen": tables.read_specimen}[kind]
+    clean = tmp_path / "clean.csv"
+    clean.write_text("\n".join([head, *good]) + "\n")
+    want = read(spark, str(clean), "AI", *([] if kind == "strata" else [strata]))
+    assert rows_.dtypes == want.dtypes and rows(rows_) == rows(want)
+    got = [("; ".join(r.reasons), r._corrupt, r._file.rpartition("/")[2]) for r in rejects.collect()]
+    broken = "line: not as many fields as the header"
+    whole = [(x[1], None, "b.csv") for x in bad]
+    assert sorted(got, key=str) == sorted(whole + [(broken, t, "b.csv") for t in ("AI,2001", good[0] + ",too,many", "GOA,1")], key=str)
+    if bad[0][1] != "stratum: x1":
+        with pytest.raises(Exception, match="CAST_INVALID_INPUT|CAST_OVERFLOW|is missing|header"):
+            read(spark, str(folder), "AI", strata).collect()
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_result_is_replaced_as_a_whole(spark, tmp_path, monkeypatch, fmt):
+    folder, schema = str(tmp_path), {"id": "bigint"}
+
+    def read():
+        return [r[0] for r in rows(results.read_result(spark, folder, "r", schema, fmt))]
+
+    results.write_result(spark.range(3), folder, "r", fmt)
+    assert read() == [0, 1, 2]
+    before = results.read_result(spark, folder, "r", schema, fmt)
+
+    def lost(*_):
+        raise RuntimeError("the driver is lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(results, "_publish", lost)
+        with pytest.raises(RuntimeError):
+            results.write_result(spark.range(5), folder, "r", fmt)
+    assert read() == [0, 1, 2]
+    with pytest.raises(Exception, match="broken row"):
+        broken = F.when(F.col("id") == 3, F.raise_error(F.lit("broken row"))).otherwise(F.col("id")).cast("bigint").alias("id")
+        results.write_result(spark.range(9).select(broken), folder, "r", fmt)
+    assert read() == [0, 1, 2]
+    results.write_result(spark.range(4), folder, "r", fmt)
+    assert read() == [0, 1, 2, 3]
+    # A reader of the version before is not disturbed; what failed is gone, and what is older still goes with the next.
+    assert [r[0] for r in rows(before)] == [0, 1, 2]
+    assert len(results.versions(spark, folder, "r", fmt)) == 2
+    results.write_result(results.read_result(spark, folder, "r", schema, fmt).filter("id > 1"), folder, "r", fmt)
+    assert read() == [2, 3]
+    assert len([p for p in (tmp_path / f"r.{fmt}").iterdir() if p.name.startswith("v")]) == 2
+
+
+def test_a_folder_without_a_log_is_a_result(spark, tmp_path):
+    spark.range(3).write.option("header", True).csv(str(tmp_path / "old.csv"))
+    assert results.read_result(spark, str(tmp_path), "old", {"id": "bigint"}).count() == 3
