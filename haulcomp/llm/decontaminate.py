@@ -10,8 +10,12 @@ their diagonals (place in the document minus place in the item) differ by no mor
 shared q-grams are counted in overlapping diagonal bands, windows that reach the bound are kept (found from
 the shared q-grams alone: as many as the bound within one window), and a banded alignment decides. Nothing within the budget is lost; nothing else is reported.
 
-Null or empty texts, and items of fewer than ``Q`` bytes, match nothing. A document's result doesn't
-depend on other rows; repeated rows repeat it; extra columns are not looked at.
+At most about ``PAIRS`` pairs of equal q-grams are held at once. A document that makes more (a periodic text and a periodic item make
+one for each pair of places) is taken piece by piece, and items too; pieces overlap by what a window may reach, so
+all q-grams that a window and its part share are in one pair of pieces. Items found before are skipped.
+
+Null or empty texts, and items of fewer than ``Q`` bytes, match nothing. Items may have ids of any type, also null or repeated
+ones. A document's result doesn't depend on other rows; repeated rows repeat it; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from haulcomp.llm import common as C
 
@@ -29,7 +34,10 @@ WINDOW, STRIDE, RATE, Q = 100, 1, 0.06, 12
 #: Bytes of benchmark text that go to the tasks at once; more are taken in several passes.
 BLOCK = 16 << 20
 FILTER_BITS = 22
-OUT = "item_id bigint, edits int, at bigint"
+#: Pairs of equal q-grams that are held at once, and the places of a text or of the items in one piece of those that make more.
+PAIRS, PIECE = 1_000_000, 1_000
+#: Alignments whose result is remembered.
+KNOWN = 10_000
 
 
 def budget(length: int) -> int:
@@ -68,17 +76,22 @@ def grams(buf: np.ndarray) -> np.ndarray:
 class Items:
     """Window lengths and q-grams of a block of benchmark items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list, texts: list[str | None], kind: pa.DataType):
         raw = [x.encode() for x in pc.utf8_lower(pa.array([t or "" for t in texts], pa.string())).to_pylist()]
         off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
         text, self.off = normal(np.frombuffer(b"".join(raw), np.uint8), off)
-        self.ids, self.text = np.array(ids, np.int64), text
+        self.ids, self.text = pa.array(ids, kind), text
         h = grams(text)
         doc = np.searchsorted(self.off, np.arange(len(h)), "right") - 1
         inside = np.arange(len(h)) + Q <= self.off[doc + 1] - 1
         at = np.flatnonzero(inside)
         order = np.argsort(h[at], kind="stable")
         self.hash, self.place = h[at][order], at[order]
+        # Number of the q-gram and place as one number, by which the places in a range are found.
+        new = np.ones(len(order), np.int64)
+        new[1:] = self.hash[1:] != self.hash[:-1]
+        self.both = np.cumsum(new) * (len(text) + 1) + self.place
+        self.known: dict[bytes, tuple[int, int, int] | None] = {}
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._slot(self.hash)] = True
         # Of each item: window length, edit budget, least number of shared q-grams; an item of fewer than Q bytes has no q-gram.
@@ -93,19 +106,59 @@ class Items:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * C.U(0x9E3779B97F4A7C15)) >> C.U(64 - FILTER_BITS)).astype(np.int64)
 
-    def hits(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every pair of equal q-grams: place in the text, place in the items."""
+    def _shared(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in the text whose q-gram an item has, and for each the range of its places in ``place``."""
         h = grams(text)
         at = np.flatnonzero(self.filter[self._slot(h)])
         lo, hi = np.searchsorted(self.hash, h[at], "left"), np.searchsorted(self.hash, h[at], "right")
-        n = hi - lo
-        j = np.repeat(at, n)
-        k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        return j, self.place[k]
+        return at[hi > lo], lo[hi > lo], hi[hi > lo]
 
     def matches(self, text: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edits, place in the document) of each matching pair: its first window that aligns."""
-        j, i = self.hits(text)
+        at, lo, hi = self._shared(text)
+        found: set[tuple[int, int]] = set()
+        if (hi - lo).sum() <= PAIRS:
+            yield from self._matches(text, off, at, lo, hi, found)
+            return
+        doc = np.searchsorted(off, at, "right") - 1
+        pairs = np.bincount(doc, hi - lo, len(off) - 1)
+        first = 0
+        while first < len(pairs):
+            # As many documents as stay within the limit, or one.
+            last = max(first + 1, first + int(np.searchsorted(np.cumsum(pairs[first:]), PAIRS, "right")))
+            some = slice(*np.searchsorted(doc, [first, last]))
+            if pairs[first] <= PAIRS:
+                yield from self._matches(text, off, at[some], lo[some], hi[some], found)
+            else:
+                yield from self._by_pieces(text, off, at[some], lo[some], hi[some], first, found)
+            first = last
+
+    def _by_pieces(self, text, off, at, lo, hi, doc: int, found: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """``matches`` of one document, by pieces of it and of the items."""
+        reach = WINDOW + self.band + Q
+        row = len(self.text) + 1
+        for start in range(int(off[doc]), int(off[doc + 1]), PIECE):
+            here = slice(*np.searchsorted(at, [start, start + PIECE + reach]))
+            if (hi[here] - lo[here]).sum() <= PAIRS:
+                yield from self._matches(text, off, at[here], lo[here], hi[here], found)
+                continue
+            # Where the q-gram's places begin in ``both``.
+            base = self.both[lo[here]] - self.place[lo[here]]
+            for begin in range(0, len(self.text), PIECE):
+                end = begin + PIECE + WINDOW
+                items = range(int(np.searchsorted(self.off, begin, "right")) - 1, int(np.searchsorted(self.off, min(end, len(self.text)), "left")))
+                if all((doc, i) in found for i in items):
+                    continue
+                low, high = np.searchsorted(self.both, base + begin), np.searchsorted(self.both, base + min(end, row - 1))
+                some = high > low
+                if some.any():
+                    yield from self._matches(text, off, at[here][some], low[some], high[some], found)
+
+    def _matches(self, text, off, at, lo, hi, found: set[tuple[int, int]]) -> Iterator[tuple[int, int, int, int]]:
+        """``matches`` from the pairs of places given, less those in ``found``, which grows."""
+        n = hi - lo
+        j = np.repeat(at, n)
+        i = self.place[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         doc = np.searchsorted(off, j, "right") - 1
         item = np.searchsorted(self.off, i, "right") - 1
         diag = j - i
@@ -123,7 +176,6 @@ class Items:
         doc, item, lane, i, change = doc[new], item[new], lane[new], i[new], change[new]
         starts = np.flatnonzero(change)
         ends = np.append(starts[1:], len(i))
-        found: set[tuple[int, int]] = set()
         for s, e in zip(starts[ends - starts >= self.least], ends[ends - starts >= self.least]):
             d, it, ln = int(doc[s]), int(item[s]), int(lane[s])
             if (d, it) in found:
@@ -136,14 +188,27 @@ class Items:
                     break
                 lo = np.maximum(int(off[d]), few + ln * self.band - k)
                 hi = np.minimum(int(off[d + 1]) - 1, few + length + (ln + 2) * self.band + k)
-                edits, place = align(self.text[few[:, None] + np.arange(length)], text, lo, hi)
-                good = np.flatnonzero(edits <= k)
-                if len(good):
-                    g = good[0]
+                hit = self._aligned(few, length, k, text, lo, hi)
+                if hit is not None:
                     found.add((d, it))
-                    yield d, it, int(edits[g]), int(lo[g] + place[g]) - int(off[d])
+                    yield d, it, hit[1], int(lo[hit[0]]) + hit[2] - int(off[d])
                     break
 
+    def _aligned(self, few, length: int, k: int, text, lo, hi) -> tuple[int, int, int] | None:
+        """(number of the first window within the budget, edits, end of its part after its ``lo``); None if there is none.
+
+        A periodic text asks for the same windows in the same bytes again and again, so answers are kept for a while.
+        """
+        least = int(lo.min())
+        asked = b"|".join(x.tobytes() for x in (few, lo - least, hi - least, text[least : int(hi.max())]))
+        if asked not in self.known:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            edits, place = align(self.text[few[:, None] + np.arange(length)], text, lo, hi)
+            good = np.flatnonzero(edits <= k)
+            self.known[asked] = (int(good[0]), int(edits[good[0]]), int(place[good[0]])) if len(good) else None
+        return self.known[asked]
+
     def reaching(self, shared: np.ndarray, item: int) -> np.ndarray:
         """Starts of the item's windows that hold at least the bound of the (sorted, distinct) places of shared q-grams."""
         length, _, bound = self.rules[item]
@@ -182,20 +247,22 @@ def align(windows: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray)
 def item_blocks(benchmark: DataFrame) -> Iterator[Items]:
     """The items in blocks of at most BLOCK bytes (or one item)."""
     ids, texts, size = [], [], 0
-    for row in benchmark.select("item_id", "text").dropna(subset=["item_id"]).toLocalIterator():
+    kind = to_arrow_type(benchmark.schema["item_id"].dataType)
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         more = len(row.text or "") * 4
         if ids and size + more > BLOCK:
-            yield Items(ids, texts)
+            yield Items(ids, texts, kind)
             ids, texts, size = [], [], 0
         ids.append(row.item_id)
         texts.append(row.text)
         size += more
-    yield Items(ids, texts)
+    yield Items(ids, texts, kind)
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row per document row and item that match: key, item_id, edits, at (the part's end in the normal text)."""
-    schema = C.fields(f"_key {docs.schema[key].dataType.simpleString()}, {OUT}")
+    key_kind, item_kind = (df.schema[c].dataType.simpleString() for df, c in ((docs, key), (benchmark, "item_id")))
+    schema = C.fields(f"_key {key_kind}, item_id {item_kind}, edits int, at bigint")
     source = docs.select(docs["text"].alias("_text"), docs[key].alias("_key"))
     parts = []
     for items in item_blocks(benchmark):
@@ -207,7 +274,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
                     if got:
                         d, i, edits, at = (np.array(x) for x in zip(*got))
                         keys = batch.column(1).slice(lo, hi - lo).take(pa.array(d))
-                        yield C.batches(schema, keys, items.ids[i], edits, at)
+                        yield C.batches(schema, keys, items.ids.take(pa.array(i)), edits, at)
 
         parts.append(C.map_arrow(source, run, schema))
     out = parts[0]

@@ -4,7 +4,9 @@ A text's words, each with the word mark before it, are cut into pieces of a publ
 pieces' scores is largest. Distinct words are put in a trie; a trie node holds the best score of
 its prefix and the number of pieces in it, which depend on the path to it alone, so a prefix shared by many words is
 scored once, and a word's count is read at its terminal. Each task grows a trie of its own over all its texts
-and starts a new one beyond ``NODES`` nodes, so memory is bounded and counts don't depend on it.
+and starts a new one beyond ``NODES`` nodes. A word of more than ``LONG`` characters shares no more than that much of a
+trie: its first ``LONG`` characters are nodes, and from there its scores are kept for the length of the longest
+piece only. So memory is bounded, by the text at hand and ``NODES`` nodes, and counts don't depend on it.
 
 Piece scores are log-probabilities by rank (vocabulary files hold an order, no frequencies). A character that no piece covers
 costs one token per UTF-8 byte. Ties go to fewer pieces.
@@ -29,6 +31,8 @@ MARK = "▁"
 #: Score of one byte of a character outside the vocabulary.
 BYTE_SCORE = -20.0
 NODES = 1_000_000
+#: Characters of a word that become nodes of the trie.
+LONG = 1_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
 
@@ -61,9 +65,33 @@ class Trie:
         if got is None:
             if len(self.best) > NODES:
                 self.clear()
+            if len(word) > LONG:
+                return self._long(MARK + word)
             got = self.terminal[word] = self._insert(MARK + word)
         return got
 
+    def _long(self, text: str) -> tuple[int, float]:
+        """``_insert`` of a long text: its prefix in the trie, then a window of scores as wide as the longest piece."""
+        self._insert(text[:LONG])
+        node, near = 0, [(self.best[0], self.count[0])]
+        for char in text[:LONG]:
+            node = self.kids[node][char]
+            near.append((self.best[node], self.count[node]))
+        near = near[-self.longest :]
+        for depth in range(LONG + 1, len(text) + 1):
+            size = len(text[depth - 1].encode())
+            score, count = near[-1][0] + size * BYTE_SCORE, near[-1][1] + size
+            for length in range(1, min(self.longest, len(near)) + 1):
+                own = self.scores.get(text[depth - length : depth])
+                if own is not None:
+                    s, c = near[-length][0] + own, near[-length][1] + 1
+                    if s > score or (s == score and c < count):
+                        score, count = s, c
+            near.append((score, count))
+            if len(near) > 2 * self.longest:
+                del near[: -self.longest]
+        return near[-1][1], near[-1][0]
+
     def _insert(self, text: str) -> tuple[int, float]:
         node, path = 0, [0]
         for depth, char in enumerate(text, 1):

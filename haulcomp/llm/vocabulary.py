@@ -15,6 +15,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 REMEMBERED = 400_000
 _SPLIT = re.compile(r"(?= [^\s])")
 _ODD = re.compile(r" (?=\s|$)")
+#: Characters of white space in a row that are not left to the pattern, whose engine runs out of stack on them.
+LONG = 100_000
+#: Fixed value: what the pattern takes for white space.
+_SPACES = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_RUN = re.compile(f"{_SPACES}{{{LONG},}}")
 
 
 class ByteBpe:
@@ -35,7 +40,22 @@ class ByteBpe:
         self.known: dict[str, bytes] = {}
 
     def pack(self, text: str) -> bytes:
-        """The ids of a text, as bytes of ``dtype``."""
+        """The ids of a text, as bytes of ``dtype``.
+
+        In a run of white space the pattern makes one piece of all but the last character, which it leaves to what
+        follows, or of all of it at the end of the text. Long runs are cut off that way here, as one piece each.
+        """
+        if len(text) < LONG or not _RUN.search(text):
+            return self._pack(text)
+        out, at = [], 0
+        for run in _RUN.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            piece = self.bpe._encode_single_piece(text[run.start() : end])
+            out += [self._pack(text[at : run.start()]), np.array(piece, self.dtype).tobytes()]
+            at = end
+        return b"".join([*out, self._pack(text[at:])])
+
+    def _pack(self, text: str) -> bytes:
         if _ODD.search(text):
             pieces = _SPLIT.split(text)
         else:

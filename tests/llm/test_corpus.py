@@ -227,6 +227,29 @@ def test_excerpts_of_100_to_123_bytes_at_every_offset(spark, docs):
     assert {r.doc_id for r in decontaminate.clean(table, benchmark).collect()} == {i for i, _ in short}
 
 
+@pytest.mark.parametrize(("pairs", "piece"), [(50, 40), (500, 150)])
+def test_pieces_of_periodic_texts_and_items_find_the_same(spark, docs, monkeypatch, pairs, piece):
+    rng = random.Random(3)
+    letters = lambda n, of="abc": "".join(rng.choice(of) for _ in range(n))
+    units = [letters(rng.randint(1, 9)) for _ in range(6)]
+    items = [(u * 200)[: rng.randint(20, 300)] for u in units] + [letters(300) for _ in range(3)]
+    rows = [(n, letters(rng.randint(0, 200)) + rng.choice(items)[rng.randint(0, 9) :] + letters(20) + rng.choice(units) * 20) for n in range(25)]
+    # Ids are text here, and one is missing.
+    benchmark = spark.createDataFrame([(None if k == 1 else f"i{k}", x) for k, x in enumerate(items)], "item_id string, text string")
+    table = docs(rows)
+    whole = {(r.doc_id, r.item_id) for r in decontaminate.find_matches(table, benchmark).collect()}
+    monkeypatch.setattr(decontaminate, "PAIRS", pairs)
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_matches(table, benchmark).collect()} == whole
+    assert any(i is None for _, i in whole) and len(whole) > 25
+
+
+def test_very_long_periodic_texts(spark, docs):
+    benchmark = spark.createDataFrame([(1, "a" * 1000), (2, "ab" * 40 + "xyz" * 27)], "item_id bigint, text string")
+    table = docs([(1, "a" * 300_000), (2, "ab" * 50_000), (3, " " * 2_000_000)])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_matches(table, benchmark).collect()} == {(1, 1)}
+
+
 def test_blocks_of_items_find_the_same(documents, spark, monkeypatch):
     benchmark = common.table(spark, SF, "benchmark")
     whole = {(r.doc_id, r.item_id) for r in decontaminate.find_matches(documents, benchmark).collect()}

@@ -151,3 +151,37 @@ def test_chats_read_back(spark):
         assert r.first == at.get(r.conv_id, 0) and len(r.ids) == len(r.mask)
         at[r.conv_id] = r.first + len(r.ids)
     assert chat.digests(chat.format_chats(table.limit(0))).count() == 0
+
+
+def test_long_runs_of_white_space_have_the_ids_of_the_whole_text(monkeypatch):
+    import random
+    import re
+
+    rng = random.Random(1)
+    bpe = V.byte_bpe(V.BYTE_BPE)
+    long_ = [" " * 2_000_000, "\n" * 2_000_000 + "x", "a b" + " \n" * 1_000_000 + "c", "a" * 2_000_000]
+    for t in long_:
+        assert bpe.text(np.frombuffer(bpe.pack(t), bpe.dtype)) == t
+    monkeypatch.setattr(V, "LONG", 5)
+    monkeypatch.setattr(V, "_RUN", re.compile(f"{V._SPACES}{{5,}}"))
+    parts = ["  ", "\n", " ", "a", "b'", "s", "\u3000", "\x1c", "9", "!", "     ", "\t", "\u2003"]
+    for _ in range(2000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert bpe.pack(t) == np.array(bpe.bpe.encode_ordinary(t), bpe.dtype).tobytes(), repr(t)
+
+
+def test_long_words_are_scored_without_nodes(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    scores = unigram.piece_scores(unigram.PIECES)
+    words_ = ["".join(rng.choice("abcdeé漢tionsing") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    whole = unigram.Trie(scores)
+    want = [whole.word(w) for w in words_]
+    for long_ in (1, 4, 30):
+        monkeypatch.setattr(unigram, "LONG", long_)
+        trie = unigram.Trie(scores)
+        assert [trie.word(w) for w in words_] == want
+    monkeypatch.setattr(unigram, "LONG", 1_000)
+    trie = unigram.Trie(scores)
+    assert trie.word("ab" * 1_000_000)[0] == 1_000_000 and len(trie.best) < 1_100
