@@ -115,7 +115,8 @@ def write_shards(
     width = length * V.byte_bpe(vocabulary).dtype.itemsize
     staged = sequences(docs, vocabulary, length)
     path = C.fresh_folder(spark, "sequences")
-    staged.write.option("compression", "zstd").parquet(path)
+    # The ids are compressed already.
+    staged.write.option("compression", "snappy").parquet(path)
     slots = with_slots(spark.read.schema(staged.schema).parquet(path), seed, rows)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = C.fields(f"slot bigint, doc_id {kind}, seq_no int, n_tokens int, ids binary, shard int")

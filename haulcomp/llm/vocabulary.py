@@ -38,6 +38,8 @@ class ByteBpe:
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.dtype = np.dtype("<u2" if self.size < 60_000 else "<u4")
         self.known: dict[str, bytes] = {}
+        #: The same for pieces of a space and a word, by the word.
+        self.spaced: dict[str, bytes] = {}
 
     def pack(self, text: str) -> bytes:
         """The ids of a text, as bytes of ``dtype``.
@@ -56,24 +58,27 @@ class ByteBpe:
         return b"".join([*out, self._pack(text[at:])])
 
     def _pack(self, text: str) -> bytes:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
         if _ODD.search(text):
-            pieces = _SPLIT.split(text)
-        else:
-            first, *rest = text.split(" ")
-            pieces = [first, *[" " + x for x in rest]]
-        known = self.known
+            return b"".join([self._piece(self.known, p, p) for p in _SPLIT.split(text)])
+        first, *words = text.split(" ")
+        head, spaced = self._piece(self.known, first, first), self.spaced
         try:
-            return b"".join([known[p] for p in pieces])
+            return head + b"".join(map(spaced.__getitem__, words))
         except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            out = []
-            for p in pieces:
-                got = known.get(p)
-                if got is None:
-                    got = known[p] = np.array(self.bpe.encode_ordinary(p), self.dtype).tobytes()
-                out.append(got)
-            return b"".join(out)
+            if len(spaced) > REMEMBERED:
+                spaced.clear()
+            for w in words:
+                if w not in spaced:
+                    self._piece(spaced, w, " " + w)
+            return head + b"".join(map(spaced.__getitem__, words))
+
+    def _piece(self, known: dict[str, bytes], key: str, piece: str) -> bytes:
+        got = known.get(key)
+        if got is None:
+            got = known[key] = np.array(self.bpe.encode_ordinary(piece), self.dtype).tobytes()
+        return got
 
     def text(self, ids) -> str:
         return self.bpe.decode([int(i) for i in ids])

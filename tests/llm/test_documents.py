@@ -170,6 +170,15 @@ def test_long_runs_of_white_space_have_the_ids_of_the_whole_text(monkeypatch):
         assert bpe.pack(t) == np.array(bpe.bpe.encode_ordinary(t), bpe.dtype).tobytes(), repr(t)
 
 
+def test_texts_have_the_ids_of_the_tokenizer(documents, odd, monkeypatch):
+    bpe = V.ByteBpe(V.BYTE_BPE)
+    texts = [r.text or "" for df in (documents, odd) for r in df.select("text").collect()] + ["", " ", " a", "a ", "a  b", "a", "", "é漢", "\x00 \x00"]
+    want = [np.array(bpe.bpe.encode_ordinary(t), bpe.dtype).tobytes() for t in texts]
+    assert [bpe.pack(t) for t in texts] == want
+    monkeypatch.setattr(V, "REMEMBERED", 3)
+    assert [bpe.pack(t) for t in texts[:50]] == want[:50]
+
+
 def test_long_words_are_scored_without_nodes(monkeypatch):
     import random
 
