@@ -21,7 +21,8 @@
 Every pair of a block is tried, excluded by a bound, or known to be connected already, so components are exact, whatever the size of a group of copies; no group of pairs is written out.
 
 Null and empty texts have no shingles and are alone. Equal rows share a set, so they share a component. A document
-id that occurs twice is treated as two texts and its rows' components are reported row by row. An empty table gives an
+id that occurs twice is treated as two texts and its rows' components are reported row by row. A text without id links
+like any other and takes the least id of its component, which is null only if no text of it has an id. An empty table gives an
 empty result; extra columns are not looked at. Hashes have 64 bits: among d different sets d * d / 2 ** 65 false matches are
 to be expected (1e-9 for a million documents).
 """
@@ -98,8 +99,13 @@ def bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
     return [packed[start[i] // 8 : start[i + 1] // 8].tobytes() for i in range(len(size))]
 
 
-def document_nodes(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, node and bits (null without shingles) of every row."""
+def _row_id(docs: DataFrame):
+    """A hash of id and text: rows of one id and different texts are different rows."""
+    return F.xxhash64(docs["doc_id"], docs["text"])
+
+
+def document_nodes(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, row, n_shingles, node and bits (null without shingles) of every row."""
 
     def compute(buf, off):
         h, first = shingle_sets(buf, off, n)
@@ -107,7 +113,8 @@ def document_nodes(docs: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
         none = size == 0
         return {"n_shingles": size, "node": pa.array(set_hash(h, first), mask=none), "bits": C.blobs([None if e else b for e, b in zip(none, bitmaps(h, first))])}
 
-    return C.with_text_columns(docs, [key], compute, "n_shingles bigint, node bigint, bits binary")
+    rows = docs.select("doc_id", "text", _row_id(docs).alias("row"))
+    return C.with_text_columns(rows, ["doc_id", "row"], compute, "n_shingles bigint, node bigint, bits binary")
 
 
 def slot_counts(docs: DataFrame, n: int) -> np.ndarray:
@@ -204,8 +211,9 @@ def possible_members(members: DataFrame, nodes: DataFrame, percent: int) -> Data
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(node, shingles): the set of each wanted node, from the first document that has it."""
-    one = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    """(node, shingles): the set of each wanted node, from one row that has it."""
+    one = nodes.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+
     def sets(it):
         for b in it:
             for lo in range(0, b.num_rows, 500):
@@ -217,8 +225,9 @@ def node_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> D
                     parts = [h[first[i] : first[i + 1]].tobytes() for i in range(to - at)]
                     yield pa.RecordBatch.from_arrays([pa.array(node), few.column(1).slice(at, to - at), C.blobs(parts)], names=["node", "want", "shingles"])
 
-    found = C.map_arrow(C.packed_texts(docs, docs["doc_id"]).join(one, "doc_id").select("z", "node"), sets, "node bigint, want bigint, shingles binary")
-    # A repeated id may bring other texts than the wanted one.
+    packed = C.packed_texts(docs, _row_id(docs).alias("row"))
+    found = C.map_arrow(packed.join(one, "row").select("z", "node"), sets, "node bigint, want bigint, shingles binary")
+    # Rows whose hashes are equal by chance may bring another text than the wanted one.
     return found.filter("node = want").drop("want").dropDuplicates(["node"])
 
 
@@ -430,8 +439,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (columns doc_id, text)."""
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, row, n_shingles and group of every row; the group names a component, null without shingles."""
     docs = docs.select("doc_id", "text")
     nodes = C.stage(document_nodes(docs, n), "nodes")
     keys = prefix_keys(docs, n, percent, slot_counts(docs, n))
@@ -440,20 +449,33 @@ def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     sets = C.stage(node_sets(docs, nodes.drop("bits"), members.select("node").distinct(), n), "sets")
     links, more = block_links(members, sets, percent)
     labels = components(links if more is None else links.unionByName(more))
-    # Sets of one document's size stand for themselves; documents without shingles stay alone.
-    named = nodes.drop("bits").join(labels, "node", "left").withColumn("_c", F.coalesce("label", "node")).drop("label")
-    least = named.filter("_c IS NOT NULL").groupBy("_c").agg(F.min("doc_id").alias("component_id"))
-    out = named.join(least, "_c", "left")
+    # A node without a link is a component of its own; documents without shingles stay alone.
+    named = nodes.drop("bits").join(labels, "node", "left")
+    return named.select("doc_id", "row", "n_shingles", F.coalesce("label", "node").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (columns doc_id, text)."""
+    named = grouped(docs, n, percent)
+    least = named.filter("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    out = named.join(least, "group", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the one with the least id; rows with equal id and text count once, rows without id stay."""
-    groups = near_duplicates(docs, n, percent)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    loose = docs.filter(docs["doc_id"].isNull())
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.select(docs.columns).unionByName(loose)
+    """One row of each component: the least id, rows without id last, ties by a hash of the text.
+
+    Ids may repeat: of near copies under one id one stays. Texts without shingles all stay, rows with equal id and
+    text once (without an id: all).
+    """
+    named = C.stage(grouped(docs, n, percent), "groups")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")
+    first = named.filter("group IS NOT NULL").groupBy("group").agg(order).select("first.row")
+    keep = first.union(named.filter("group IS NULL").select("row")).distinct().withColumnRenamed("row", "_keep")
+    wordless = docs["text"].isNull() | ~docs["text"].rlike(r"[^\x20\x09-\x0D]")
+    loose = docs["doc_id"].isNull() & wordless
+    kept = docs.filter(~loose).join(keep, _row_id(docs) == keep["_keep"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter(loose))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
