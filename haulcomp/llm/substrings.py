@@ -8,10 +8,12 @@ earlier start) is removed. Strings are judged on the input; overlaps count; noth
    one in 35 bytes) are counted by key. Keys that occur once are dropped. Within a slice of documents repeats are
    known already and need no other task, so a key sends one row per slice to the count, however hot it is.
 2. For the documents that have repeated keys, each run of starts with such a key gives a context: the bytes of all
-   its strings. Contexts meet by key; equal ones are settled by the first. A key with more than ``HOT`` places is
-   split by string content, one string per context.
-3. Blocks of different contexts of whole keys are cut down to where hashes of strings occur again (which loses no
-   repeat) and put in one text, in order of their places. Its suffix order and Burrows-Wheeler transform are made, and
+   its strings. Contexts of equal bytes are settled by the first of them: within a task before they are moved, so that
+   a context sends one row per ``GATHER`` bytes of contexts however hot it is, and again where they meet by key. A key with more than
+   ``HOT`` places is split by string content, one string per context; such strings are settled by their bytes alone
+   and don't reach the transform.
+3. Different contexts are cut down to where hashes of strings occur again (which loses no repeat). Blocks of whole keys
+   are put in one text, in order of their places. Its suffix order and Burrows-Wheeler transform are made, and
    boundaries between suffixes that differ in their first l + 1 bytes are derived from those of l by one backward
    step, for l = 1, 2, ... up to LENGTH: what has no boundary then shares LENGTH bytes. In each such interval
    all but the first place are repeats.
@@ -26,16 +28,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulcomp.llm import common as C
-from haulcomp.llm.jaccard import sorted_groups
 
 #: GRAM is long enough that ordinary prose doesn't repeat it by chance; a multiple of 8.
 LENGTH, GRAM = 100, 32
 #: Places of a key beyond which its strings are dealt out one by one; bytes of a block; starts in one context.
-HOT, BLOCK, RUN = 40_000, 2 << 20, 1024
+HOT, BLOCK, RUN = 40_000, 256 << 10, 1024
+#: Bytes of contexts that are compared with each other at once.
+GATHER = 4 << 20
+PLACE = [("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")]
 
 
 def _sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -110,17 +115,70 @@ def repeated_keys(docs: DataFrame) -> DataFrame:
     return rows.withColumn("n", F.count(F.lit(1)).over(same)).filter("n > 1").select("key", "row")
 
 
+def _merged(row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of bytes with those of one row that touch or overlap made one."""
+    if not len(row):
+        return row, first, last
+    order = np.lexsort((first, row))
+    row, first, last = row[order], first[order].astype(np.int64), last[order].astype(np.int64)
+    # Rows are set apart, so that a running maximum stays within its row.
+    apart = np.concatenate([[0], np.cumsum(row[1:] != row[:-1])]) << 33
+    reach = np.maximum.accumulate(last + apart)
+    new = np.ones(len(row), bool)
+    new[1:] = (first + apart)[1:] > reach[:-1]
+    end = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
+    return row[new], first[new], (reach - apart)[end]
+
+
+def _again(held: pa.ChunkedArray) -> np.ndarray:
+    """Which values have stood before, by their bytes."""
+    code = held.combine_chunks().dictionary_encode()
+    code = (code.combine_chunks() if isinstance(code, pa.ChunkedArray) else code).indices.to_numpy()
+    later = np.ones(len(code), bool)
+    later[np.unique(code, return_index=True)[1]] = False
+    return later
+
+
+def _ends(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, byte after the last) of contexts."""
+    row, start, n = (t.column(c).to_numpy() for c in ("row", "start", "n"))
+    return row, start, start + n - 1 + LENGTH
+
+
 def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(key, context, doc_id, row, start, n, bytes): the runs of n starts with a repeated key."""
+    """(key, doc_id, row, start, n, bytes): the runs of n starts with a repeated key.
+
+    Contexts that stand earlier in the same task have no bytes; those of a row that touch are one, and their key is the row.
+    """
     places = repeated.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
     flagged = repeated.join(places, "key", "left").select("row", F.struct("key", F.col("_n").isNotNull().alias("hot")).alias("_key"))
     per_row = flagged.groupBy("row").agg(F.sort_array(F.collect_set("_key")).alias("_keys"))
     packed = C.packed_texts(docs, docs["doc_id"], F.xxhash64(docs["doc_id"], docs["text"]).alias("row"))
     both = packed.join(per_row, "row").dropDuplicates(["row"]).select("z", "doc_id", "row", "_keys")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = C.fields(f"key bigint, context bigint, doc_id {kind}, row bigint, start int, n int, bytes binary")
+    schema = C.fields(f"key bigint, doc_id {kind}, row bigint, start int, n int, bytes binary")
+
+    def settled(held: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(held)
+        t = t.take(pc.sort_indices(t, sort_keys=PLACE, null_placement="at_start"))
+        again = _again(t.column("bytes"))
+        yield from t.filter(pa.array(~again)).to_batches()
+        row, first, last = _merged(*_ends(t.filter(pa.array(again))))
+        ids = pa.nulls(len(row), t.schema.field("doc_id").type)
+        yield C.batches(schema, row, ids, row, first.astype(np.int32), (last - first - LENGTH + 1).astype(np.int32), pa.nulls(len(row), pa.binary()))
 
     def run(it):
+        held, size = [], 0
+        for b in cut(it):
+            held.append(b)
+            size += b.column(5).nbytes
+            if size >= GATHER:
+                yield from settled(held)
+                held, size = [], 0
+        if held:
+            yield from settled(held)
+
+    def cut(it):
         for batch in it:
             for at in range(0, batch.num_rows, 200):
                 b = batch.slice(at, 200)
@@ -133,9 +191,9 @@ def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     if not len(starts):
                         continue
                     doc = np.searchsorted(off, starts, "right") - 1
-                    cut = np.ones(len(starts), bool)
-                    cut[1:] = (key[1:] != key[:-1]) | (np.diff(starts) != 1)
-                    first = np.flatnonzero(cut)
+                    new = np.ones(len(starts), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (np.diff(starts) != 1)
+                    first = np.flatnonzero(new)
                     n = np.diff(np.append(first, len(starts)))
                     # Very long runs (periodic text) are cut; each part keeps its key.
                     parts = -(-n // RUN)
@@ -153,8 +211,8 @@ def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                             take[bounds[i] : bounds[i + 1]] = signed[j] == order
                             hot[bounds[i] : bounds[i + 1]] = w_hot[own][j]
                     s, k, d, n, hot = s[take], k[take], d[take], n[take], hot[take]
-                    sums = C.prefix_sums(buf)
                     if hot.any():
+                        sums = C.prefix_sums(buf)
                         # One string per context, under a key of its own content.
                         m = n[hot]
                         inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
@@ -167,7 +225,7 @@ def contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                         raw = buf.tobytes()
                         held = C.blobs([raw[x:y] for x, y in zip(s.tolist(), e.tolist())])
                         ids = [b.column(i).slice(lo, hi - lo).take(pa.array(d)) for i in (1, 2)]
-                        yield C.batches(schema, k.view(np.int64), C.span_hash(sums, s, e).view(np.int64), *ids, (s - off[d]).astype(np.int32), n.astype(np.int32), held)
+                        yield C.batches(schema, k.view(np.int64), *ids, (s - off[d]).astype(np.int32), n.astype(np.int32), held)
 
     return C.map_arrow(both, run, schema)
 
@@ -267,42 +325,63 @@ def _spans(row, start, later) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def repeated_spans(found: DataFrame) -> DataFrame:
     """(row, first, last): spans of bytes to remove; they may overlap."""
     spread = found.repartition(C.parts_of(found.sparkSession), "key")
-    spread = spread.sortWithinPartitions("key", "context", "doc_id", "row", "start")
+    spread = spread.sortWithinPartitions("key", "doc_id", "row", "start")
     schema = "row bigint, first int, last int"
 
-    def out(row, first, last):
+    def out(spans):
+        row, first, last = _merged(*(np.concatenate(x) for x in zip(*spans)))
         columns = [pa.array(row, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())]
         return pa.RecordBatch.from_arrays(columns, names=["row", "first", "last"])
 
-    def block(held: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(held).sort_by([("doc_id", "ascending"), ("row", "ascending"), ("start", "ascending")])
+    def settled(t: pa.Table) -> pa.RecordBatch:
+        """The spans of contexts of whole keys, in order of keys and places."""
+        again = _again(t.column("bytes"))
+        spans = [_ends(t.filter(pa.array(again)))]
+        t = t.filter(pa.array(~again))
         kept, parts, first, n = candidates(t.column("bytes").to_pylist(), t.column("n").to_numpy().astype(np.int64))
         if not len(kept):
-            return out([], [], [])
-        later = repeats(parts, n)
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = np.repeat(t.column("start").to_numpy().astype(np.int64)[kept] + first, n) + inner
-        return out(*_spans(np.repeat(t.column("row").to_numpy()[kept], n), start, later))
+            return out(spans)
+        t = t.select(["key", *(c for c, _ in PLACE)]).take(pa.array(kept))
+        key, row = t.column("key").to_numpy(), t.column("row").to_numpy()
+        begin = t.column("start").to_numpy().astype(np.int64) + first
+        size = np.cumsum([len(p) for p in parts])
+        # Blocks end between keys.
+        whole = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        lo = 0
+        while lo < len(key):
+            full = np.searchsorted(size, (size[lo - 1] if lo else 0) + BLOCK)
+            hi = int(whole[min(np.searchsorted(whole, max(full, lo + 1)), len(whole) - 1)])
+            place = lo + pc.sort_indices(t.slice(lo, hi - lo), sort_keys=PLACE, null_placement="at_start").to_numpy().astype(np.int64)
+            m = n[place]
+            later = repeats([parts[i] for i in place], m)
+            inner = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            spans.append(_spans(np.repeat(row[place], m), np.repeat(begin[place], m) + inner, later))
+            lo = hi
+        return out(spans)
 
     def run(it):
-        held, size = [], 0
-        for t in sorted_groups(it, 1):
-            context, n, start = (t.column(c).to_numpy() for c in ("context", "n", "start"))
-            new = np.ones(len(context), bool)
-            new[1:] = context[1:] != context[:-1]
-            if not new.all():
-                again = ~new
-                yield out(t.column("row").to_numpy()[again], start[again], start[again] + n[again] - 1 + LENGTH)
-            # One string alone can't repeat itself.
-            if new.sum() > 1 or n[new].max() > 1:
-                t = t.filter(pa.array(new))
-                held.append(t)
-                size += t.column("bytes").nbytes
-                if size >= BLOCK:
-                    yield block(held)
-                    held, size = [], 0
+        held, size, limit = [], 0, GATHER
+        for b in it:
+            settled_before = b.column(5).is_null()
+            ready = pa.Table.from_batches([b.filter(settled_before)])
+            if ready.num_rows:
+                yield out([_ends(ready)])
+            b = b.filter(pc.invert(settled_before))
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.column(5).nbytes
+            if size >= limit:
+                # The last key may go on.
+                t = pa.Table.from_batches(held)
+                at = int(np.searchsorted(t.column("key").to_numpy(), b.column(0)[-1].as_py()))
+                if at:
+                    yield settled(t.slice(0, at))
+                held = t.slice(at).combine_chunks().to_batches()
+                size = sum(x.column(5).nbytes for x in held)
+                limit = max(GATHER, 2 * size)
         if held:
-            yield block(held)
+            yield settled(pa.Table.from_batches(held))
 
     return C.map_arrow(spread, run, schema)
 

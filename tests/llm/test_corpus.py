@@ -58,16 +58,40 @@ def passages():
     return rows
 
 
-@pytest.mark.parametrize("hot, block, run", [(40_000, 1 << 20, 1024), (3, 2000, 7)])
-def test_substrings(docs, monkeypatch, hot, block, run):
-    for name, value in (("HOT", hot), ("BLOCK", block), ("RUN", run)):
+@pytest.mark.parametrize("hot, block, run, gather", [(40_000, 1 << 20, 1024, 4 << 20), (3, 2000, 7, 3000), (40_000, 500, 1024, 1)])
+def test_substrings(docs, monkeypatch, hot, block, run, gather):
+    for name, value in (("HOT", hot), ("BLOCK", block), ("RUN", run), ("GATHER", gather)):
         monkeypatch.setattr(substrings, name, value)
     rows = passages()
-    got = substrings.without_repeats(docs(rows, key="k", row="r")).toPandas().sort_values("doc_id")
+    rows = [(None, rows[7][1][:300] + "no id"), *rows]
+    got = substrings.without_repeats(docs(rows, key="k", row="r")).toPandas().sort_values("doc_id", na_position="first")
     mine = [(r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got.itertuples()]
     assert mine == plain_removed(rows)
 
 
+@pytest.mark.parametrize("hot", [40_000, 10])
+def test_a_hot_passage_gives_few_spans(docs, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    (passage, *texts), rng = [" ".join("".join(random.Random(f"{i} {j}").choices("abcdefgh", k=6)) for j in range(40)) for i in range(200)], random.Random(1)
+    rows = [(i, t[: rng.randint(0, 200)] + passage + t[-rng.randint(1, 80) :]) for i, t in enumerate(texts)]
+    table = docs(rows).repartition(4)
+    spans = substrings.repeated_spans(substrings.contexts(table, substrings.repeated_keys(table))).toPandas()
+    # Of 199 copies of 279 bytes, with some 180 strings each, nearly all are settled where they are read.
+    assert spans.row.nunique() == len(rows) - 1
+    assert len(spans) < 20 * len(rows)
+
+
+def test_merged_spans():
+    rng = np.random.default_rng(2)
+    row, first = rng.integers(-3, 3, 300), rng.integers(0, 3000, 300)
+    last = first + rng.integers(1, 20, 300)
+    covered = {(r, i) for r, a, b in zip(row, first, last) for i in range(a, b)}
+    got = list(zip(*substrings._merged(row, first, last)))
+    assert {(r, i) for r, a, b in got for i in range(a, b)} == covered
+    assert sum(b - a for _, a, b in got) == len(covered)
+    assert all(p[0] != q[0] or p[2] < q[1] for p, q in zip(got, got[1:]))
+
+
 def test_equal_prefixes_are_those_of_the_text():
     rng = np.random.default_rng(0)
     text = rng.integers(97, 99, 400).astype(np.uint8)
