@@ -378,7 +378,8 @@ def _codes(train: DataFrame, model: Model, code_of) -> DataFrame:
             rows = []
             for s, part in model._by_shard(shard):
                 c, n = np.unique(code[part], return_counts=True)
-                steps = np.diff(c, prepend=np.zeros(1, C.U))
+                # Bytes of equal weight stand together, which packs them closer.
+                steps = np.diff(c, prepend=np.zeros(1, C.U)).view(np.uint8).reshape(-1, 8).T
                 rows.append((s, zip_.compress(steps.tobytes()), zip_.compress(n.astype("<u4").tobytes())))
             shards, codes, counts = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), C.blobs(codes), C.blobs(counts)], names=["shard", "codes", "counts"])
@@ -405,7 +406,7 @@ def _gathered(t: pa.Table, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
     parts = [(c, m) for c, m in zip(t.column("codes"), t.column("counts")) if c.is_valid]
     held: list[tuple[np.ndarray, np.ndarray]] = [(code, n)]
     for c, m in parts:
-        steps = np.frombuffer(unzip.decompress(c.as_py()), C.U)
+        steps = np.ascontiguousarray(np.frombuffer(unzip.decompress(c.as_py()), np.uint8).reshape(8, -1).T).view(C.U).ravel()
         held.append((np.cumsum(steps, dtype=C.U), np.frombuffer(unzip.decompress(m.as_py()), "<u4").astype(np.int64)))
         if sum(len(x) for x, _ in held) > GATHER:
             held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
@@ -421,7 +422,7 @@ def _level(context: np.ndarray, contexts: int, word: np.ndarray, n: np.ndarray,
     kept = np.bincount(context, share, contexts)
     below = np.bincount(context, 10.0**lower, contexts) if len(n) else np.zeros(contexts)
     back = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - below, 1e-12))
-    return {"ones": ones, "before": before, "word": pack_ints(word, bits), "prob": quantised(np.log10(share)), "back": quantised(back), "count": n}
+    return {"ones": ones, "before": before, "word": pack_ints(word, bits), "prob": quantised(np.log10(share)), "back": quantised(back)}
 
 
 def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
@@ -455,7 +456,9 @@ def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
         seen = model.counts(np.arange(first, last))
         if s == shards - 1:
             seen[-1] = n_docs
-        save(folder, f"bigrams-{s}", _level(context, last - first, word, n, seen, model.unigram(model.counts(word)), model.bits))
+        level = _level(context, last - first, word, n, seen, model.unigram(model.counts(word)), model.bits)
+        # Trigrams are shares of their bigram's count, in as many bytes as the greatest needs.
+        save(folder, f"bigrams-{s}", level | {"count": n.astype(np.min_scalar_type(int(n.max(initial=0))))})
         return len(n)
 
     bigrams = _per_shard(_codes(docs, model, pairs), [], write_bigrams, spark, shards)
