@@ -274,8 +274,11 @@ def histories_of(pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def children(level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     """Places of the words among the children of their contexts, -1 where they are none: a successor search between two pointers."""
-    lo = ef_get(level["ones"], level["before"], context)
-    end = ef_get(level["ones"], level["before"], context + 1)
+    # Words come in order of their contexts: the pointers of a context are read once.
+    new = np.ones(len(context), bool)
+    new[1:] = context[1:] != context[:-1]
+    one, of = context[new], np.cumsum(new) - 1
+    lo, end = (ef_get(level["ones"], level["before"], c)[of] for c in (one, one + 1))
     hi = end.copy()
     open_ = np.flatnonzero(lo < hi)
     while len(open_):
