@@ -9,7 +9,7 @@ The trie is written in shards by the first word's hash. A level holds, per conte
 children begin (Elias-Fano: one bit per child and context, a directory of ones), the children's word numbers in order within
 their context, packed to the bits of the vocabulary, and log10 probabilities and back-off weights in 16 bits. Shards are
 files in the shared folder that tasks map into memory; a query selects the pointers of its
-context and searches the successor of the word between them, for all words of a slice at once.
+context and searches the word between them from where its number lets expect it, for all distinct n-grams of a slice at once, in order.
 Shards grow in number with the training tokens (``SHARD_TOKENS`` each), so no task holds the counts of the corpus.
 
 Texts are split at white space after lower-casing A-Z, and end with one end token. Null or empty texts are
@@ -51,13 +51,19 @@ UNKNOWN = -1
 
 def pack_ints(x: np.ndarray, bits: int) -> np.ndarray:
     """Numbers in ``bits`` bits each, with eight bytes to spare at the end."""
-    out = []
-    for lo in range(0, len(x), 1 << 16):
-        part = x[lo : lo + (1 << 16)].astype(C.U)
-        flags = (part[:, None] >> np.arange(bits, dtype=C.U)) & C.U(1)
-        out.append(flags.astype(np.uint8).ravel())
-    flat = np.concatenate(out) if out else np.zeros(0, np.uint8)
-    return np.concatenate([np.packbits(flat, bitorder="little"), np.zeros(8, np.uint8)])
+    # 64 numbers fill ``bits`` whole words; the numbers at the same place among their 64 are shifted at once.
+    rows = -(-len(x) // 64)
+    column = np.zeros(rows * 64, C.U)
+    column[: len(x)] = x
+    column = np.ascontiguousarray(column.reshape(-1, 64).T)
+    out = np.zeros((bits, rows), C.U)
+    for j in range(64):
+        word, shift = divmod(j * bits, 64)
+        out[word] |= column[j] << C.U(shift)
+        if shift + bits > 64:
+            out[word + 1] |= column[j] >> C.U(64 - shift)
+    flat = np.ascontiguousarray(out.T).view(np.uint8).ravel()[: -(-len(x) * bits // 8)]
+    return np.concatenate([flat, np.zeros(8, np.uint8)])
 
 
 def unpack_at(packed: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
@@ -68,38 +74,76 @@ def unpack_at(packed: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
 
 
 def ef_build(pointers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Monotone pointers as ones in a bit vector (pointer i is the number of zeros before its one), and ones before each 512 bits."""
+    """Monotone pointers as ones in a bit vector (pointer i is the number of zeros before its one), and ones before each 64 bits."""
     n = len(pointers)
     size = int(pointers[-1]) + n + 1
-    flags = np.zeros(-(-size // 512) * 512, bool)
+    flags = np.zeros(-(-size // 64) * 64, bool)
     flags[pointers + np.arange(n)] = True
     words = np.packbits(flags, bitorder="little").view("<u8")
-    ones = np.bitwise_count(words).reshape(-1, 8).sum(1).astype(np.int64)
-    return words, np.concatenate([[0], np.cumsum(ones)[:-1]])
+    ones = np.bitwise_count(words)
+    return words, (np.cumsum(ones, dtype=np.int64) - ones).astype(np.uint32 if n < 1 << 32 else np.int64)
+
+
+#: Place of the one with rank r in byte b, at 8 * b + r.
+_IN_BYTE = np.zeros(2048, np.int64)
+for _b in range(256):
+    _places = [j for j in range(8) if _b >> j & 1]
+    _IN_BYTE[8 * _b : 8 * _b + len(_places)] = _places
+_EACH = 0x0101010101010101
 
 
 def _select_in_word(word: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Place of the one with the given rank in each 64-bit word."""
-    at = np.zeros(len(word), np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        ones = np.bitwise_count(word & C.U((1 << half) - 1)).astype(np.int64)
-        up = rank >= ones
-        rank = rank - ones * up
-        word = np.where(up, word >> C.U(half), word)
-        at += half * up
-    return at
+    ones = word - ((word >> C.U(1)) & C.U(0x5555555555555555))
+    ones = (ones & C.U(0x3333333333333333)) + ((ones >> C.U(2)) & C.U(0x3333333333333333))
+    # In byte j, the ones of bytes 0..j.
+    ones = ((ones + (ones >> C.U(4))) & C.U(0x0F0F0F0F0F0F0F0F)) * C.U(_EACH)
+    rank = rank.astype(C.U)
+    passed = ((rank * C.U(_EACH)) | C.U(0x80 * _EACH)) - ones
+    at = np.bitwise_count(passed & C.U(0x80 * _EACH)).astype(C.U) * C.U(8)
+    rank -= ((ones << C.U(8)) >> at) & C.U(0xFF)
+    byte = (word >> at) & C.U(0xFF)
+    return at.astype(np.int64) + _IN_BYTE[(byte * C.U(8) + rank).astype(np.int64)]
+
+
+def _ef_one(words: np.ndarray, directory: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, place in it) of the ones with the given ranks."""
+    at = np.searchsorted(directory, i.astype(directory.dtype), "right") - 1
+    return at, _select_in_word(words[at], i - directory[at])
 
 
 def ef_get(words: np.ndarray, directory: np.ndarray, i: np.ndarray) -> np.ndarray:
     """The pointers at the given places."""
-    block = np.searchsorted(directory, i, "right") - 1
-    rank = i - directory[block]
-    near = words[(block * 8)[:, None] + np.arange(8)]
-    upto = np.bitwise_count(near).cumsum(1, dtype=np.int64)
-    j = (upto <= rank[:, None]).sum(1)
-    row = np.arange(len(i))
-    rank = rank - np.where(j > 0, upto[row, np.maximum(j - 1, 0)], 0)
-    return block * 512 + j * 64 + _select_in_word(near[row, j], rank) - i
+    at, place = _ef_one(words, directory, i)
+    return at * 64 + place - i
+
+
+def ef_range(words: np.ndarray, directory: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pointers at the given places and at the places after them."""
+    at, place = _ef_one(words, directory, i)
+    begin = at * 64 + place - i
+    # Zeros up to the next one, which mostly stands in the same word.
+    rest = (words[at] >> place.astype(C.U)) >> C.U(1)
+    end = begin + np.bitwise_count((rest & -rest) - C.U(1))
+    far = np.flatnonzero(rest == 0)
+    end[far] = ef_get(words, directory, i[far] + 1)
+    return begin, end
+
+
+def distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of ``bits`` bits in order, and the place of each code among them."""
+    low = len(code).bit_length()
+    if bits + low > 63:
+        return np.unique(code, return_inverse=True)
+    # A code and where it stands are sorted as one number.
+    key = np.sort((code << low) | np.arange(len(code)))
+    order = key & ((1 << low) - 1)
+    key >>= low
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    back = np.empty(len(key), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return key[new], back
 
 
 # ---- files ----------------------------------------------------------------------------------
@@ -172,96 +216,114 @@ class Model:
         return (hashes >> C.U(65 - self.shards.bit_length())).astype(np.int64) if self.shards > 1 else np.zeros(len(hashes), np.int64)
 
     def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard, kind="stable")
+        # Short numbers are sorted by radix.
+        order = np.argsort(shard.astype(np.min_scalar_type(self.shards)), kind="stable")
         cut = np.flatnonzero(np.diff(shard[order])) + 1
         for part in np.split(order, cut):
             if len(part):
                 yield int(shard[part[0]]), part
 
     def number(self, hashes: np.ndarray) -> np.ndarray:
-        """Word numbers, UNKNOWN for words not seen in training."""
-        one, back = np.unique(hashes, return_inverse=True)
-        out = np.full(len(one), UNKNOWN, np.int64)
-        for s, part in self._by_shard(self.shard_of(one)):
+        """Word numbers, UNKNOWN for words not seen in training; numbers are in the order of the hashes."""
+        out = np.full(len(hashes), UNKNOWN, np.int64)
+        for s, part in self._by_shard(self.shard_of(hashes)):
             known = load(self.folder, f"words-{s}")["hash"]
             if len(known):
-                at = np.minimum(np.searchsorted(known, one[part]), len(known) - 1)
-                hit = known[at] == one[part]
+                at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
+                hit = known[at] == hashes[part]
                 out[part[hit]] = self.words[s] + at[hit]
-        return out[back]
+        return out
 
     def word_shard(self, word: np.ndarray) -> np.ndarray:
         return np.minimum(np.searchsorted(self.words, word, "right") - 1, self.shards - 1)
 
     def counts(self, word: np.ndarray) -> np.ndarray:
         """Training count of each word number; 0 for UNKNOWN."""
-        one, back = np.unique(word, return_inverse=True)
-        out = np.zeros(len(one), np.int64)
-        known = np.flatnonzero((one >= 0) & (one < self.size))
-        for s, part in self._by_shard(self.word_shard(one[known])):
-            out[known[part]] = load(self.folder, f"words-{s}")["count"][one[known[part]] - self.words[s]]
-        return out[back]
+        out = np.zeros(len(word), np.int64)
+        known = np.flatnonzero((word >= 0) & (word < self.size))
+        for s, part in self._by_shard(self.word_shard(word[known])):
+            out[known[part]] = load(self.folder, f"words-{s}")["count"][word[known[part]] - self.words[s]]
+        return out
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.size + 1))
 
-    def bigram(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Numbers of the bigrams (u, v), UNKNOWN where none is kept; each distinct one is looked up once, in order."""
-        code, back = np.unique(np.where((u >= 0) & (v >= 0), u * (self.size + 1) + v, -1), return_inverse=True)
-        out = np.full(len(code), UNKNOWN, np.int64)
-        use = np.flatnonzero(code >= 0)
-        first, second = code[use] // (self.size + 1), code[use] % (self.size + 1)
-        for s, part in self._by_shard(self.word_shard(first)):
-            got = children(load(self.folder, f"bigrams-{s}"), first[part] - self.words[s], second[part], self.bits)
-            out[use[part]] = np.where(got >= 0, got + self.bigrams[s], UNKNOWN)
+    def bigram(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the bigrams (u, v), UNKNOWN where none is kept; the number with which those of u begin), for bigrams in order."""
+        number, begin = np.full(len(u), UNKNOWN, np.int64), np.full(len(u), UNKNOWN, np.int64)
+        use = np.flatnonzero((u >= 0) & (v >= 0))
+        for s, part in self._by_shard(self.word_shard(u[use])):
+            at = use[part]
+            got, first = children(load(self.folder, f"bigrams-{s}"), u[at] - self.words[s], v[at], self.bits, self.size)
+            number[at] = np.where(got >= 0, got + self.bigrams[s], UNKNOWN)
+            begin[at] = first + self.bigrams[s]
+        return number, begin
+
+    def bigrams_of(self, ids: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of each token's bigram among the distinct ones, which are in order; ``bigram`` of those). Tokens are places in ``ids``."""
+        bits = len(ids).bit_length()
+        code, of = distinct((before(at, bounds, len(ids)) << bits) | at, 2 * bits)
+        return of, *self.bigram(np.append(ids, self.size)[code >> bits], ids[code & ((1 << bits) - 1)])
+
+    def begins(self, u: np.ndarray) -> np.ndarray:
+        """The number with which the bigrams of each word begin."""
+        one, back = distinct(u, self.bits)
+        out = np.zeros(len(one), np.int64)
+        for s, part in self._by_shard(self.word_shard(one)):
+            level = load(self.folder, f"bigrams-{s}")
+            out[part] = ef_get(level["ones"], level["before"], one[part] - self.words[s]) + self.bigrams[s]
         return out[back]
 
     def trigram(self, pair: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability or nan, log10 back-off) of w after each bigram number."""
-        code, inverse = np.unique(np.where(pair >= 0, pair * (self.size + 2) + w + 1, -1), return_inverse=True)
-        prob, back = np.full(len(code), np.nan), np.zeros(len(code))
-        use = np.flatnonzero(code >= 0)
-        one, word = code[use] // (self.size + 2), code[use] % (self.size + 2) - 1
-        for s, part in self._by_shard(self.pair_shard(one)):
-            level, own = load(self.folder, f"trigrams-{s}"), one[part] - self.bigrams[s]
-            back[use[part]] = level["back"][own] / STEPS
-            got = children(level, own, word[part], self.bits)
-            prob[use[part[got >= 0]]] = level["prob"][got[got >= 0]] / STEPS
-        return prob[inverse], back[inverse]
+        """(log10 probability or nan, log10 back-off) of w after each bigram number, for trigrams in order."""
+        prob, back = np.full(len(pair), np.nan), np.zeros(len(pair))
+        for s, part in self._by_shard(self.pair_shard(pair)):
+            level, own = load(self.folder, f"trigrams-{s}"), pair[part] - self.bigrams[s]
+            back[part] = level["back"][own] / STEPS
+            got = children(level, own, w[part], self.bits, self.size)[0]
+            prob[part[got >= 0]] = level["prob"][got[got >= 0]] / STEPS
+        return prob, back
 
     def pair_shard(self, pair: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.bigrams, pair, "right") - 1
 
-    def of_pairs(self, pair: np.ndarray, what: str) -> np.ndarray:
-        """A stored value of each bigram number."""
-        out = np.zeros(len(pair), np.int64)
+    def of_pairs(self, pair: np.ndarray, *what: str) -> list[np.ndarray]:
+        """Stored values of each bigram number."""
+        out = [np.zeros(len(pair), np.int64) for _ in what]
         for s, part in self._by_shard(self.pair_shard(pair)):
             level, own = load(self.folder, f"bigrams-{s}"), pair[part] - self.bigrams[s]
-            out[part] = unpack_at(level["word"], own, self.bits) if what == "word" else level[what][own]
+            for values, name in zip(out, what):
+                values[part] = unpack_at(level["word"], own, self.bits) if name == "word" else level[name][own]
         return out
 
     def word_backoff(self, u: np.ndarray) -> np.ndarray:
-        one, back = np.unique(u, return_inverse=True)
-        out = np.zeros(len(one))
-        use = np.flatnonzero(one >= 0)
-        for s, part in self._by_shard(self.word_shard(one[use])):
-            out[use[part]] = load(self.folder, f"bigrams-{s}")["back"][one[use[part]] - self.words[s]] / STEPS
-        return out[back]
+        out = np.zeros(len(u))
+        use = np.flatnonzero(u >= 0)
+        for s, part in self._by_shard(self.word_shard(u[use])):
+            out[use[part]] = load(self.folder, f"bigrams-{s}")["back"][u[use[part]] - self.words[s]] / STEPS
+        return out
 
-    def two(self, pair: np.ndarray, v: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def two(self, pair: np.ndarray, v: np.ndarray, alone: np.ndarray) -> np.ndarray:
         """log10 p(w | v) from the bigram numbers of (v, w), backing off to the word's own share."""
         out = np.zeros(len(pair))
         hit, miss = np.flatnonzero(pair >= 0), np.flatnonzero(pair < 0)
-        out[hit] = self.of_pairs(pair[hit], "prob") / STEPS
-        out[miss] = self.word_backoff(v[miss]) + self.unigram(count[miss])
+        out[hit] = self.of_pairs(pair[hit], "prob")[0] / STEPS
+        out[miss] = self.word_backoff(v[miss]) + alone[miss]
         return out
 
-    def three(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 p(w | u, v) of consecutive tokens; at ``starts`` there is no u. A bigram serves its token and the next one."""
-        pair = self.bigram(v, w)
-        prob, back = self.trigram(histories_of(pair, starts), w)
+    def three(self, ids: np.ndarray, at: np.ndarray, bounds: np.ndarray, alone: np.ndarray) -> np.ndarray:
+        """log10 p(w | u, v) of consecutive tokens, no u at a first one; ``alone`` are the words' own shares. Tokens are places in ``ids``."""
+        of, pair, _ = self.bigrams_of(ids, at, bounds)
+        history = histories_of(of, bounds[:-1])
+        use = np.flatnonzero((history >= 0) & (pair[history] >= 0))
+        bits = len(ids).bit_length()
+        code, place = distinct((history[use] << bits) | at[use], len(pair).bit_length() + bits)
+        found, off = self.trigram(pair[code >> bits], ids[code & ((1 << bits) - 1)])
+        prob, back = np.full(len(at), np.nan), np.zeros(len(at))
+        prob[use], back[use] = found[place], off[place]
         miss = np.flatnonzero(np.isnan(prob))
-        prob[miss] = back[miss] + self.two(pair[miss], v[miss], count[miss])
+        v = np.append(ids, self.size)[before(at, bounds, len(ids))[miss]]
+        prob[miss] = back[miss] + self.two(pair[of[miss]], v, alone[at[miss]])
         return prob
 
 
@@ -272,26 +334,37 @@ def histories_of(pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def children(level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    """Places of the words among the children of their contexts, -1 where they are none: a successor search between two pointers."""
+def children(level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the words among the children of their contexts, -1 where they are none; where those children begin).
+
+    A search between two pointers. Words are numbered below ``size`` by their hashes, so a context's children lie evenly and a
+    word's place is guessed from its number; every fourth step halves, whatever the numbers.
+    """
     # Words come in order of their contexts: the pointers of a context are read once.
     new = np.ones(len(context), bool)
     new[1:] = context[1:] != context[:-1]
-    one, of = context[new], np.cumsum(new) - 1
-    lo, end = (ef_get(level["ones"], level["before"], c)[of] for c in (one, one + 1))
-    hi = end.copy()
-    open_ = np.flatnonzero(lo < hi)
-    while len(open_):
-        mid = (lo[open_] + hi[open_]) >> 1
-        less = unpack_at(level["word"], mid, bits) < word[open_]
-        lo[open_] = np.where(less, mid + 1, lo[open_])
-        hi[open_] = np.where(less, hi[open_], mid)
-        open_ = open_[lo[open_] < hi[open_]]
+    of = np.cumsum(new) - 1
+    begin, end = (p[of] for p in ef_range(level["ones"], level["before"], context[new]))
     out = np.full(len(context), -1, np.int64)
-    there = np.flatnonzero(lo < end)
-    hit = there[unpack_at(level["word"], lo[there], bits) == word[there]]
-    out[hit] = lo[hit]
-    return out
+    row = np.flatnonzero((begin < end) & (word >= 0))
+    lo, hi, want = begin[row], end[row], word[row]
+    # The children from lo to before hi are numbered from least to most.
+    least, most, step = np.zeros(len(row), np.int64), np.full(len(row), size, np.int64), 0
+    while len(row):
+        step += 1
+        if step % 4:
+            mid = lo + ((want - least) * ((hi - lo) / (most - least + 1))).astype(np.int64)
+        else:
+            mid = (lo + hi) >> 1
+        got = unpack_at(level["word"], mid, bits)
+        hit = got == want
+        out[row[hit]] = mid[hit]
+        less = got < want
+        lo, least = np.where(less, mid + 1, lo), np.where(less, got + 1, least)
+        hi, most = np.where(less, hi, mid), np.where(less, most, got - 1)
+        left = np.flatnonzero((lo < hi) & ~hit & (want >= least) & (want <= most))
+        row, lo, hi, want, least, most = (x[left] for x in (row, lo, hi, want, least, most))
+    return out, begin
 
 
 def quantised(log10: np.ndarray) -> np.ndarray:
@@ -307,13 +380,15 @@ def held_out(key: Column) -> Column:
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of a slice, an end after each document; first token of each document and the total)."""
-    buf = C.LOWER[buf]
+    # Bytes A-Z are 32 below a-z.
+    buf = buf + ((buf - np.uint8(ord("A")) < 26).view(np.uint8) << 5)
     starts, ends, first = C.words(buf, off)
     h = C.span_hash(C.prefix_sums(buf), starts, ends)
     bounds = first + np.arange(len(first))
     out = np.full(int(bounds[-1]), END_HASH, C.U)
-    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    out[np.arange(len(h)) + doc] = h
+    of_word = np.ones(len(out), bool)
+    of_word[bounds[1:] - 1] = False
+    out[of_word] = h
     return out, bounds
 
 
@@ -324,11 +399,27 @@ def before(ids: np.ndarray, bounds: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(code)
-    code, n = code[order], n[order]
-    cut = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1]) if len(code) else np.zeros(0, np.int64)
-    return code[cut], np.add.reduceat(n, cut) if len(code) else n
+def looked_up(model: Model, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of the distinct words of a slice, in the order of their hashes; place among them of each token; first tokens and the total)."""
+    h, bounds = tokens(buf, off)
+    coded = pa.array(h).dictionary_encode()
+    word = coded.dictionary.to_numpy()
+    order = np.argsort(word)
+    rank = np.empty(len(word), np.int64)
+    rank[order] = np.arange(len(word))
+    return model.number(word[order]), rank[coded.indices.to_numpy()], bounds
+
+
+def _summed(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of distinct codes and their counts as one, in order."""
+    code = np.sort(np.concatenate([c for c, _ in runs]))
+    new = np.ones(len(code), bool)
+    new[1:] = code[1:] != code[:-1]
+    code = code[new]
+    n = np.zeros(len(code), np.int64)
+    for c, m in runs:
+        n[np.searchsorted(code, c)] += m
+    return code, n
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -369,18 +460,19 @@ def _per_shard(rows: DataFrame, order: list[str], write, spark: SparkSession, sh
     return np.concatenate([[0], np.cumsum([sizes[s] for s in range(shards)])]).astype(np.int64)
 
 
-def _codes(train: DataFrame, model: Model, code_of) -> DataFrame:
-    """(shard, codes, counts): sorted distinct n-gram codes of a task with their counts, compressed, by shard."""
+def _codes(train: DataFrame, model: Model, first: np.ndarray, code_of) -> DataFrame:
+    """(shard, codes, counts): sorted distinct n-gram codes of a task with their counts, compressed, by shard; ``first`` is each shard's least code."""
 
     def run(it):
         zip_ = zstandard.ZstdCompressor(level=3)
         held, size = [], 0
 
         def flush():
-            shard, code = (np.concatenate(x) for x in zip(*held))
+            code, count = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.append(np.searchsorted(code, first), len(code))
             rows = []
-            for s, part in model._by_shard(shard):
-                c, n = np.unique(code[part], return_counts=True)
+            for s in np.flatnonzero(np.diff(cut)):
+                c, n = code[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]]
                 # Bytes of equal weight stand together, which packs them closer.
                 steps = np.diff(c, prepend=np.zeros(1, C.U)).view(np.uint8).reshape(-1, 8).T
                 rows.append((s, zip_.compress(steps.tobytes()), zip_.compress(n.astype("<u4").tobytes())))
@@ -389,10 +481,8 @@ def _codes(train: DataFrame, model: Model, code_of) -> DataFrame:
 
         for batch in it:
             for _, _, buf, off in C.text_slices(batch.column(0)):
-                h, bounds = tokens(buf, off)
-                ids = model.number(h)
-                held.append(code_of(ids, before(ids, bounds, model.size), bounds))
-                size += len(held[-1][0])
+                held.append(code_of(*looked_up(model, buf, off)))
+                size += len(held[-1])
                 if size > GATHER:
                     yield flush()
                     held, size = [], 0
@@ -405,21 +495,22 @@ def _codes(train: DataFrame, model: Model, code_of) -> DataFrame:
 def _gathered(t: pa.Table, cutoff: int) -> tuple[np.ndarray, np.ndarray]:
     """All codes of a shard with their counts, those below the cutoff left out."""
     unzip = zstandard.ZstdDecompressor()
-    code, n = np.zeros(0, C.U), np.zeros(0, np.int64)
-    parts = [(c, m) for c, m in zip(t.column("codes"), t.column("counts")) if c.is_valid]
-    held: list[tuple[np.ndarray, np.ndarray]] = [(code, n)]
-    for c, m in parts:
-        steps = np.ascontiguousarray(np.frombuffer(unzip.decompress(c.as_py()), np.uint8).reshape(8, -1).T).view(C.U).ravel()
-        held.append((np.cumsum(steps, dtype=C.U), np.frombuffer(unzip.decompress(m.as_py()), "<u4").astype(np.int64)))
-        if sum(len(x) for x, _ in held) > GATHER:
-            held = [_summed(*(np.concatenate(x) for x in zip(*held)))]
-    code, n = _summed(*(np.concatenate(x) for x in zip(*held)))
+    runs, size = [(np.zeros(0, C.U), np.zeros(0, np.int64))], 0
+    for c, m in zip(t.column("codes"), t.column("counts")):
+        if c.is_valid:
+            steps = np.ascontiguousarray(np.frombuffer(unzip.decompress(c.as_py()), np.uint8).reshape(8, -1).T).view(C.U).ravel()
+            runs.append((np.cumsum(steps, dtype=C.U), np.frombuffer(unzip.decompress(m.as_py()), "<u4")))
+            size += len(steps)
+            # As many codes again as are summed already, so that a large shard isn't summed run by run.
+            if size > max(GATHER, len(runs[0][0])):
+                runs, size = [_summed(runs)], 0
+    code, n = _summed(runs)
     return code[n >= cutoff], n[n >= cutoff]
 
 
 def _level(context: np.ndarray, contexts: int, word: np.ndarray, n: np.ndarray, total: np.ndarray, lower: np.ndarray, bits: int) -> dict[str, np.ndarray]:
     """The arrays of a level: children sorted by (context, word); ``total`` per context, log10 ``lower`` order share per child."""
-    begin = np.searchsorted(context, np.arange(contexts + 1))
+    begin = np.concatenate([[0], np.cumsum(np.bincount(context, minlength=contexts))])
     ones, before = ef_build(begin)
     share = (n - DISCOUNT) / total[context] if len(n) else np.zeros(0)
     kept = np.bincount(context, share, contexts)
@@ -449,8 +540,9 @@ def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
     model = Model(folder, shards, total, _per_shard(rows, ["_order"], write_words, spark, shards))
     base = model.size + 1
 
-    def pairs(ids, v, bounds):
-        return model.word_shard(v), v.astype(C.U) * C.U(base) + ids.astype(C.U)
+    def pairs(ids, at, bounds):
+        v = np.append(ids, model.size)[before(at, bounds, len(ids))]
+        return v.astype(C.U) * C.U(base) + ids[at].astype(C.U)
 
     def write_bigrams(s: int, t: pa.Table) -> int:
         code, n = _gathered(t, cutoff)
@@ -464,27 +556,27 @@ def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
         save(folder, f"bigrams-{s}", level | {"count": n.astype(np.min_scalar_type(int(n.max(initial=0))))})
         return len(n)
 
-    bigrams = _per_shard(_codes(docs, model, pairs), [], write_bigrams, spark, shards)
-    model = Model(folder, shards, total, model.words, bigrams)
-    full = model
+    bigrams = _per_shard(_codes(docs, model, model.words[:-1].astype(C.U) * C.U(base), pairs), [], write_bigrams, spark, shards)
+    full = Model(folder, shards, total, model.words, bigrams)
 
-    def triples(ids, v, bounds):
-        pair = full.bigram(v, ids)
-        first = histories_of(pair, bounds[:-1])
-        use = np.flatnonzero((pair >= 0) & (first >= 0))
-        return full.pair_shard(first[use]), first[use].astype(C.U) * C.U(base) + ids[use].astype(C.U)
+    def triples(ids, at, bounds):
+        # The last word by the place of its bigram among those of the middle word, so that the bigram needn't be searched again.
+        of, pair, begin = full.bigrams_of(ids, at, bounds)
+        first = histories_of(pair[of], bounds[:-1])
+        last = (pair - begin)[of]
+        use = np.flatnonzero((pair[of] >= 0) & (first >= 0))
+        return first[use].astype(C.U) * C.U(base) + last[use].astype(C.U)
 
     def write_trigrams(s: int, t: pa.Table) -> int:
         code, n = _gathered(t, cutoff)
         first, last = int(full.bigrams[s]), int(full.bigrams[s + 1])
-        context, word = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
-        seen = full.of_pairs(np.arange(first, last), "count")
-        middle = full.of_pairs(context + first, "word")
-        lower = full.two(full.bigram(middle, word), middle, full.counts(word))
-        save(folder, f"trigrams-{s}", _level(context, last - first, word, n, seen, lower, full.bits))
+        context, place = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
+        seen, middle = full.of_pairs(np.arange(first, last), "count", "word")
+        word, lower = full.of_pairs(full.begins(middle)[context] + place, "word", "prob")
+        save(folder, f"trigrams-{s}", _level(context, last - first, word, n, seen, lower / STEPS, full.bits))
         return len(n)
 
-    _per_shard(_codes(docs, full, triples), [], write_trigrams, spark, shards)
+    _per_shard(_codes(docs, full, bigrams[:-1].astype(C.U) * C.U(base), triples), [], write_trigrams, spark, shards)
     return full
 
 
@@ -496,11 +588,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(it):
         for batch in it:
             for lo, hi, buf, off in C.text_slices(batch.column(0)):
-                h, bounds = tokens(buf, off)
-                ids = model.number(h)
+                ids, at, bounds = looked_up(model, buf, off)
                 count = model.counts(ids)
-                own = model.three(before(ids, bounds, model.size), ids, count, bounds[:-1])
-                known, base, own = (np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64), model.unigram(count), own))
+                alone = model.unigram(count)
+                own = model.three(ids, at, bounds, alone)
+                known, base, own = (np.add.reduceat(x, bounds[:-1]) for x in ((count > 0).astype(np.int64)[at], alone[at], own))
                 n = hi - lo
                 yield C.batches(schema, batch.column(1).slice(lo, n), np.diff(bounds), known, np.full(n, model.tokens), base, own)
 

@@ -412,6 +412,48 @@ def test_packed_numbers_and_pointers():
         assert (ngrams.ef_get(*ngrams.ef_build(pointers), np.arange(700)) == pointers).all()
 
 
+def test_children_are_found_in_few_reads(monkeypatch):
+    rng = np.random.default_rng(1)
+    size = 1 << 20
+    even = np.sort(rng.choice(size, 100_000, replace=False))
+    # The last context's numbers lie as unevenly as can be.
+    uneven = np.unique(np.concatenate([np.arange(3000), (1 << np.arange(20)) - 1, [size - 1]]))
+    word, begin = np.concatenate([even, uneven]), np.array([0, 0, len(even), len(even), len(even) + len(uneven)])
+    ones, before = ngrams.ef_build(begin)
+    level = {"ones": ones, "before": before, "word": ngrams.pack_ints(word, 21)}
+    reads, unpack = [], ngrams.unpack_at
+    monkeypatch.setattr(ngrams, "unpack_at", lambda packed, at, bits: reads.append(len(at)) or unpack(packed, at, bits))
+
+    def search(context, wanted):
+        reads.clear()
+        return ngrams.children(level, np.full(len(wanted), context), wanted, 21, size)[0]
+
+    assert (search(1, even) == np.arange(len(even))).all()
+    assert sum(reads) < 6 * len(even)  # halving alone reads 17 times a word
+    absent = np.setdiff1d(np.arange(size), even)[::7]
+    assert (search(1, absent) == -1).all()
+    assert (search(3, uneven) == len(even) + np.arange(len(uneven))).all() and len(reads) < 60
+    assert (search(0, even[:9]) == -1).all() and (search(2, even[:9]) == -1).all()
+
+
+def test_codes_are_counted_and_placed():
+    rng = np.random.default_rng(2)
+    for top, bits in ((50, 6), (1 << 45, 45), (1 << 62, 62)):
+        code = rng.integers(0, top, 3000)
+        code[::3] = code[0]
+        for got, want in zip(ngrams.distinct(code, bits), np.unique(code, return_inverse=True)):
+            assert (got == want).all()
+    runs = [np.unique(rng.integers(0, 900, n).astype(np.uint64), return_counts=True) for n in (0, 1, 500, 3000)]
+    code, n = ngrams._summed(runs)
+    want = collections.Counter()
+    for c, m in runs:
+        want.update(dict(zip(c.tolist(), m.tolist())))
+    assert dict(zip(code.tolist(), n.tolist())) == want and (np.diff(code.astype(np.int64)) > 0).all()
+    pointers = np.sort(rng.integers(0, 5000, 700))
+    begin, end = ngrams.ef_range(*ngrams.ef_build(pointers), np.arange(699))
+    assert (begin == pointers[:-1]).all() and (end == pointers[1:]).all()
+
+
 def test_scores_against_a_plain_model(documents, odd):
     both = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text").filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).selectExpr("doc_id + 5000 as doc_id", "text"))
     train = both.filter(~ngrams.held_out(both["doc_id"]))
