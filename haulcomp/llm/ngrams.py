@@ -10,7 +10,8 @@ children begin (Elias-Fano: one bit per child and context, a directory of ones),
 their context, packed to the bits of the vocabulary, and log10 probabilities and back-off weights in 16 bits. Shards are
 files in the shared folder that tasks map into memory; a query selects the pointers of its
 context and searches the word between them from where its number lets expect it, for all distinct n-grams of a slice at once, in order.
-Shards grow in number with the training tokens (``SHARD_TOKENS`` each), so no task holds the counts of the corpus.
+Shards grow in number with the training tokens (``SHARD_TOKENS`` each), so no task holds the counts of the corpus. They stand
+one after the other in at most ``FILES`` files, each searched at once, so that a slice's cost doesn't grow with their number.
 
 Texts are split at white space after lower-casing A-Z, and end with one end token. Null or empty texts are
 the end token alone. Rows are independent when scored; repeated rows count as often as they stand when trained. A
@@ -42,6 +43,8 @@ from haulcomp.llm.jaccard import sorted_groups
 CUTOFF, DISCOUNT = 2, 0.75
 #: Training tokens per shard; codes gathered in a task before they are summed; steps per unit of log10.
 SHARD_TOKENS, GATHER, STEPS = 4_000_000, 4_000_000, 2048
+#: Files of a level.
+FILES = 64
 END_HASH = 0x5BF03635F0A2D1E7
 UNKNOWN = -1
 
@@ -118,18 +121,6 @@ def ef_get(words: np.ndarray, directory: np.ndarray, i: np.ndarray) -> np.ndarra
     return at * 64 + place - i
 
 
-def ef_range(words: np.ndarray, directory: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The pointers at the given places and at the places after them."""
-    at, place = _ef_one(words, directory, i)
-    begin = at * 64 + place - i
-    # Zeros up to the next one, which mostly stands in the same word.
-    rest = (words[at] >> place.astype(C.U)) >> C.U(1)
-    end = begin + np.bitwise_count((rest & -rest) - C.U(1))
-    far = np.flatnonzero(rest == 0)
-    end[far] = ef_get(words, directory, i[far] + 1)
-    return begin, end
-
-
 def distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of ``bits`` bits in order, and the place of each code among them."""
     low = len(code).bit_length()
@@ -149,31 +140,83 @@ def distinct(code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 # ---- files ----------------------------------------------------------------------------------
 
 
-def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Arrays in one file, put in place as a whole, so that a second attempt of a task does no harm."""
-    store, path = arrow_fs.FileSystem.from_uri(folder)
-    store.create_dir(path, recursive=True)
-    head, at, parts = {}, 0, []
-    for key, a in arrays.items():
-        raw = np.ascontiguousarray(a).tobytes()
-        raw += bytes(-len(raw) % 8)
-        head[key] = (str(a.dtype), at, len(a))
-        at += len(raw)
-        parts.append(raw)
-    top = json.dumps(head).encode()
-    top += b" " * (-(len(top) + 8) % 8)
-    temporary = f"{path}/.{name}-{uuid.uuid4().hex}"
-    with store.open_output_stream(temporary) as out:
-        for raw in (len(top).to_bytes(8, "little"), top, *parts):
-            out.write(raw)
-    store.move(temporary, f"{path}/{name}")
-
-
-_mapped: dict[tuple[str, str], dict[str, np.ndarray]] = {}
-
-
-def load(folder: str, name: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, mapped into memory once per worker; a file that isn't local is copied beside the worker first."""
+class Writer:
+    """A file of shards, one after the other; put in place as a whole, so that a second attempt of a task does no harm."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        self.store, path = arrow_fs.FileSystem.from_uri(folder)
+        self.store.create_dir(path, recursive=True)
+        self.temporary, self.path = f"{path}/.{name}-{uuid.uuid4().hex}", f"{path}/{name}"
+        self.out, self.at, self.heads = self.store.open_output_stream(self.temporary), 0, []
+
+    def add(self, arrays: dict[str, np.ndarray]) -> None:
+        head = {}
+        for key, a in arrays.items():
+            raw = np.ascontiguousarray(a).tobytes()
+            head[key] = (str(a.dtype), self.at, len(a))
+            raw += bytes(-len(raw) % 8)
+            self.out.write(raw)
+            self.at += len(raw)
+        self.heads.append(head)
+
+    def close(self) -> None:
+        top = json.dumps(self.heads).encode()
+        top += b" " * (-len(top) % 8)
+        self.out.write(top)
+        self.out.write(len(top).to_bytes(8, "little"))
+        self.out.close()
+        self.store.move(self.temporary, self.path)
+
+
+class File:
+    """The arrays of each shard of a mapped file, and the file as one array with the bytes at which they begin."""
+
+    def __init__(self, data: mmap.mmap) -> None:
+        top = int.from_bytes(data[-8:], "little")
+        heads = json.loads(data[-8 - top : -8])
+        self.shards = [{k: np.frombuffer(data, t, n, at) for k, (t, at, n) in head.items()} for head in heads]
+        self.begin = {k: np.array([head[k][1] for head in heads]) for k in heads[0]}
+        self.words, self.shorts = np.frombuffer(data, "<u8"), np.frombuffer(data, "<i2")
+        # Eight bytes from any byte on.
+        self.wide = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+
+    def short(self, key: str, shard: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.shorts[(self.begin[key][shard] >> 1) + at]
+
+    def unpack(self, key: str, shard: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+        bit = at * bits
+        return ((self.wide[self.begin[key][shard] + (bit >> 3)] >> (bit & 7).astype(C.U)) & C.U((1 << bits) - 1)).astype(np.int64)
+
+    def _one(self, shard: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, its bits, place in it) of the ones with the given ranks."""
+        at, rank = np.empty(len(i), np.int64), np.empty(len(i), np.int64)
+        cut = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(i)]
+        for lo, hi in zip(cut[:-1], cut[1:]):
+            if lo < hi:
+                directory = self.shards[shard[lo]]["before"]
+                found = np.searchsorted(directory, i[lo:hi].astype(directory.dtype), "right") - 1
+                at[lo:hi], rank[lo:hi] = found, directory[found]
+        word = self.words[(self.begin["ones"][shard] >> 3) + at]
+        return at, word, _select_in_word(word, i - rank)
+
+    def ranges(self, shard: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pointers at the given places of shards, and at the places after them."""
+        at, word, place = self._one(shard, i)
+        begin = at * 64 + place - i
+        # Zeros up to the next one, which mostly stands in the same word.
+        rest = (word >> place.astype(C.U)) >> C.U(1)
+        end = begin + np.bitwise_count((rest & -rest) - C.U(1))
+        far = np.flatnonzero(rest == 0)
+        at, _, place = self._one(shard[far], i[far] + 1)
+        end[far] = at * 64 + place - i[far] - 1
+        return begin, end
+
+
+_mapped: dict[tuple[str, str], File] = {}
+
+
+def load(folder: str, name: str) -> File:
+    """A file, mapped into memory once per worker; one that isn't local is copied beside the worker first."""
     key = (folder, name)
     if key not in _mapped:
         store, path = arrow_fs.FileSystem.from_uri(folder)
@@ -184,12 +227,9 @@ def load(folder: str, name: str) -> dict[str, np.ndarray]:
                     copy.write(chunk)
             local = copy.name
         with open(local, "rb") as f:
-            data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            _mapped[key] = File(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         if local != f"{path}/{name}":
             os.unlink(local)
-        top = int.from_bytes(data[:8], "little")
-        head = json.loads(data[8 : 8 + top])
-        _mapped[key] = {k: np.frombuffer(data, t, n, 8 + top + at) for k, (t, at, n) in head.items()}
     return _mapped[key]
 
 
@@ -212,6 +252,14 @@ class Model:
     def bits(self) -> int:
         return max(1, int(self.size).bit_length())
 
+    @property
+    def per_file(self) -> int:
+        return max(1, self.shards // FILES)
+
+    def level(self, kind: str, shard: int) -> dict[str, np.ndarray]:
+        """The arrays of a shard."""
+        return load(self.folder, f"{kind}-{shard // self.per_file}").shards[shard % self.per_file]
+
     def shard_of(self, hashes: np.ndarray) -> np.ndarray:
         return (hashes >> C.U(65 - self.shards.bit_length())).astype(np.int64) if self.shards > 1 else np.zeros(len(hashes), np.int64)
 
@@ -227,7 +275,7 @@ class Model:
         """Word numbers, UNKNOWN for words not seen in training; numbers are in the order of the hashes."""
         out = np.full(len(hashes), UNKNOWN, np.int64)
         for s, part in self._by_shard(self.shard_of(hashes)):
-            known = load(self.folder, f"words-{s}")["hash"]
+            known = self.level("words", s)["hash"]
             if len(known):
                 at = np.minimum(np.searchsorted(known, hashes[part]), len(known) - 1)
                 hit = known[at] == hashes[part]
@@ -242,7 +290,7 @@ class Model:
         out = np.zeros(len(word), np.int64)
         known = np.flatnonzero((word >= 0) & (word < self.size))
         for s, part in self._by_shard(self.word_shard(word[known])):
-            out[known[part]] = load(self.folder, f"words-{s}")["count"][word[known[part]] - self.words[s]]
+            out[known[part]] = self.level("words", s)["count"][word[known[part]] - self.words[s]]
         return out
 
     def unigram(self, count: np.ndarray) -> np.ndarray:
@@ -252,9 +300,10 @@ class Model:
         """(numbers of the bigrams (u, v), UNKNOWN where none is kept; the number with which those of u begin), for bigrams in order."""
         number, begin = np.full(len(u), UNKNOWN, np.int64), np.full(len(u), UNKNOWN, np.int64)
         use = np.flatnonzero((u >= 0) & (v >= 0))
-        for s, part in self._by_shard(self.word_shard(u[use])):
-            at = use[part]
-            got, first = children(load(self.folder, f"bigrams-{s}"), u[at] - self.words[s], v[at], self.bits, self.size)
+        shard = self.word_shard(u[use])
+        for f, part in self._by_shard(shard // self.per_file):
+            at, s = use[part], shard[part]
+            got, first = children(load(self.folder, f"bigrams-{f}"), s % self.per_file, u[at] - self.words[s], v[at], self.bits, self.size)
             number[at] = np.where(got >= 0, got + self.bigrams[s], UNKNOWN)
             begin[at] = first + self.bigrams[s]
         return number, begin
@@ -270,18 +319,21 @@ class Model:
         one, back = distinct(u, self.bits)
         out = np.zeros(len(one), np.int64)
         for s, part in self._by_shard(self.word_shard(one)):
-            level = load(self.folder, f"bigrams-{s}")
+            level = self.level("bigrams", s)
             out[part] = ef_get(level["ones"], level["before"], one[part] - self.words[s]) + self.bigrams[s]
         return out[back]
 
     def trigram(self, pair: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(log10 probability or nan, log10 back-off) of w after each bigram number, for trigrams in order."""
         prob, back = np.full(len(pair), np.nan), np.zeros(len(pair))
-        for s, part in self._by_shard(self.pair_shard(pair)):
-            level, own = load(self.folder, f"trigrams-{s}"), pair[part] - self.bigrams[s]
-            back[part] = level["back"][own] / STEPS
-            got = children(level, own, w[part], self.bits, self.size)[0]
-            prob[part[got >= 0]] = level["prob"][got[got >= 0]] / STEPS
+        shard = self.pair_shard(pair)
+        for f, part in self._by_shard(shard // self.per_file):
+            file, s = load(self.folder, f"trigrams-{f}"), shard[part]
+            own, s = pair[part] - self.bigrams[s], s % self.per_file
+            back[part] = file.short("back", s, own) / STEPS
+            got = children(file, s, own, w[part], self.bits, self.size)[0]
+            hit = np.flatnonzero(got >= 0)
+            prob[part[hit]] = file.short("prob", s[hit], got[hit]) / STEPS
         return prob, back
 
     def pair_shard(self, pair: np.ndarray) -> np.ndarray:
@@ -291,7 +343,7 @@ class Model:
         """Stored values of each bigram number."""
         out = [np.zeros(len(pair), np.int64) for _ in what]
         for s, part in self._by_shard(self.pair_shard(pair)):
-            level, own = load(self.folder, f"bigrams-{s}"), pair[part] - self.bigrams[s]
+            level, own = self.level("bigrams", s), pair[part] - self.bigrams[s]
             for values, name in zip(out, what):
                 values[part] = unpack_at(level["word"], own, self.bits) if name == "word" else level[name][own]
         return out
@@ -300,7 +352,7 @@ class Model:
         out = np.zeros(len(u))
         use = np.flatnonzero(u >= 0)
         for s, part in self._by_shard(self.word_shard(u[use])):
-            out[use[part]] = load(self.folder, f"bigrams-{s}")["back"][u[use[part]] - self.words[s]] / STEPS
+            out[use[part]] = self.level("bigrams", s)["back"][u[use[part]] - self.words[s]] / STEPS
         return out
 
     def two(self, pair: np.ndarray, v: np.ndarray, alone: np.ndarray) -> np.ndarray:
@@ -334,20 +386,20 @@ def histories_of(pair: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def children(level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the words among the children of their contexts, -1 where they are none; where those children begin).
+def children(file: File, shard: np.ndarray, context: np.ndarray, word: np.ndarray, bits: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the words among the children of their contexts in shards of a file, -1 where they are none; where those children begin).
 
     A search between two pointers. Words are numbered below ``size`` by their hashes, so a context's children lie evenly and a
     word's place is guessed from its number; every fourth step halves, whatever the numbers.
     """
     # Words come in order of their contexts: the pointers of a context are read once.
     new = np.ones(len(context), bool)
-    new[1:] = context[1:] != context[:-1]
+    new[1:] = (context[1:] != context[:-1]) | (shard[1:] != shard[:-1])
     of = np.cumsum(new) - 1
-    begin, end = (p[of] for p in ef_range(level["ones"], level["before"], context[new]))
+    begin, end = (p[of] for p in file.ranges(shard[new], context[new]))
     out = np.full(len(context), -1, np.int64)
     row = np.flatnonzero((begin < end) & (word >= 0))
-    lo, hi, want = begin[row], end[row], word[row]
+    lo, hi, want, shard = begin[row], end[row], word[row], shard[row]
     # The children from lo to before hi are numbered from least to most.
     least, most, step = np.zeros(len(row), np.int64), np.full(len(row), size, np.int64), 0
     while len(row):
@@ -356,14 +408,14 @@ def children(level: dict[str, np.ndarray], context: np.ndarray, word: np.ndarray
             mid = lo + ((want - least) * ((hi - lo) / (most - least + 1))).astype(np.int64)
         else:
             mid = (lo + hi) >> 1
-        got = unpack_at(level["word"], mid, bits)
+        got = file.unpack("word", shard, mid, bits)
         hit = got == want
         out[row[hit]] = mid[hit]
         less = got < want
         lo, least = np.where(less, mid + 1, lo), np.where(less, got + 1, least)
         hi, most = np.where(less, hi, mid), np.where(less, most, got - 1)
         left = np.flatnonzero((lo < hi) & ~hit & (want >= least) & (want <= most))
-        row, lo, hi, want, least, most = (x[left] for x in (row, lo, hi, want, least, most))
+        row, shard, lo, hi, want, least, most = (x[left] for x in (row, shard, lo, hi, want, least, most))
     return out, begin
 
 
@@ -445,17 +497,25 @@ def count_words(train: DataFrame) -> DataFrame:
     return C.map_arrow(train.select("text"), run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _per_shard(rows: DataFrame, order: list[str], write, spark: SparkSession, shards: int) -> np.ndarray:
-    """Run ``write(shard, table)`` for each shard's rows; returns where each shard's numbers begin, and the total."""
+def _per_shard(rows: DataFrame, order: list[str], write, spark: SparkSession, folder: str, kind: str, shards: int) -> np.ndarray:
+    """Write the arrays of ``write(shard, table)`` for each shard's rows; returns where each shard's numbers (as many as ``write`` says) begin, and the total."""
+    per = max(1, shards // FILES)
 
     def run(it):
+        file = None
         for t in sorted_groups(it, 1):
             s = t.column(0)[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([write(s, t)], pa.int64())], names=["shard", "n"])
-
-    # A row without content for each shard, so that every shard has its file.
+            file = file or Writer(folder, f"{kind}-{s // per}")
+            arrays, n = write(s, t)
+            file.add(arrays)
+            if (s + 1) % per == 0:
+                file.close()
+                file = None
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([n], pa.int64())], names=["shard", "n"])
+
+    # A row without content for each shard, so that every shard stands in its file.
     none = spark.range(shards).select(F.col("id").cast("int").alias("shard"), *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns[1:]])
-    spread = rows.unionByName(none).repartition(min(shards, C.parts_of(spark)), "shard").sortWithinPartitions("shard", *order)
+    spread = rows.unionByName(none).repartition(min(shards // per, C.parts_of(spark)), F.floor(F.col("shard") / per)).sortWithinPartitions("shard", *order)
     sizes = {r.shard: r.n for r in C.map_arrow(spread, run, "shard int, n bigint").collect()}
     return np.concatenate([[0], np.cumsum([sizes[s] for s in range(shards)])]).astype(np.int64)
 
@@ -532,19 +592,18 @@ def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
     top = F.shiftrightunsigned("hash", 65 - shards.bit_length()).cast("int")
     rows = words.select(top.alias("shard"), F.col("hash").bitwiseXOR(F.lit(-(2**63))).alias("_order"), "hash", "n")
 
-    def write_words(s: int, t: pa.Table) -> int:
+    def write_words(s: int, t: pa.Table) -> tuple[dict[str, np.ndarray], int]:
         t = t.filter(t.column("hash").is_valid())
-        save(folder, f"words-{s}", {"hash": t.column("hash").to_numpy().view(C.U), "count": t.column("n").to_numpy()})
-        return t.num_rows
+        return {"hash": t.column("hash").to_numpy().view(C.U), "count": t.column("n").to_numpy()}, t.num_rows
 
-    model = Model(folder, shards, total, _per_shard(rows, ["_order"], write_words, spark, shards))
+    model = Model(folder, shards, total, _per_shard(rows, ["_order"], write_words, spark, folder, "words", shards))
     base = model.size + 1
 
     def pairs(ids, at, bounds):
         v = np.append(ids, model.size)[before(at, bounds, len(ids))]
         return v.astype(C.U) * C.U(base) + ids[at].astype(C.U)
 
-    def write_bigrams(s: int, t: pa.Table) -> int:
+    def write_bigrams(s: int, t: pa.Table) -> tuple[dict[str, np.ndarray], int]:
         code, n = _gathered(t, cutoff)
         first, last = int(model.words[s]), int(model.words[s + 1]) + (s == shards - 1)
         context, word = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
@@ -553,10 +612,9 @@ def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
             seen[-1] = n_docs
         level = _level(context, last - first, word, n, seen, model.unigram(model.counts(word)), model.bits)
         # Trigrams are shares of their bigram's count, in as many bytes as the greatest needs.
-        save(folder, f"bigrams-{s}", level | {"count": n.astype(np.min_scalar_type(int(n.max(initial=0))))})
-        return len(n)
+        return level | {"count": n.astype(np.min_scalar_type(int(n.max(initial=0))))}, len(n)
 
-    bigrams = _per_shard(_codes(docs, model, model.words[:-1].astype(C.U) * C.U(base), pairs), [], write_bigrams, spark, shards)
+    bigrams = _per_shard(_codes(docs, model, model.words[:-1].astype(C.U) * C.U(base), pairs), [], write_bigrams, spark, folder, "bigrams", shards)
     full = Model(folder, shards, total, model.words, bigrams)
 
     def triples(ids, at, bounds):
@@ -567,16 +625,15 @@ def train_model(docs: DataFrame, folder: str, cutoff: int = CUTOFF) -> Model:
         use = np.flatnonzero((pair[of] >= 0) & (first >= 0))
         return first[use].astype(C.U) * C.U(base) + last[use].astype(C.U)
 
-    def write_trigrams(s: int, t: pa.Table) -> int:
+    def write_trigrams(s: int, t: pa.Table) -> tuple[dict[str, np.ndarray], int]:
         code, n = _gathered(t, cutoff)
         first, last = int(full.bigrams[s]), int(full.bigrams[s + 1])
         context, place = (code // C.U(base)).astype(np.int64) - first, (code % C.U(base)).astype(np.int64)
         seen, middle = full.of_pairs(np.arange(first, last), "count", "word")
         word, lower = full.of_pairs(full.begins(middle)[context] + place, "word", "prob")
-        save(folder, f"trigrams-{s}", _level(context, last - first, word, n, seen, lower / STEPS, full.bits))
-        return len(n)
+        return _level(context, last - first, word, n, seen, lower / STEPS, full.bits), len(n)
 
-    _per_shard(_codes(docs, full, bigrams[:-1].astype(C.U) * C.U(base), triples), [], write_trigrams, spark, shards)
+    _per_shard(_codes(docs, full, bigrams[:-1].astype(C.U) * C.U(base), triples), [], write_trigrams, spark, folder, "trigrams", shards)
     return full
 
 

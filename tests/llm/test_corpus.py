@@ -412,21 +412,25 @@ def test_packed_numbers_and_pointers():
         assert (ngrams.ef_get(*ngrams.ef_build(pointers), np.arange(700)) == pointers).all()
 
 
-def test_children_are_found_in_few_reads(monkeypatch):
+def test_children_are_found_in_few_reads(monkeypatch, tmp_path):
     rng = np.random.default_rng(1)
     size = 1 << 20
     even = np.sort(rng.choice(size, 100_000, replace=False))
     # The last context's numbers lie as unevenly as can be.
     uneven = np.unique(np.concatenate([np.arange(3000), (1 << np.arange(20)) - 1, [size - 1]]))
     word, begin = np.concatenate([even, uneven]), np.array([0, 0, len(even), len(even), len(even) + len(uneven)])
-    ones, before = ngrams.ef_build(begin)
-    level = {"ones": ones, "before": before, "word": ngrams.pack_ints(word, 21)}
-    reads, unpack = [], ngrams.unpack_at
-    monkeypatch.setattr(ngrams, "unpack_at", lambda packed, at, bits: reads.append(len(at)) or unpack(packed, at, bits))
+    writer = ngrams.Writer(tmp_path.as_uri(), "level-0")
+    for places in (np.array([0, 3, 3]), begin):
+        ones, before = ngrams.ef_build(places)
+        writer.add({"ones": ones, "before": before, "word": ngrams.pack_ints(word[: places[-1]], 21)})
+    writer.close()
+    file = ngrams.load(tmp_path.as_uri(), "level-0")
+    reads, unpack = [], file.unpack
+    monkeypatch.setattr(file, "unpack", lambda key, shard, at, bits: reads.append(len(at)) or unpack(key, shard, at, bits))
 
     def search(context, wanted):
         reads.clear()
-        return ngrams.children(level, np.full(len(wanted), context), wanted, 21, size)[0]
+        return ngrams.children(file, np.ones(len(wanted), int), np.full(len(wanted), context), wanted, 21, size)[0]
 
     assert (search(1, even) == np.arange(len(even))).all()
     assert sum(reads) < 6 * len(even)  # halving alone reads 17 times a word
@@ -434,6 +438,9 @@ def test_children_are_found_in_few_reads(monkeypatch):
     assert (search(1, absent) == -1).all()
     assert (search(3, uneven) == len(even) + np.arange(len(uneven))).all() and len(reads) < 60
     assert (search(0, even[:9]) == -1).all() and (search(2, even[:9]) == -1).all()
+    # Two shards of a file at once.
+    got, first = ngrams.children(file, np.array([0, 0, 1, 1]), np.array([0, 1, 1, 3]), np.array([*even[:2], even[7], uneven[4]]), 21, size)
+    assert got.tolist() == [0, -1, 7, len(even) + 4] and first.tolist() == [0, 3, 0, len(even)]
 
 
 def test_codes_are_counted_and_placed():
@@ -449,9 +456,16 @@ def test_codes_are_counted_and_placed():
     for c, m in runs:
         want.update(dict(zip(c.tolist(), m.tolist())))
     assert dict(zip(code.tolist(), n.tolist())) == want and (np.diff(code.astype(np.int64)) > 0).all()
-    pointers = np.sort(rng.integers(0, 5000, 700))
-    begin, end = ngrams.ef_range(*ngrams.ef_build(pointers), np.arange(699))
-    assert (begin == pointers[:-1]).all() and (end == pointers[1:]).all()
+
+
+def test_scores_do_not_depend_on_shards_and_files(documents, monkeypatch):
+    few = documents.select("doc_id", "text").limit(60).localCheckpoint()
+    model = ngrams.train_model(few, common.fresh_folder(few.sparkSession, "test-ngrams"), 1)
+    want = {tuple(r) for r in ngrams.score(few, model).collect()}
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", model.tokens // 100)
+    many = ngrams.train_model(few, common.fresh_folder(few.sparkSession, "test-ngrams"), 1)
+    assert (model.shards, many.shards, many.per_file) == (8, 128, 2)
+    assert {tuple(r) for r in ngrams.score(few, many).collect()} == want
 
 
 def test_scores_against_a_plain_model(documents, odd):
