@@ -2,23 +2,27 @@
 
 Rows of a stratum are numbered without bringing the stratum together: they are ordered by
 a hash, counted by hash prefix, and numbered within each prefix. Donors are written once as
-blocks, the hauls of 2 ** ``BLOCK_BITS`` consecutive numbers in an array: a taker finds its donor by (stratum, block) and
-place. The table of blocks is small, a few bytes a row, so Spark may send it to all tasks and takers stay where they
-are; otherwise takers spread evenly over the blocks, whatever the stratum's size.
+blocks, the hauls of 2 ** ``BLOCK_BITS`` consecutive numbers in an array.
 
 ``bootstrapped_rows`` draws hauls once and lengths in the same pass: a new haul's takers become one row, which holds both their lengths and
 their draws. New hauls of donors with more than ``BIG`` rows draw by running counts instead, spread over salts.
+
+What is moved for it is each row once, however many replicates there are: rows and donors of a stratum go to one task, and that task makes
+the replicates, finds the donors and puts the new hauls together. A stratum of more than ``LARGE`` rows takes its own road: a taker finds
+its donor by (stratum, block) and place, so takers spread evenly over the blocks, and are then dealt out by their new haul.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED, draw_bits, index_of, key_text
-from haulcomp.functions.rules import KH, REPLICATE, K, explode_spread
+from haulcomp.functions.rules import KH, REPLICATE, K, explode_spread, explode_to
 from haulcomp.operators.sampling import Run, with_runs, with_sims
 from haulcomp.session import stage
 
@@ -31,6 +35,13 @@ SALTS = 16
 # Bits of a donor's place in its block, and rows of a haul up to which its new hauls are put together in one row each.
 BLOCK_BITS = 13
 BIG = 50_000
+# Rows of a stratum up to which one task draws for it, and the takers (rows x replicates) of a stratum made at a time.
+LARGE = 1_000_000
+STRATUM_TAKERS = 16_000_000
+# Takers per task on average.
+TASK_TAKERS = 2_000_000
+# Copies of a row that are made where the row is.
+COPIES = 16_384
 
 
 def row_blocks(lfreq: DataFrame) -> DataFrame:
@@ -38,9 +49,8 @@ def row_blocks(lfreq: DataFrame) -> DataFrame:
 
     Rows are ordered by (md5 of the row, row).
     """
-    rows = lfreq.groupBy(*K, *ROW).agg(F.count(F.lit(1)).alias("copies"))
-    rows = rows.withColumn("_hash", F.md5(key_text(*[F.col(c) for c in ROW])))
-    rows = rows.withColumn("_prefix", F.substring("_hash", 1, PREFIX))
+    row_hash = F.md5(key_text(*[F.col(c) for c in ROW]))
+    rows = lfreq.groupBy(*K, *ROW).agg(F.count(F.lit(1)).alias("copies")).withColumn("_prefix", F.substring(row_hash, 1, PREFIX))
     prefixes = rows.groupBy(*K, "_prefix").agg(F.sum("copies").alias("_copies"))
     earlier = Window.partitionBy(*K).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = prefixes.select(
@@ -50,47 +60,91 @@ def row_blocks(lfreq: DataFrame) -> DataFrame:
         F.sum("_copies").over(Window.partitionBy(*K)).alias("n"),
     )
     within = Window.partitionBy(*K, "_prefix").orderBy("_hash", *ROW).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_within", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+    # Moved once, without the hash, to where both the window and the join find them.
+    rows = rows.repartition(*K, "_prefix").withColumn("_hash", row_hash)
+    rows = rows.withColumn("_within", F.coalesce(F.sum("copies").over(within), F.lit(0))).drop("_hash")
     joined = rows.join(offsets, [*K, "_prefix"])
     return joined.select(*K, *ROW, "copies", (F.col("_before") + F.col("_within")).alias("start"), "n")
 
 
+@dataclass(frozen=True)
+class Numbered:
+    """Length rows with their ``ordinal`` 1..n in their stratum: their number, and the rows of the largest stratum."""
+
+    rows: DataFrame
+    total: int
+    most: int
+
+
+def _numbered(lfreq: DataFrame) -> Numbered:
+    """The rows that ``row_blocks`` stands for; the blocks are staged, the rows are not."""
+    blocks = stage(row_blocks(lfreq), "numbered-rows")
+    size = blocks.agg(F.sum("copies").alias("total"), F.max("n").alias("most"), F.max("copies").alias("copies")).first()
+    few = blocks.filter(F.col("copies") <= COPIES)
+    rows = explode_to(few, F.col("copies"), "_copy", COPIES)
+    if (size.copies or 0) <= 1:
+        rows = blocks.withColumn("_copy", F.lit(1))
+    elif size.copies > COPIES:
+        rows = rows.unionByName(explode_spread(blocks.filter(F.col("copies") > COPIES), F.col("copies"), "_copy"))
+    rows = rows.withColumn("ordinal", F.col("start") + F.col("_copy")).drop("start", "_copy", "copies")
+    return Numbered(rows, size.total or 0, size.most or 0)
+
+
 def numbered_rows(lfreq: DataFrame) -> DataFrame:
     """Every length row with its ``ordinal`` 1..n in its stratum."""
-    rows = explode_spread(row_blocks(lfreq), F.col("copies"), "_copy")
-    return rows.withColumn("ordinal", F.col("start") + F.col("_copy")).drop("start", "_copy", "copies")
+    return _numbered(lfreq).rows
 
 
-def donor_blocks(rows: DataFrame) -> DataFrame:
-    """The hauls of numbered rows by stratum and ``_block`` of consecutive numbers, staged; ``_big`` marks those with many rows."""
+def donor_blocks(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """The hauls of numbered rows by stratum and ``_block`` of consecutive numbers, staged; ``_big`` marks those with many rows.
+
+    Tells too whether there are such hauls.
+    """
     # At most one in BIG rows.
     big = stage(rows.groupBy(*KH).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BIG).drop("_n"), "big-hauls")
-    marked = rows.withColumn("_big", F.lit(False))
-    if not big.isEmpty():
+    marked, any_big = rows.withColumn("_big", F.lit(False)), not big.isEmpty()
+    if any_big:
         marked = rows.join(big.withColumn("_big", F.lit(True)), KH, "left").fillna({"_big": False})
     donor = F.sort_array(F.collect_list(F.struct("ordinal", "hauljoin", "_big")))
-    blocks = marked.groupBy(*K, F.shiftright(F.col("ordinal") - 1, BLOCK_BITS).alias("_block")).agg(donor.alias("_d"))
-    return stage(blocks.select(*K, "_block", F.col("_d.hauljoin").alias("_hauls"), F.col("_d._big").alias("_bigs")), "donors")
+    blocks = marked.groupBy(*K, F.shiftright(F.col("ordinal") - 1, BLOCK_BITS).alias("_block")).agg(donor.alias("_d"), F.max("n").alias("n"))
+    return stage(blocks.select(*K, "_block", "n", F.col("_d.hauljoin").alias("_hauls"), F.col("_d._big").alias("_bigs")), "donors"), any_big
 
 
-def _drawn_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int) -> DataFrame:
-    """``bootstrap_hauls`` with ``_big``. The numbered rows are both takers and donors, so they are staged."""
-    rows = stage(numbered_rows(lfreq), "numbered-rows")
-    donors = donor_blocks(rows)
-    takers = with_sims(with_runs(rows.drop("hauljoin"), runs))
+def _donor_number(seed: int) -> Column:
+    """The number, from 0, of the row whose haul a row gets."""
     who = [F.col(c) for c in [*REPS, *K, "ordinal"]]
     # Never missing (n is 1 at least), and the plan can tell: a test for it below the join would hash every row again.
-    drawn = F.coalesce(index_of(draw_bits(seed, "haul", *who), F.col("n")) - 1, F.lit(0).cast("bigint"))
-    takers = takers.withColumn("_drawn", drawn).drop("n")
-    met = takers.withColumn("_block", F.shiftright("_drawn", BLOCK_BITS)).join(donors, [*K, "_block"])
+    return F.coalesce(index_of(draw_bits(seed, "haul", *who), F.col("n")) - 1, F.lit(0).cast("bigint"))
+
+
+DRAWN = [*REPS, *K, "hauljoin", "ordinal", "sex", "length", "frequency", "_big"]
+
+
+def _drawn_by_block(rows: DataFrame, donors: DataFrame, runs: Sequence[Run], seed: int) -> DataFrame:
+    """``bootstrap_hauls`` with ``_big``, for strata of any size."""
+    takers = with_sims(with_runs(rows.drop("hauljoin"), runs))
+    takers = takers.withColumn("_drawn", _donor_number(seed)).drop("n")
+    met = takers.withColumn("_block", F.shiftright("_drawn", BLOCK_BITS)).join(donors.drop("n"), [*K, "_block"])
     place = F.col("_drawn").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
-    haul, big = F.get("_hauls", place).alias("hauljoin"), F.get("_bigs", place).alias("_big")
-    return met.select(*REPS, *K, haul, "ordinal", "sex", "length", "frequency", big)
+    return met.withColumns({"hauljoin": F.get("_hauls", place), "_big": F.get("_bigs", place)}).select(*DRAWN)
+
+
+def _drawn_in_stratum(rows: DataFrame, donors: DataFrame, reps: Sequence[tuple[int, int, int]], seed: int, tasks: int) -> DataFrame:
+    """The same for the replicates (run, ss, sim), made where the rows of their stratum are; stays partitioned by stratum."""
+    blocks = F.sort_array(F.collect_list(F.struct("_block", "_hauls", "_bigs")))
+    whole = donors.repartition(tasks, *K).groupBy(*K).agg(blocks.alias("_d"))
+    whole = whole.select(*K, F.flatten("_d._hauls").alias("_hauls"), F.flatten("_d._bigs").alias("_bigs"))
+    # The arrays of a stratum stand beside each of its rows without being copied: the rows leave with what they found there.
+    met = rows.drop("hauljoin").repartition(tasks, *K).join(whole, K)
+    each = [F.struct(*[F.lit(v).alias(c) for c, v in zip(REPS, rep)]) for rep in reps]
+    takers = met.select("*", F.inline(F.array(*each))).withColumn("_drawn", _donor_number(seed).cast("int"))
+    return takers.withColumns({"hauljoin": F.get("_hauls", F.col("_drawn")), "_big": F.get("_bigs", F.col("_drawn"))}).select(*DRAWN)
 
 
 def bootstrap_hauls(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> DataFrame:
     """Per replicate, each length row gets the haul of a row of its stratum drawn with replacement."""
-    return _drawn_hauls(lfreq, runs, seed).drop("_big")
+    rows = _numbered(lfreq).rows
+    return _drawn_by_block(rows, donor_blocks(rows)[0], runs, seed).drop("_big")
 
 
 def _length_bits(seed: int) -> Column:
@@ -98,10 +152,9 @@ def _length_bits(seed: int) -> Column:
 
 
 def _lengths_in_row(rows: DataFrame, seed: int) -> DataFrame:
-    """``bootstrap_lengths`` where a haul's rows fit in one: one shuffle, and no join."""
+    """``bootstrap_lengths`` where a haul's rows fit in one; ``rows`` have the rows of a haul in one partition."""
     taker = F.struct("ordinal", "sex", "length", "frequency", _length_bits(seed).alias("bits"))
-    # Spread first, so that takers are not collected twice.
-    hauls = rows.repartition(*REPS, *KH).groupBy(*REPS, *KH).agg(F.collect_list(taker).alias("_takers"))
+    hauls = rows.groupBy(*REPS, *KH).agg(F.collect_list(taker).alias("_takers"))
 
     def given(lengths: Column) -> Column:
         def one(t: Column) -> Column:
@@ -115,14 +168,43 @@ def _lengths_in_row(rows: DataFrame, seed: int) -> DataFrame:
     return hauls.select(*REPS, *KH, F.inline(F.transform(F.array(lengths), given)[0]))
 
 
+@dataclass(frozen=True)
+class Part:
+    """Bootstrapped rows; all rows of a haul and replicate are in one part. ``tasks``: partitioned by stratum into so many."""
+
+    rows: DataFrame
+    tasks: int | None = None
+
+
+def bootstrapped_parts(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> Iterator[Part]:
+    """``bootstrapped_rows`` in parts, of which a caller may finish one before it asks for the next."""
+    numbered = _numbered(lfreq)
+    donors, any_big = donor_blocks(numbered.rows)
+    large, spark = F.col("n") > LARGE, lfreq.sparkSession
+
+    def finished(drawn: DataFrame, tasks: int | None) -> Iterator[Part]:
+        # By sim and haul only: a label that is the same on all rows is no key to the planner, and rows would move again.
+        few = drawn.filter(~F.col("_big")) if any_big else drawn
+        few = few.drop("_big") if tasks else few.drop("_big").repartition("sim", *KH)
+        yield Part(_lengths_in_row(few, seed), tasks)
+        if any_big:
+            yield Part(bootstrap_lengths(drawn.filter("_big").drop("_big"), seed))
+
+    reps = [(r.label, r.size, sim) for r in runs for sim in range(1, r.iters + 1)]
+    at_once = max(1, STRATUM_TAKERS // max(1, min(numbered.most, LARGE)))
+    cores = spark.sparkContext.defaultParallelism
+    for some in [reps[i : i + at_once] for i in range(0, len(reps), at_once)]:
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-numbered.total * len(some) // TASK_TAKERS))
+        tasks = -(-tasks // cores) * cores
+        yield from finished(_drawn_in_stratum(numbered.rows.filter(~large), donors.filter(~large), some, seed, tasks), tasks)
+    if numbered.most > LARGE:
+        yield from finished(_drawn_by_block(numbered.rows.filter(large), donors.filter(large), runs, seed), None)
+
+
 def bootstrapped_rows(lfreq: DataFrame, runs: Sequence[Run], seed: int = SEED) -> DataFrame:
     """Hauls, then lengths, drawn with replacement: ``bootstrap_lengths`` of ``bootstrap_hauls``, with one draw of hauls."""
-    drawn = _drawn_hauls(lfreq, runs, seed)
-    most = lfreq.groupBy(*KH).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (most or 0) <= BIG:
-        return _lengths_in_row(drawn.drop("_big"), seed)
-    few = _lengths_in_row(drawn.filter(~F.col("_big")).drop("_big"), seed)
-    return few.unionByName(bootstrap_lengths(drawn.filter("_big").drop("_big"), seed))
+    parts = [p.rows for p in bootstrapped_parts(lfreq, runs, seed)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def bootstrap_lengths(rows: DataFrame, seed: int = SEED) -> DataFrame:

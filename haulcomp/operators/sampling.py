@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED, key_text, rank_key
-from haulcomp.functions.rules import KH, SEX_CODE, SEXES, explode_spread, explode_to, required
+from haulcomp.functions.rules import KH, SEX_CODE, SEXES, K, explode_spread, explode_to, required
 from haulcomp.operators.cells import length_cells
 from haulcomp.operators.selection import cut_prefix, up_to_cut
 from haulcomp.session import stage
@@ -32,6 +32,8 @@ HOT_ROWS = 4_000_000
 CHUNK = 16_384
 # Fish x replicates per task on average.
 TASK_FISH = 2_000_000
+# Parts of a replicate's stratum, by haul, in which a bootstrap's fish are ranked.
+SLICES = 8
 
 
 @dataclass(frozen=True)
@@ -134,12 +136,20 @@ def _split(cells: DataFrame, runs: Sequence[Run], hot_rows: int) -> tuple[DataFr
 
 def _ordinary_fish(cells: DataFrame, tasks: int, seed: int) -> DataFrame:
     """Each sexed fish per replicate with ``drawn``, ranked where its haul is."""
-    together = with_sims(_one_sex_each(cells.repartition(tasks, *KH)))
+    if own := _slice(cells):
+        # By stratum and slice, so that a task's sums by stratum are few, however many hauls there are.
+        cells = cells.withColumn("_slice", F.pmod(F.xxhash64("hauljoin"), F.lit(SLICES)).cast("int"))
+    together = with_sims(_one_sex_each(cells.repartition(tasks, *(["ss", "sim", *K, *own] if own else KH))))
     fish = _keyed_fish(together, F.expr("sequence(1L, _n)"), seed)
-    rank = F.row_number().over(Window.partitionBy(*_haul_keys(cells)).orderBy(*ORDER))
+    rank = F.row_number().over(Window.partitionBy(*_haul_keys(cells), *own).orderBy(*ORDER))
     return fish.withColumn("drawn", rank <= F.col("ss")).drop("_key")
 
 
+def _slice(cells: DataFrame) -> list[str]:
+    """A bootstrap's cells belong to a replicate already; their hauls are dealt out by slices of the replicate's strata."""
+    return ["_slice"] if "sim" in cells.columns else []
+
+
 def _chunk_end() -> Column:
     return F.least(F.col("_n"), (F.col("_part") + 1) * CHUNK)
 
@@ -198,8 +208,8 @@ def retabulate_cells(cells: DataFrame, runs: Sequence[Run], seed: int, hot_rows:
     ordinary, hot, tasks = _split(_with_all(cells), runs, hot_rows)
     fish = _ordinary_fish(ordinary, tasks, seed)
     males, females = [F.count_if(F.col("drawn") & (F.col("sex") == SEX_CODE[s])) for s in SEXES[:2]]
-    out = fish.groupBy(*_cell_keys(cells)).agg(males.alias("males"), females.alias("females"), *_cell_payload(ordinary))
-    out = out.withColumn("unsexed", F.col("_all") - F.col("males") - F.col("females")).drop("_all")
+    out = fish.groupBy(*_cell_keys(cells), *_slice(cells)).agg(males.alias("males"), females.alias("females"), *_cell_payload(ordinary))
+    out = out.withColumn("unsexed", F.col("_all") - F.col("males") - F.col("females")).drop("_all", "_slice")
     return out if hot is None else out.unionByName(cells_of_draws(_hot_draws(hot, tasks, seed)))
 
 

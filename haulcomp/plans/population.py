@@ -12,15 +12,16 @@ One run can give both levels, the whole survey and each stratum (``both``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haulcomp.functions.draw import SEED
 from haulcomp.functions.rules import KH, SEXES, K, half_even, rdiv, sum0
-from haulcomp.operators.bootstrap import REPS, bootstrapped_rows
+from haulcomp.operators.bootstrap import REPS, Part, bootstrapped_parts
 from haulcomp.operators.cells import (
     fill_grid,
     haul_cells,
@@ -41,7 +42,7 @@ from haulcomp.operators.sampling import (
     with_runs,
     with_sims,
 )
-from haulcomp.session import stage
+from haulcomp.session import PART_OF_KEYS, settings, stage
 
 # A stratum's sums (replicates x lengths) and its distinct abundances meet in blocks of about these sizes.
 SUMS_PER_BLOCK, ABUNDANCES_PER_BLOCK = 2_000, 2_000
@@ -155,16 +156,31 @@ class Basis:
         return 1 if self.runs is None or self.by else sum(r.iters for r in self.runs)
 
 
-def basis(lfreq: DataFrame, cpue: DataFrame, runs: Sequence[Run] | None = None, by: Sequence[str] = ()) -> Basis:
-    """From length rows (one set, or one per replicate ``by``) and catch rows.
+def _cells(rows: DataFrame, hauls: DataFrame, runs: Sequence[Run] | None, by: Sequence[str] = ()) -> DataFrame:
+    if runs is not None:
+        rows = rows.filter(F.col("frequency") > 0)
+    return stage(_with_abundance(length_cells(rows, by), hauls), "cells")
+
+
+def _cells_of_part(part: Part, hauls: DataFrame, runs: Sequence[Run], by: Sequence[str]) -> DataFrame:
+    """The cells of bootstrapped rows; the hauls go to where the rows of their stratum are, and no cell moves."""
+    if part.tasks is None:
+        return _cells(part.rows, hauls, runs, by)
+    with settings(hauls.sparkSession, PART_OF_KEYS):
+        return _cells(part.rows, hauls.repartition(part.tasks, *K), runs, by)
+
+
+def basis(lfreq: DataFrame | Iterable[Part], cpue: DataFrame, runs: Sequence[Run] | None = None, by: Sequence[str] = ()) -> Basis:
+    """From length rows (one set, or parts with one per replicate ``by``) and catch rows.
 
     Without ``runs`` the frequencies count as they are. With ``runs`` the sexed fish of each haul are to be
     cut to the run's sample size.
     """
-    if runs is not None:
-        lfreq = lfreq.filter(F.col("frequency") > 0)
     hauls = stage(haul_cells(cpue), "hauls")
-    sized = stage(_with_abundance(length_cells(lfreq, by), hauls), "cells")
+    if isinstance(lfreq, DataFrame):
+        sized = _cells(lfreq, hauls, runs, by)
+    else:
+        sized = reduce(DataFrame.unionByName, [_cells_of_part(p, hauls, runs, by) for p in lfreq])
     caught = with_sims(with_runs(hauls, runs)) if by else hauls
     return Basis(sized, hauls_without_lengths(caught, measured_hauls(sized, by), by), runs, by)
 
@@ -191,7 +207,7 @@ def _drawn(b: Basis, seed: int, hot_rows: int) -> DataFrame | None:
 
 
 def estimate(
-    lfreq: DataFrame,
+    lfreq: DataFrame | Iterable[Part],
     cpue: DataFrame,
     grid: DataFrame,
     runs: Sequence[Run] | None = None,
@@ -282,5 +298,5 @@ def bootstrapped(
     Draws are hashes, so nothing of the size of rows x replicates is written: what is staged are haul x length cells.
     """
     grid = length_grid(lfreq, yrs, by_stratum)
-    rows = bootstrapped_rows(since(lfreq, yrs), runs, seed)
+    rows = bootstrapped_parts(since(lfreq, yrs), runs, seed)
     return estimate(rows, since(cpue, yrs), grid, runs, REPS, by_stratum, seed, hot_rows)

@@ -46,6 +46,25 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+#: A written table is read from its files, so what was shuffled for it goes when it is written, and not when the driver collects its garbage.
+DROP_SHUFFLES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: What is partitioned by some of the keys of a join meets what is partitioned alike; neither is shuffled again.
+PART_OF_KEYS = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for what is planned inside."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a frame that several branches read to the shared folder and read it back.
 
@@ -53,7 +72,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, DROP_SHUFFLES):
+        df.write.parquet(path)
     _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

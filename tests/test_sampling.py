@@ -4,6 +4,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from haulcomp import session
 from haulcomp.functions.rules import KH, explode_spread, explode_to
 from haulcomp.operators import sampling, selection
 from haulcomp.operators import bootstrap
@@ -188,6 +189,49 @@ def test_one_pass_bootstrap_equals_the_two_draws(survey, monkeypatch, bits, big)
         assert plan_of(one).count("md5") == 2
 
 
+@pytest.mark.parametrize(("large", "takers", "big"), [(1_000_000, 1, 50_000), (20, 50, 50_000), (20, 50, 5), (0, 1, 50_000)])
+def test_bootstrap_by_all_roads_is_the_same(survey, monkeypatch, large, takers, big):
+    lfreq = since(survey[0], 1997)
+    # One row many times over, made where it is and spread.
+    lfreq = lfreq.unionByName(lfreq.limit(1).crossJoin(lfreq.sparkSession.range(40)).drop("id"))
+    runs = [Run(20, 2), Run(None, 1, label=4)]
+    two = rows(bootstrap_lengths(bootstrap_hauls(lfreq, runs, 3), 3))
+    for name, value in (("LARGE", large), ("STRATUM_TAKERS", takers), ("BIG", big), ("COPIES", 8)):
+        monkeypatch.setattr(bootstrap, name, value)
+    one = bootstrapped_rows(lfreq, runs, 3).select("run", "ss", "sim", *KH, "ordinal", "sex", "length", "frequency")
+    assert rows(one) == two and len(two) == 3 * lfreq.count()
+
+
+@pytest.mark.parametrize("iters", [1, 30])
+def test_bootstrap_moves_each_row_once_however_many_replicates(survey, monkeypatch, iters):
+    lfreq, cpue, _ = survey
+    lfreq, cpue, runs, plans = since(lfreq, 1997), since(cpue, 1997), [Run(20, iters)], {}
+
+    def staged(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return session.stage(df, name)
+
+    monkeypatch.setattr(population, "stage", staged)
+    with session.settings(lfreq.sparkSession, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        population.basis(bootstrap.bootstrapped_parts(lfreq, runs), cpue, runs, bootstrap.REPS)
+    # Rows, donors and hauls go to their stratum; the replicates are made there, and neither they nor their cells move.
+    lines = plans["cells"].split("\n")
+    moves = [i for i, line in enumerate(lines) if "Exchange " in line]
+    made = [i for i, line in enumerate(lines) if "inline([[0,20,1]" in line]
+    assert len(moves) == 3 and len(made) == 1 and made[0] < moves[0]
+
+
+def test_what_a_staged_table_shuffled_goes_when_it_is_written(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name}
+
+    before = shuffled()
+    session.stage(spark.range(10_000).repartition(7, "id"), "spread")
+    assert not shuffled() - before
+
+
 def test_bootstrap_of_nothing(survey):
     lfreq = survey[0].limit(0)
     assert bootstrapped_rows(lfreq, [Run(20, 2)]).count() == 0
