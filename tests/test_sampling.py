@@ -221,6 +221,19 @@ def test_bootstrap_moves_each_row_once_however_many_replicates(survey, monkeypat
     assert len(moves) == 3 and len(made) == 1 and made[0] < moves[0]
 
 
+def test_fish_of_a_bootstrap_are_ranked_by_slices_of_strata(survey, monkeypatch):
+    cells, runs = sampling.sample_cells(since(survey[0], 1997)), [Run(5, 2)]
+    cols = ["run", "ss", "sim", *KH, "length", "males", "females", "unsexed"]
+    want = rows(sampling.retabulate_cells(cells, runs, 42), *cols)
+    replicated = session.stage(sampling.with_sims(sampling.with_runs(cells, runs)), "replicated")
+    for slices in (1, 8):
+        monkeypatch.setattr(sampling, "SLICES", slices)
+        out = sampling.retabulate_cells(replicated, runs, 42)
+        moves = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in line]
+        assert len(moves) == 1 and "stratum" in moves[0] and "hauljoin" not in moves[0]
+        assert rows(out, *cols) == want
+
+
 def test_what_a_staged_table_shuffled_goes_when_it_is_written(spark):
     blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
 
